@@ -48,6 +48,15 @@ FROM e GROUP BY conv_id
 """
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lexforge.llm.pieces import encode
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(spark, docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexforge.llm.quality import judged
 
