@@ -48,6 +48,13 @@ FROM e GROUP BY conv_id
 """
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexforge.llm.simhash import classes
+
+    found = classes(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, distance=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
