@@ -48,6 +48,12 @@ FROM e GROUP BY conv_id
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexforge.llm.substring import remove
+
+    return remove(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexforge.llm.simhash import classes
 
