@@ -1,4 +1,4 @@
-"""Shared helpers of the training-data operators: work tables, row keys, joins against small tables."""
+"""Shared helpers of the training-data operators: work tables, row keys, words."""
 
 from __future__ import annotations
 
@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
-#: A lookup table is broadcast up to this many rows (each of a few dozen bytes).
-BROADCAST_ROWS = 20_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,17 +80,3 @@ def keyed(docs: DataFrame, key: str, space: Workspace, name: str = "keyed") -> D
     if not ids.where((F.col("n") > 1) | F.col("doc_id").isNull()).take(1):
         return docs.withColumn(key, F.col("doc_id").cast("long"))
     return space.write(docs.withColumn(key, F.monotonically_increasing_id()), name)
-
-
-def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
-    """Joins `small`, unique on `on`, to `big`, whose keys may be skewed.
-
-    `small` is counted: up to `limit` rows it is broadcast. Beyond, each of its rows is repeated for every salt and
-    the rows of `big` are dealt over the salts, so a hot key is spread over many tasks.
-    """
-    if small.limit(limit + 1).count() <= limit:
-        return big.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rest = [c for c in big.columns if c not in on]
-    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rest if dict(big.dtypes)[c] in ("bigint", "int", "string")] or [F.rand(7)]), F.lit(salts)).cast("int"))
-    return dealt.join(salted, [*on, "_salt"], how).drop("_salt")

@@ -48,6 +48,12 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexforge.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), repetition=2.0).select("doc_id", "source", "n_tokens", "copy", "block", "block_order")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexforge.llm.substring import remove
 
