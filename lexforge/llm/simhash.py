@@ -18,6 +18,7 @@ out of the choice of the smallest; other columns pass through `deduplicated`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,14 @@ FAN = 32
 CHUNK = 1 << 8
 
 
+def distance_at(similarity: float) -> int:
+    """Bits in which the fingerprints of two texts with this Jaccard similarity differ on average, rounded down.
+
+    Shingle sets of similarity J have the cosine 2 J / (1 + J), and a bit differs with the probability angle / pi.
+    """
+    return int(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     words = (text or "").encode().lower().split()  # bytes: only A-Z become lower case, only ASCII white space separates
     if not words:
