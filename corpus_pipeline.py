@@ -28,8 +28,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, the distance that a similarity of 0.8 has on average."""
-    return deduplicated(docs, shingle=5, distance=distance_at(0.8))
+    """One document of each group of near copies: five-word shingles, the distance that a similarity of 0.8 has on average.
+
+    Links by chance, which very many documents have at that distance, are told by their shingles: they share few or none.
+    """
+    return deduplicated(docs, shingle=5, distance=distance_at(0.8), verify=0.5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
