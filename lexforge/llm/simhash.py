@@ -43,20 +43,25 @@ def distance_at(similarity: float) -> int:
     return int(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle, in order; of fewer words the whole sequence; of none nothing."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z become lower case, only ASCII white space separates
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     starts = [0, *ends[:-1]]
     n = max(1, len(words) - shingle + 1)
     hash_of = xxhash.xxh64_intdigest
-    h = np.array([hash_of(joined[a : b - 1], 42) for a, b in zip(starts[:n], ends[min(shingle, len(words)) - 1 :], strict=False)], dtype="<u8")
+    return np.array([hash_of(joined[a : b - 1], 42) for a, b in zip(starts[:n], ends[min(shingle, len(words)) - 1 :], strict=False)], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    h = shingle_hashes(text, shingle)
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
+    for at in range(0, len(h), 4096):
         counts += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
@@ -146,38 +151,44 @@ def _lift(level: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]
     return np.repeat((p[:, 0] & mask)[None], FAN, 1).reshape(1, FAN), np.repeat(mask[None], FAN, 1).reshape(1, FAN)
 
 
-def forest(n: int, chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest node of each node's component."""
+def forest(n: int, chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links that join two components when they come: a spanning forest, at most n - 1 links."""
     label = np.arange(n)
+    us, vs = [], []
     for x, y in chunks:
         while True:
             a, b = label[x], label[y]
-            open_ = a != b
-            if not open_.any():
+            apart = a != b
+            if not apart.any():
                 break
-            x, y, a, b = x[open_], y[open_], a[open_], b[open_]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            order = np.lexsort((low, high))
+            first = order[np.concatenate([[True], np.diff(high[order]) > 0])]
+            label[high[first]] = low[first]  # each root hooks once, to a smaller one
+            us.append(x[first])
+            vs.append(y[first])
             while True:
                 up = label[label]
                 if (up == label).all():
                     break
                 label = up
-    return label
+    empty = np.empty(0, np.int64)
+    return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
 
 
 def _compare(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, x, y in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "fps_a", "fps_b")), strict=True):
-                fa = np.frombuffer(x, "<u8")
-                fb = fa if a == b else np.frombuffer(y, "<u8")
+            for a, b, x, y in zip(*(batch.column(n) for n in ("a", "b", "fps_a", "fps_b")), strict=True):
+                a, b = a.as_py(), b.as_py()
+                fa = np.frombuffer(x.as_buffer(), "<u8")
+                fb = fa if a == b else np.frombuffer(y.as_buffer(), "<u8")
                 both = fa if a == b else np.concatenate([fa, fb])
                 shift = 0 if a == b else len(fa)
-                label = forest(len(both), ((i, j + shift) for i, j in links(fa, fb, distance, a == b)))
-                at = np.flatnonzero(label != np.arange(len(label)))
-                for s in range(0, max(1, len(at)), 1 << 16):
-                    part = at[s : s + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(both[part].view(np.int64)), pa.array(both[label[part]].view(np.int64))], ["u", "v"])
+                u, v = forest(len(both), ((i, j + shift) for i, j in links(fa, fb, distance, a == b)))
+                for s in range(0, len(u), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(both[p[s : s + (1 << 16)]].view(np.int64)) for p in (u, v)], ["u", "v"])
 
     return run
 
@@ -216,7 +227,7 @@ def linked(fps: DataFrame, space: Workspace, distance: int = 4) -> DataFrame:
     table = F.create_map(*[x for a, bs in partners.items() if bs for x in (F.lit(a), F.lit(bs).cast("array<int>"))])
     left = packed.select(F.col("region").alias("a"), F.col("fps").alias("fps_a"), F.explode(F.element_at(table, F.col("region"))).alias("b"))
     right = packed.select(F.col("region").alias("b"), F.col("fps").alias("fps_b"))
-    tiles = left.join(right, "b").repartition(min(len(pairs), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tiles = left.join(right, "b").repartition(len(pairs), "a", "b")
     return tiles.select("a", "b", "fps_a", "fps_b").mapInArrow(_compare(distance), "u long, v long")
 
 
@@ -229,7 +240,7 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
     """
     edges = space.write(edges.where("u <> v").distinct(), "edges0")
     roots = space.write(edges.selectExpr("u AS node").union(edges.selectExpr("v AS node")).distinct().selectExpr("node", "node AS root"), "roots0")
-    done, step = [], 0
+    done, step = ["edges0", "roots0"], 0
     while not edges.isEmpty():
         step += 1
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
@@ -254,25 +265,63 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
     return roots
 
 
-def classes(docs: DataFrame, text: str = "text", shingle: int = 4, distance: int = 4, key: str = "doc_id") -> DataFrame:
-    """docs without `text`, with fp (long) and component_id, the smallest `key` of all texts reachable over links."""
+def _shingle_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column("_text")]
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.binary())], ["fp", "shingles"])
+
+    return run
+
+
+def _alike(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= least * max(1, len(x) + len(y) - common) or not len(x) and not len(y))
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _checked(edges: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, key: str, shingle: int, least: float, space: Workspace) -> DataFrame:
+    """Those edges of which the texts (of the rows that stand for the fingerprints) share at least the part `least` of their shingles."""
+    nodes = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).distinct()
+    stand = distinct.join(nodes, "fp").select("fp", F.col("least").alias(key))
+    sets = space.write(docs.select(key, F.col(text).alias("_text")).join(stand.hint("merge"), key).select("fp", "_text").mapInArrow(_shingle_sets(shingle), "fp long, shingles binary"), "sets")
+    side = lambda n, s: sets.select(F.col("fp").alias(n), F.col("shingles").alias(s)).hint("merge")
+    return space.write(edges.join(side("u", "x"), "u").join(side("v", "y"), "v").select("u", "v", "x", "y").mapInArrow(_alike(least), "u long, v long"), "checked")
+
+
+def classes(docs: DataFrame, text: str = "text", shingle: int = 4, distance: int = 4, key: str = "doc_id", verify: float | None = None) -> DataFrame:
+    """docs without `text`, with fp (long) and component_id, the smallest `key` of all texts reachable over links.
+
+    verify: links of which the texts share less than this part of their shingles (Jaccard) don't count; it needs a
+    unique `key`. At larger distances it keeps out chance neighbours among very many fingerprints.
+    """
     space = Workspace(docs.sparkSession, "simhash")
     prints = space.write(fingerprints(docs, text, shingle), "prints")
     distinct = space.write(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    roots = components(linked(distinct.select("fp"), space, distance), space)
+    edges = space.write(linked(distinct.select("fp"), space, distance), "links")
+    if verify is not None:
+        edges = _checked(edges, distinct, docs, text, key, shingle, verify, space)
+    roots = components(edges, space)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = space.write(named, "named")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = space.write(named.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "by_print")
-    space.drop("regions", "distinct", "named")
+    space.drop("regions", "distinct", "links", "sets", "checked", "named")
     space.free()
     return prints.join(by_print, "fp").select(*[c for c in prints.columns], "component_id")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", shingle: int = 4, distance: int = 4, verify: float | None = None) -> DataFrame:
     """docs with one row left of every component: the one with the smallest doc_id (of repeated ids one row)."""
     space = Workspace(docs.sparkSession, "simhash-kept")
     rows = keyed(docs, "_key", space)
-    found = classes(rows.select("_key", text), text, shingle, distance, key="_key")
+    found = classes(rows.select("_key", text), text, shingle, distance, key="_key", verify=verify)
     keep = space.write(found.where("_key = component_id").select("_key"), "keep")
     return rows.join(keep, "_key", "left_semi").select(*docs.columns)
