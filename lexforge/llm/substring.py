@@ -14,8 +14,8 @@ anchor), so equal windows have equal anchors and about one place in ten has to b
 
 `FingerprintIndex` keeps its runs between calls, so a later batch is compared with all earlier ones.
 
-Hot fingerprints: counts are combined before they are shuffled. Where places are looked up, fingerprints with more than
-max(1000, places / 10,000) places number at most 10,000, so they are broadcast; the rest is joined by sorting.
+Hot fingerprints: counts are combined before they are shuffled. Where places are looked up, one side of the join has one
+row per fingerprint and both sides are shuffled for it alone, so adaptive execution splits the partitions of hot ones.
 
 Defined cases: null text: no words; empty or short texts: no windows; texts of any length are read whole (a worker holds
 one text at a time); overlapping equal windows of one text repeat each other; repeated rows repeat each other, so
@@ -214,17 +214,6 @@ class FingerprintIndex:
             self._drop(self.run)
 
 
-def repeated_places(rows: DataFrame, keys: list[str], what: list[str], counts: DataFrame, most: int) -> DataFrame:
-    """rows with those `keys` that are in counts (keys, n): hot keys, at most 10,000, by broadcast, the rest by sorting."""
-    hot_from = max(1000, most // 10_000)
-    hot = counts.where(F.col("n") > hot_from).select(*keys)
-    rest = counts.where(F.col("n") <= hot_from).select(*keys)
-    if hot.isEmpty():
-        return rows.join(rest.hint("merge"), keys).select(*what)
-    hot = F.broadcast(hot)
-    return rows.join(hot, keys, "left_semi").select(*what).unionByName(rows.join(hot, keys, "left_anti").join(rest.hint("merge"), keys).select(*what))
-
-
 def remove(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 16, batches: int = 2, with_text: bool = True) -> DataFrame:
     """docs with n_words, n_removed, kept_sha256 and, if wanted, `text` without the words under repeated windows.
 
@@ -241,7 +230,7 @@ def remove(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 16
     for batch in range(batches):
         index.add(spool.where(F.col("batch") == batch).select("fp"))
     candidates = index.candidates()
-    places = repeated_places(spool.select("fp", "key", "at"), ["fp"], ["key", "at"], candidates, spool.count())
+    places = spool.join(candidates.select("fp").hint("merge"), "fp").select("key", "at")
     asked = space.write(places.groupBy("key").agg(F.collect_list("at").alias("ats")), "asked")
     space.drop("spool")
     index.drop()
@@ -250,7 +239,7 @@ def remove(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 16
     space.free()
     counts = space.write(windows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     space.free()
-    found = repeated_places(windows, ["h", "c"], ["key", "at"], counts, windows.count())
+    found = windows.join(counts.select("h", "c").hint("merge"), ["h", "c"]).select("key", "at")
     starts = space.write(found.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("starts")), "starts")
     space.drop("asked", "windows", "counts")
     space.free()
