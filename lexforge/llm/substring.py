@@ -8,7 +8,7 @@ anchor), so equal windows have equal anchors and about one place in ten has to b
 2. Their counts form a run: an immutable table sorted by fingerprint in hash buckets. A batch's run is merge-joined with
    the index built so far, without a shuffle of either; a fingerprint found twice or more, in history or in the batch, is
    a candidate. Then both are compacted into one run with summed counts.
-3. Verification: around candidates every window's own 128-bit hash is made from the texts; those found twice or more,
+3. Verification: around candidates every window's own 96-bit hash is made from the texts; those found twice or more,
    over all batches, are repeated. Nothing is decided by an anchor alone.
 4. All words under a repeated window go; windows are judged on the input, not on what is left.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from lexforge.llm.common import Workspace, keyed
 
 #: Distinct words whose hashes a worker keeps at once.
 WORDS = 400_000
+#: Parts, by hash, in which the windows around candidates are counted one after the other.
+SLICES = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
@@ -131,7 +134,7 @@ def _spool(window: int, gram: int, batches_of: int):
 
 
 def _candidates(window: int, gram: int):
-    """Texts with the places of candidate anchors: 128-bit hashes and places of the windows that have one of those anchors."""
+    """Texts with the places of candidate anchors: 96-bit hashes and places of the windows that have one of those anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -143,7 +146,8 @@ def _candidates(window: int, gram: int):
                     wanted[ats.values.to_numpy()] = True
                     start = np.flatnonzero(wanted[anchor])
                     a, c = rolling(h[0], window, _ODD[1])[start], rolling(h[1], window, _ODD[0])[start]
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(np.full(len(start), key, np.int64)), pa.array(start.astype(np.int32))], ["h", "c", "key", "at"])
+                    part = (a >> np.uint64(32)) % np.uint64(SLICES)
+                    yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c.astype(np.uint32).view(np.int32)), pa.array(np.full(len(start), key, np.int64)), pa.array(start.astype(np.int32))], ["part", "h", "c", "key", "at"])
 
     return run
 
@@ -235,13 +239,21 @@ def remove(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 16
     space.drop("spool")
     index.drop()
     space.free()
-    windows = space.write(texts.join(asked.select(F.col("key").alias("_key"), "ats").hint("merge"), "_key").mapInArrow(_candidates(window, gram), "h long, c long, key long, at int"), "windows")
+    windows = space.write(texts.join(asked.select(F.col("key").alias("_key"), "ats").hint("merge"), "_key").mapInArrow(_candidates(window, gram), "part int, h long, c int, key long, at int"), "windows", ["part"])
     space.free()
-    counts = space.write(windows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
-    space.free()
-    found = windows.join(counts.select("h", "c").hint("merge"), ["h", "c"]).select("key", "at")
-    starts = space.write(found.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("starts")), "starts")
-    space.drop("asked", "windows", "counts")
+    # One slice of the windows is counted and looked up at a time, which bounds what is shuffled at once.
+    parts = []
+    for part in range(SLICES):
+        some = windows.where(F.col("part") == part)
+        counts = space.write(some.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"counts{part}")
+        space.free()
+        found = some.join(counts.select("h", "c").hint("merge"), ["h", "c"]).select("key", "at")
+        parts.append(space.write(found.groupBy("key").agg(F.collect_list("at").alias("starts")), f"starts{part}"))
+        space.drop(f"counts{part}")
+        space.free()
+    starts = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    starts = space.write(starts, "starts")
+    space.drop("asked", "windows", *[f"starts{part}" for part in range(SLICES)])
     space.free()
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256") and (with_text or c != text)]
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
