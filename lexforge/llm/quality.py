@@ -86,17 +86,17 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_near", F.sort_array(F.transform("_near", lambda x: F.struct(window(x.bitwiseAND(F.col("_low")).cast("int")).alias("h"), x.bitwiseAND(F.col("_low")).cast("int").alias("i")))))
     out = out.withColumn("_hits", F.transform(_marks(F.col("_near"), F.col("_near"), lambda a, b: a["h"] == b["h"]), lambda x: x["i"]))
     long = lambda c: c.cast("long")
-    return out.withColumns(
-        {
-            "n_words": long(F.size("_words")),
-            "word_chars": long(F.length(F.array_join("_words", ""))),
-            "n_symbols": long(F.regexp_count(t, F.lit(r"[#*$%&|<>]"))),
-            "n_lines": long(F.size("_lines")),
-            "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
-            "n_stop_words": long(F.size(F.filter("_words", lambda x: x.isin(*stop)))),
-            "n_repeat_words": long(F.size(F.array_distinct(F.concat("_hits", F.transform("_hits", lambda i: i + 1), F.transform("_hits", lambda i: i + 2))))),
-        }
-    ).drop("_words", "_bits", "_low", "_packed", "_near", "_lines", "_hits")
+    found = {
+        "n_words": F.size("_words"),
+        "word_chars": F.length(F.array_join("_words", "")),
+        "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")),
+        "n_lines": F.size("_lines"),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_stop_words": F.size(F.filter("_words", lambda x: x.isin(*stop))),
+        "n_repeat_words": F.size(F.array_distinct(F.concat("_hits", F.transform("_hits", lambda i: i + 1), F.transform("_hits", lambda i: i + 2)))),
+    }
+    # Through a generator, below which no filter on a measure is pushed: pushed down, it would be worked out anew for every word.
+    return out.select(*[c for c in docs.columns if c not in found], F.inline(F.array(F.struct(*[long(v).alias(k) for k, v in found.items()]))))
 
 
 def judged(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
