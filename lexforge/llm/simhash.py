@@ -66,7 +66,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
     """docs without `text`, with `fp`, the fingerprint as a signed long."""
-    rest = [f for f in docs.schema.fields if f.name not in (text, "fp")]
+    rest = [f for f in docs.schema.fields if f.name not in (text, "fp", "component_id")]
     names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -156,7 +156,7 @@ def _cut(window: int, names: list[str], text: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, digest, texts = [], [], [], []
-            for t, starts in zip(b.column("_text"), b.column("starts"), strict=True):
+            for t, starts in zip(b.column("_text"), b.column("_starts"), strict=True):
                 given = t.as_py()
                 words = _split(given)
                 kept = words
@@ -257,5 +257,5 @@ def remove(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 16
     space.free()
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256") and (with_text or c != text)]
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    joined = rows.join(starts.select(F.col("key").alias("_key"), "starts").hint("merge"), "_key", "left")
-    return joined.select(*[c for c in names if c != text], F.col(text).alias("_text"), "starts").mapInArrow(_cut(window, names, text, with_text), schema)
+    joined = rows.join(starts.select(F.col("key").alias("_key"), F.col("starts").alias("_starts")).hint("merge"), "_key", "left")
+    return joined.select(*[c for c in names if c != text], F.col(text).alias("_text"), "_starts").mapInArrow(_cut(window, names, text, with_text), schema)
