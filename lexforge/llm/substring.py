@@ -233,10 +233,11 @@ def remove(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 16
     index = FingerprintIndex(spark, space)
     for batch in range(batches):
         index.add(spool.where(F.col("batch") == batch).select("fp"))
-    candidates = index.candidates()
-    places = spool.join(candidates.select("fp").hint("merge"), "fp").select("key", "at")
+    # Written plainly: a bucketed table would not be shuffled, and then hot partitions of the other side could not be split.
+    candidates = space.write(index.candidates().select("fp"), "candidates")
+    places = spool.join(candidates.hint("merge"), "fp").select("key", "at")
     asked = space.write(places.groupBy("key").agg(F.collect_list("at").alias("ats")), "asked")
-    space.drop("spool")
+    space.drop("spool", "candidates")
     index.drop()
     space.free()
     windows = space.write(texts.join(asked.select(F.col("key").alias("_key"), "ats").hint("merge"), "_key").mapInArrow(_candidates(window, gram), "part int, h long, c int, key long, at int"), "windows", ["part"])
