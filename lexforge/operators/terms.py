@@ -49,9 +49,14 @@ def _points(fields: Mapping[str, str], terms: Sequence[Term], weights: Mapping[s
     return {(f, t): F.least(F.regexp_count(F.col(c), F.lit(t.java)), F.lit(most)) * (t.weight * weights.get(f, 1.0)) for f, c in fields.items() for t in terms}
 
 
+def _once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """df with columns that go through a generator, so that the optimizer doesn't copy them into each place of their use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _folded(df: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
     names = {f: f"_fold_{f}" for f in fields}
-    return df.withColumns({c: fold(F.col(f)) for f, c in names.items()}), names
+    return _once(df, {c: fold(F.col(f)) for f, c in names.items()}), names
 
 
 def _struct_of(points: Mapping[tuple[str, Term], Column]) -> Column:
@@ -64,7 +69,7 @@ def score_relevance(df: DataFrame, config: Relevance) -> DataFrame:
     fields = [f for f in config.field_weights if f in df.columns]
     out, names = _folded(df, fields)
     good, bad = _points(names, config.terms, config.field_weights, config.max_occurrences), _points(names, config.negative, config.field_weights, config.max_occurrences)
-    out = out.withColumns({"_good": _struct_of(good), "_bad": _struct_of(bad)})
+    out = _once(out, {"_good": _struct_of(good), "_bad": _struct_of(bad)})
     at = {k: F.get("_good", F.lit(i)) for i, k in enumerate(good)}
     bad_at = {k: F.get("_bad", F.lit(i)) for i, k in enumerate(bad)}
     concepts = sorted({t.concept for t in config.terms if t.concept})
@@ -96,15 +101,15 @@ def categorize(df: DataFrame, categories: Sequence[Category], fallback: str, fie
     weights = field_weights or {"title": 3.0, "authority": 1.2, "metadata": 1.5, "content": 1.0}
     out, names = _folded(df, [f for f in weights if f in df.columns])
     rows = []
-    for n, c in enumerate(categories):
-        points = _points(names, c.terms, weights, most)
+    every = [_points(names, c.terms, weights, most) for c in categories]
+    out = _once(out, {f"_cat_{n}": _struct_of(points) for n, points in enumerate(every)})
+    for n, (c, points) in enumerate(zip(categories, every, strict=True)):
         column = f"_cat_{n}"
-        out = out.withColumn(column, _struct_of(points))
         raw = F.aggregate(column, F.lit(0.0), lambda a, b: a + b)
         matched = F.slice(F.array_distinct(F.array_compact(F.array(*[F.when(F.get(column, F.lit(i)) > 0, F.lit(k[1].term)) for i, k in enumerate(points)]))), 1, 12)
         rows.append(F.struct(raw.alias("raw"), F.lit(-n).alias("n"), F.lit(c.slug).alias("slug"), saturate(raw, saturation).alias("confidence"), matched.alias("matched")))
     good = F.slice(F.reverse(F.array_sort(F.filter(F.array(*rows), lambda r: r["confidence"] >= least))), 1, top)
     shown = F.transform(good, lambda r: F.struct(r["slug"].alias("slug"), F.bround(r["confidence"], 4).alias("confidence"), F.bround(r["raw"], 2).alias("raw"), r["matched"].alias("matched")))
     none = F.array(F.struct(F.lit(fallback).alias("slug"), F.lit(least).alias("confidence"), F.lit(0.0).alias("raw"), F.array().cast("array<string>").alias("matched")))
-    out = out.withColumn("categories", shown)
+    out = _once(out.drop("categories"), {"categories": shown})
     return out.withColumn("categories", F.when(F.size("categories") > 0, F.col("categories")).otherwise(none)).drop(*names.values(), *[f"_cat_{n}" for n in range(len(categories))])
