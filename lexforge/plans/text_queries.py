@@ -76,6 +76,30 @@ def relevance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
+def _hits(column: str, where: str) -> str:
+    return f"least(len(list_filter({column}, lambda x: {where})), 3)"
+
+
+_PARTS = (
+    ("the", 2.0, "article", lambda c: _hits(f"{c}w", "x = 'the'")),
+    ("th", 1.0, "th", lambda c: _hits(f"{c}w", "starts_with(x, 'th')")),
+    ("of the", 6.0, "genitive", lambda c: f"least(len(regexp_extract_all({c}, 'of\\s+the')), 3)"),
+    ("und", 12.0, "german", lambda c: _hits(f"{c}w", "x = 'und'")),
+)
+_RAW = " + ".join(f"{w} * ({f('c')} + 3 * {f('t')})" for _, w, _, f in _PARTS)
+_FOUND = {c: f"({f('c')} + {f('t')} > 0)" for _, _, c, f in _PARTS}
+RELEVANCE_SQL = f"""
+WITH d AS (SELECT doc_id, {_FOLDED.format("text")} AS c, {_FOLDED.format("string_split(text, chr(10))[1]")} AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(c, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS cw, regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS tw FROM d),
+p AS (SELECT doc_id, ({_RAW})::DOUBLE AS good, (4.0 * ({_hits("cw", "x = 'que'")} + 3 * {_hits("tw", "x = 'que'")}))::DOUBLE AS bad, {_hits("tw", "x = 'und'")} > 0 AS title_hit, {_hits("tw", "x = 'que'")} > 0 AS title_bad,
+      list_filter([{", ".join(f"CASE WHEN {_FOUND[c]} THEN '{c}' END" for c in sorted(_FOUND))}], lambda x: x IS NOT NULL) AS concepts FROM w),
+r AS (SELECT *, greatest(0.0::DOUBLE, good + least(greatest(len(concepts) - 1, 0) * 5.0, 25.0) - bad) AS raw FROM p),
+s AS (SELECT *, CASE WHEN raw > 0 THEN round_even(100.0::DOUBLE * (raw / (raw + 45.0)), 0)::INT ELSE 0 END AS s FROM r),
+f AS (SELECT *, title_hit AND NOT title_bad AND s < 70 AS title_floor FROM s)
+SELECT doc_id, raw, CASE WHEN title_floor THEN 70 ELSE s END AS score, CASE WHEN title_floor OR s >= 60 THEN 'relevant' WHEN s >= 30 THEN 'possible' ELSE 'not_relevant' END AS classification, title_floor, array_to_string(concepts, ',') AS concepts FROM f
+"""
+
+
 def categories(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf).select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"))
     return R.categorize(docs, CATEGORIES, "other").select("doc_id", F.posexplode("categories").alias("position", "c")).select("doc_id", "position", "c.slug", "c.confidence", "c.raw")
@@ -120,4 +144,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"text_fold": TEXT_FOLD_SQL, "text_content_hash": CONTENT_HASH_SQL, "text_strip_html": STRIP_SQL, "text_language_score": LANGUAGE_SQL, "text_contains_any": CONTAINS_SQL, "vector_normalize": NORMALIZE_SQL, "vector_centroids": CENTROID_SQL}
+    return {"text_fold": TEXT_FOLD_SQL, "text_content_hash": CONTENT_HASH_SQL, "text_strip_html": STRIP_SQL, "text_language_score": LANGUAGE_SQL, "text_contains_any": CONTAINS_SQL, "relevance": RELEVANCE_SQL, "vector_normalize": NORMALIZE_SQL, "vector_centroids": CENTROID_SQL}

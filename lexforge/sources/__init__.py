@@ -1 +1,38 @@
+"""Readers and writers around the engine: revision overlays, manifests, tolerant JSON records, JSON results."""
 
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def with_revisions(base: DataFrame, overlays: Sequence[DataFrame], key: str) -> DataFrame:
+    """The latest row of each key; later overlays replace earlier rows. `revision` tells where a row comes from."""
+    rows = base.withColumn("revision", F.lit(0))
+    for n, o in enumerate(overlays, 1):
+        rows = rows.unionByName(o.withColumn("revision", F.lit(n)), allowMissingColumns=True)
+    newest = Window.partitionBy(key).orderBy(F.desc("revision"))
+    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
+def read_manifest(spark: SparkSession, path: str, columns: Sequence[str], key: str) -> DataFrame:
+    """A CSV manifest: a byte order mark and `#` lines are skipped; of repeated keys the first line stays."""
+    rows = spark.read.csv(path, header=True, comment="#", schema=", ".join(f"{c} STRING" for c in columns), enforceSchema=True)
+    rows = rows.withColumn(columns[0], F.regexp_replace(columns[0], "^﻿", "")).withColumn("_line", F.monotonically_increasing_id())
+    return rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in columns if c != key]), "_line").alias("_r")).select(key, "_r.*").select(*columns)
+
+
+def write_manifest(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, header=True)
+
+
+def pick(record: str, names: Sequence[str]):
+    """The first of some keys of a JSON map column, by normalised key: letters and digits in lower case."""
+    normal = F.transform_keys(F.from_json(record, "map<string,string>"), lambda k, v: F.regexp_replace(F.lower(k), "[^a-z0-9]", ""))
+    return F.coalesce(*[F.try_element_at(normal, F.lit("".join(c for c in n.lower() if c.isalnum()))) for n in names])
+
+
+def to_json_rows(df: DataFrame) -> DataFrame:
+    return df.select(F.to_json(F.struct("*")).alias("json"))

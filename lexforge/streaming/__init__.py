@@ -1 +1,75 @@
+"""Streams: incremental query log, change feed, windowed counts and a sliding-window limiter."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def event_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
+def windowed_counts(events: DataFrame, ts: str, key: str, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Counts by key and window; rows later than the watermark are left out."""
+    return events.withWatermark(ts, late).groupBy(F.window(ts, size), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), key, "n")
+
+
+def accepted(times: list[float], kept: list[float], most: int, seconds: float) -> tuple[list[bool], list[float]]:
+    """Which hits a limiter lets through: at most `most` accepted ones in any last `seconds`; refused hits don't count."""
+    kept, out = list(kept), []
+    for t in times:
+        kept = [k for k in kept if k > t - seconds]
+        out.append(len(kept) < most)
+        if out[-1]:
+            kept.append(t)
+    return out, kept
+
+
+def limited(events: DataFrame, key: str, ts: str, event: str, most: int, seconds: float) -> DataFrame:
+    """(key, event, allowed) of a stream: state per key is at most `most` times."""
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(parts)).sort_values(["_s", event])
+        allowed, kept = accepted(rows["_s"].tolist(), kept, most, seconds)
+        state.update((kept,))
+        yield pd.DataFrame({key: k[0], event: rows[event].to_numpy(), "allowed": allowed})
+
+    timed = events.select(key, event, F.unix_micros(F.col(ts).cast("timestamp")).cast("double").alias("_m")).select(key, event, (F.col("_m") / 1e6).alias("_s"))
+    kinds = dict(events.dtypes)
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {event} {kinds[event]}, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def limited_batch(events: DataFrame, key: str, ts: str, event: str, most: int, seconds: float) -> DataFrame:
+    """limited() over a table: accepting feeds back, so a key's hits go through one fold in time order."""
+    s = F.unix_micros(F.col(ts).cast("timestamp")).cast("double") / 1e6
+    hits = F.sort_array(F.collect_list(F.struct(s.alias("s"), F.col(event).alias("e"))))
+    step = F.aggregate(
+        hits,
+        F.struct(F.array().cast("array<double>").alias("kept"), F.array().cast(f"array<struct<e:{dict(events.dtypes)[event]},ok:boolean>>").alias("out")),
+        lambda a, h: _step(a, h, most, seconds),
+    )
+    return events.groupBy(key).agg(step.alias("r")).select(key, F.explode("r.out").alias("x")).select(key, F.col("x.e").alias(event), F.col("x.ok").alias("allowed"))
+
+
+def _step(a, h, most, seconds):
+    kept = F.filter(a["kept"], lambda k: k > h["s"] - seconds)
+    ok = F.size(kept) < most
+    return F.struct(F.when(ok, F.concat(kept, F.array(h["s"]))).otherwise(kept).alias("kept"), F.concat(a["out"], F.array(F.struct(h["e"].alias("e"), ok.alias("ok")))).alias("out"))
+
+
+def upsert_query_log(stream: DataFrame, fold, merge, path: str, checkpoint: str):
+    """Folds each batch and merges it into the log at `path`, a folder per batch; available data only."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        folded = fold(batch)
+        old = f"{path}/{number - 1}"
+        out = merge(batch.sparkSession.read.parquet(old), folded) if number else folded
+        out.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
