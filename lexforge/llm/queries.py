@@ -113,6 +113,29 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _op9_sql() -> str:
+    from lexforge.llm.quality import RULES, STOP_WORDS
+
+    ratio = {"mean_word_chars": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"), "stop_word_ratio": ("n_stop", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_word_ratio": ("n_repeat_words", "n_words")}
+    value = {"n_words": "n_words"} | {k: f"(CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END)" for k, (a, b) in ratio.items()}
+    rules = " AND ".join(f"{value[m]} {sign} {bound}" for m, least, most in RULES for sign, bound in ((">=", least), ("<=", most)) if bound is not None)
+    stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    return rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w)
+), r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE c > 1) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(list_filter(w.w, lambda x: x IN ({stop}))) AS n_stop
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {rules} AS kept FROM b
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexforge.llm.language import fit, held_out, identify
 
@@ -126,4 +149,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op8_exact_top_k": OP8_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op8_exact_top_k": OP8_SQL, "op9_quality_rules": _op9_sql()}
