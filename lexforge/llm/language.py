@@ -78,7 +78,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 400, max_languages: int = 64, clusters: int = 4, margin: float = 0.6) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 400, max_languages: int = 64, clusters: int = 4, margin: float = 0.5) -> Model:
     """Learns from labelled rows with a text and a label.
 
     Of each language about `per_language` rows are taken, those with the smallest hash of text; only their vectors,
