@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lexforge import sources as S
 from lexforge import streaming as X
+from lexforge.operators import geography as P
 from lexforge.operators import ranking as R
+from lexforge.operators import references as N
 from lexforge.operators import structure as D
 
 
@@ -86,7 +88,21 @@ def hourly_counts(spark: SparkSession, sf: str) -> DataFrame:
     return ev.select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("start"), "event_type", "n")
 
 
-QUERIES = (structure_units, structure_chunks, law_classes, rank_factors, revisions, json_pick, limiter, hourly_counts)
+AREAS = {"hinter": ["than", "the and"], "vorder": ["den", "und"], "lontano": ["avec", "dans les"]}
+
+
+def places(spark: SparkSession, sf: str) -> DataFrame:
+    """All places of a small gazetteer in all documents, the surest five of each kind."""
+    return P.capped(P.detect(_t(spark, sf, "documents"), AREAS, "doc_id", "text"), "doc_id").select("doc_id", "slug", "start", "end", "applicability", "confidence")
+
+
+def reference_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as acts that repeal their customer's and their own number."""
+    act = F.concat(F.lit("Bekendtgørelse nr. "), "o_custkey", F.lit(" af 1. maj 1999 ophæves.\nLov nr. "), "o_orderkey", F.lit(" af 2/3/2001 ophæves"))
+    return N.repealed(_t(spark, sf, "orders").select("o_orderkey", act.alias("text")), "o_orderkey", "text")
+
+
+QUERIES = (places, reference_targets, structure_units, structure_chunks, law_classes, rank_factors, revisions, json_pick, limiter, hourly_counts)
 
 
 def queries() -> dict:
@@ -95,6 +111,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "reference_targets": "SELECT o_orderkey, 'BEK ' || o_custkey || '/1999' AS target FROM orders UNION SELECT o_orderkey, 'LOV ' || o_orderkey || '/2001' FROM orders",
         "structure_units": UNITS_SQL,
         "law_classes": LAW_SQL,
         "revisions": "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 5.0 WHEN s_suppkey % 3 = 0 THEN 3.0 ELSE s_acctbal END::DOUBLE AS s_acctbal, CASE WHEN s_suppkey % 5 = 0 THEN 2 WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS revision FROM supplier",
