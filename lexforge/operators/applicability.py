@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Comparators by the kind of the field.
@@ -120,3 +120,54 @@ def evaluate_rules(profiles: DataFrame, rules: Sequence[Mapping], kinds: Mapping
 
 def verdict_report(verdicts: DataFrame, topic: str, values: Sequence[str]) -> DataFrame:
     return verdicts.groupBy(topic).pivot("verdict", list(values)).count().fillna(0)
+
+
+def decide(profiles: DataFrame, rule: Mapping, kinds: Mapping[str, str], key: str, on_date: str, flag: str = "flag", ports: str | None = None, near: Sequence[tuple[str, float]] = ()) -> DataFrame:
+    """One rule through its gates, in order, with every reason kept: (key, rule_id, verdict, confidence, reasons, inputs_hash).
+
+    Gates: review state, dates, jurisdiction (flag state or a port state), exclusions, conditions, discretion. A bound
+    that is met or missed narrowly and every unknown fact ask for a manual look and cost confidence, whatever the verdict.
+    """
+    day = F.lit(on_date).cast("date")
+    dates = F.lit(True)
+    if rule.get("valid_from"):
+        dates = dates & (day >= F.lit(rule["valid_from"]).cast("date"))
+    if rule.get("valid_to"):
+        dates = dates & (day <= F.lit(rule["valid_to"]).cast("date"))
+    places = list(rule.get("jurisdictions", ()))
+    here = F.lit(True)
+    if places:
+        here = F.col(flag).isin(places)
+        if ports:
+            here = here | F.arrays_overlap(F.col(ports), F.array(*[F.lit(p) for p in places]))
+    inside = compile_tree(rule["inclusion"], kinds)
+    outside = compile_tree(rule["exclusion"], kinds) if rule.get("exclusion") else F.lit(False)
+    leaves = atoms(rule["inclusion"]) + (atoms(rule["exclusion"]) if rule.get("exclusion") else [])
+    open_facts = [F.when(compile_tree(a, kinds).isNull(), F.concat(F.lit("unknown: "), F.lit(a["field"]))) for a in leaves]
+    narrow = [F.when(near_threshold(F.col(f), b), F.concat(F.lit("near bound: "), F.lit(f))) for f, b in near]
+    free = F.lit(bool(rule.get("discretion")))
+    verdict = (
+        F.when(F.lit(rule.get("state", "approved") != "approved"), "not_reviewed")
+        .when(~dates, "not_in_force")
+        .when(~here, "other_jurisdiction")
+        .when(outside, "excluded")
+        .when(~inside, "does_not_apply")
+        .when(inside & ~outside & here, F.when(free, "discretionary").otherwise("applies"))
+        .otherwise("unclear")
+    )
+    reasons = F.array_distinct(F.array_compact(F.array(*open_facts, *narrow, F.when(here.isNull(), F.lit("unknown: jurisdiction")), F.when(free, F.lit("discretion")))))
+    used = sorted({a["field"] for a in leaves} | ({flag} if places else set()))
+    return profiles.select(
+        key,
+        F.lit(rule["rule_id"]).alias("rule_id"),
+        verdict.alias("verdict"),
+        F.greatest(F.lit(0), 100 - 15 * F.size(reasons)).alias("confidence"),
+        reasons.alias("reasons"),
+        F.sha2(F.concat_ws("\x00", F.lit(rule["rule_id"]), F.lit(on_date), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in used]), 256).alias("inputs_hash"),
+    )
+
+
+def ranked(verdicts: DataFrame, key: str) -> DataFrame:
+    """Verdicts of a profile in order: what applies first, then by confidence, fewest reasons and rule."""
+    order = F.array_position(F.array(*[F.lit(v) for v in ("applies", "discretionary", "unclear", "excluded", "does_not_apply", "other_jurisdiction", "not_in_force", "not_reviewed")]), F.col("verdict"))
+    return verdicts.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(order, F.desc("confidence"), F.size("reasons"), "rule_id")))
