@@ -311,9 +311,9 @@ def classes(docs: DataFrame, text: str = "text", shingle: int = 4, distance: int
     roots = components(edges, space)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = space.write(named, "named")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = space.write(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")  # written, so that the join below can split a hot root
     by_print = space.write(named.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "by_print")
-    space.drop("regions", "distinct", "links", "sets", "checked", "named")
+    space.drop("regions", "distinct", "links", "sets", "checked", "named", "smallest")
     space.free()
     return prints.join(by_print, "fp").select(*[c for c in prints.columns], "component_id")
 
