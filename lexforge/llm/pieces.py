@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Parts kept at once by a worker, and the longest part that is kept.
-PARTS, LONGEST = 600_000, 40
+PARTS, LONGEST = 400_000, 40
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:

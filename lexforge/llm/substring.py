@@ -129,6 +129,7 @@ def _spool(window: int, gram: int, batches_of: int):
                     fp, key, at = np.concatenate(fps), np.concatenate(keys), np.concatenate(ats)
                     batch = (_mixed(key.view(np.uint64)) % np.uint64(batches_of)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(batch), pa.array(fp), pa.array(key), pa.array(at)], ["batch", "fp", "key", "at"])
+        _hashes.clear()  # workers live on after a task
 
     return run
 
@@ -148,6 +149,7 @@ def _candidates(window: int, gram: int):
                     a, c = rolling(h[0], window, _ODD[1])[start], rolling(h[1], window, _ODD[0])[start]
                     part = (a >> np.uint64(32)) % np.uint64(SLICES)
                     yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c.astype(np.uint32).view(np.int32)), pa.array(np.full(len(start), key, np.int64)), pa.array(start.astype(np.int32))], ["part", "h", "c", "key", "at"])
+        _hashes.clear()
 
     return run
 
