@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.plans import document_queries, search_queries, text_queries
+from lexforge.plans import document_queries, listing_queries, search_queries, text_queries
 
-MODULES = (text_queries, search_queries, document_queries)
+MODULES = (text_queries, search_queries, document_queries, listing_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
