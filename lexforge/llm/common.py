@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lowers the bytes of an Arrow batch to `most`, so that long texts don't fill executors and their Python workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.sub(r"[^0-9-]", "", spark.conf.get(name, "") or "") or "-1"
+    if not 0 < int(now) <= most:
+        spark.conf.set(name, f"{most}b")
+
+
 class Workspace:
     """Written tables in the shared folder. They cut lineage, survive lost executors, and are deleted when no longer needed."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/lexforge/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexforge.llm.common import small_batches
+
 PLACES = 1 << 14
 UNKNOWN = "und"
 _LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
@@ -133,6 +135,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with lang_pred, score (cosine, 0 to 1) and rejected."""
+    small_batches(spark)
     new = ("lang_pred", "score", "rejected")
     shared = spark.sparkContext.broadcast(model)
     rest = [f for f in docs.schema.fields if f.name not in new and (keep_text or f.name != text)]

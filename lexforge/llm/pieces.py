@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexforge.llm.common import small_batches
+
 SPACE = "▁"
 #: Parts kept at once by a worker, and the longest part that is kept.
-PARTS, LONGEST = 400_000, 40
+PARTS, LONGEST = 150_000, 40
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -124,7 +126,7 @@ class Encoder:
     def compatible(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 400_000:
+            if len(self.pairs) > PARTS:
                 self.pairs.clear()
             known = self.pairs[a, b] = a + b not in self.ids and self.merge(a + b) == [a, b]
         return known
@@ -215,6 +217,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, text: str = "t
 
     The vocabulary file (its size is bounded by the vocabulary) is read on the driver and sent to the executors.
     """
+    small_batches(spark)
     with open(model_path, "rb") as f:
         shared = spark.sparkContext.broadcast(checked(f.read()))
     added = ["ids", "decoded"] if keep_ids else []
@@ -240,5 +243,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, text: str = "t
                     texts.append(back)
             new = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] if added else []
             yield pa.RecordBatch.from_arrays([*cols, *new, pa.array(n_tokens, pa.int64()), pa.array(id_hex, pa.string()), pa.array(text_hex, pa.string())], [*names, *added, "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.parts.clear()  # workers live on after a task
+        coder.pairs.clear()
 
     return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from lexforge.llm.common import Workspace, keyed
 
 #: Distinct words whose hashes a worker keeps at once.
-WORDS = 400_000
+WORDS = 150_000
 #: Parts, by hash, in which the windows around candidates are counted one after the other.
 SLICES = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
