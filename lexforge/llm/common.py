@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Lowers the bytes of an Arrow batch to `most`, so that long texts don't fill executors and their Python workers."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.sub(r"[^0-9-]", "", spark.conf.get(name, "") or "") or "-1"
+    now = re.sub(r"[^0-9-]", "", spark.conf.get(name)) or "-1"
     if not 0 < int(now) <= most:
         spark.conf.set(name, f"{most}b")
 
