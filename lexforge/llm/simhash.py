@@ -8,7 +8,9 @@ once: the differences in commonly fixed bits add up from node to child, and a pa
 dropped with all that is under it. What is left at the leaves is exact, so no link is lost.
 
 A pair of regions gives a spanning forest of its links (at most one row per fingerprint), never all pairs of a group of
-copies; components come from the forests by repeated hooking to the smallest label, in Spark, with a written table each
+copies. Where links are checked by the texts, the forest is only a first pass: a refuted link in it may stand for a true
+one. So the regions are walked once more with the components of the confirmed links, and every link between two of these
+is checked; within one of them no link can change anything. Components come from the forests by repeated hooking to the smallest label, in Spark, with a written table each
 round. At most `MAX_REGIONS` regions exist, so region summaries and their pairs are bounded.
 
 Defined cases: null, empty or blank text: fingerprint zero, linked like any other; fewer words than a shingle: the
@@ -177,7 +179,33 @@ def forest(n: int, chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.
     return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
 
 
-def _compare(distance: int):
+def _apart(fa: np.ndarray, fb: np.ndarray, roots_a: np.ndarray, roots_b: np.ndarray, distance: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links between fingerprints with different roots, in chunks of fingerprints."""
+    us, vs, held = [], [], 0
+    for i, j in links(fa, fb, distance, same):
+        apart = roots_a[i] != roots_b[j]
+        us.append(fa[i[apart]])
+        vs.append(fb[j[apart]])
+        held += len(us[-1])
+        if held >= 1 << 16:
+            yield np.concatenate(us), np.concatenate(vs)
+            us, vs, held = [], [], 0
+    if held:
+        yield np.concatenate(us), np.concatenate(vs)
+
+
+def _compare_apart(distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, *given in zip(*(batch.column(n) for n in ("a", "b", "fps_a", "fps_b", "roots_a", "roots_b")), strict=True):
+                fa, fb, roots_a, roots_b = (np.frombuffer(x.as_buffer(), "<u8") for x in given)
+                for u, v in _apart(fa, fb, roots_a, roots_b, distance, a.as_py() == b.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
+    return run
+
+
+def _compare(distance: int, closest_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, x, y in zip(*(batch.column(n) for n in ("a", "b", "fps_a", "fps_b")), strict=True):
@@ -186,7 +214,8 @@ def _compare(distance: int):
                 fb = fa if a == b else np.frombuffer(y.as_buffer(), "<u8")
                 both = fa if a == b else np.concatenate([fa, fb])
                 shift = 0 if a == b else len(fa)
-                u, v = forest(len(both), ((i, j + shift) for i, j in links(fa, fb, distance, a == b)))
+                rounds = sorted({distance // 2, distance}) if closest_first else [distance]
+                u, v = forest(len(both), ((i, j + shift) for d in rounds for i, j in links(fa, fb, d, a == b)))
                 for s in range(0, len(u), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(both[p[s : s + (1 << 16)]].view(np.int64)) for p in (u, v)], ["u", "v"])
 
@@ -194,27 +223,31 @@ def _compare(distance: int):
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (region, fp), a partition holding whole regions sorted by rank: one row (region, fps, both, some) per region."""
+    """Rows (region, fp, root), a partition holding whole regions sorted by rank: one row (region, fps, roots, every, some) per region."""
     held: dict[int, list] = {}
     for b in batches:
-        region, fp = b.column("region").to_numpy(), b.column("fp").to_numpy()
+        region, rows = b.column("region").to_numpy(), np.stack([b.column("fp").to_numpy(), b.column("root").to_numpy()])
         for r in np.unique(region):
-            held.setdefault(int(r), []).append(fp[region == r])
+            held.setdefault(int(r), []).append(rows[:, region == r])
     for r, parts in held.items():
-        fps = np.concatenate(parts)
-        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([fps.astype("<i8").tobytes()], pa.binary()), pa.array([np.bitwise_and.reduce(fps)]), pa.array([np.bitwise_or.reduce(fps)])], ["region", "fps", "every", "some"])
+        fps, roots = np.concatenate(parts, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (fps, roots)), pa.array([np.bitwise_and.reduce(fps)]), pa.array([np.bitwise_or.reduce(fps)])], ["region", "fps", "roots", "every", "some"])
+
 
+def linked(fps: DataFrame, space: Workspace, distance: int = 4, closest_first: bool = False) -> DataFrame:
+    """(u, v) between distinct fingerprints: spanning forests of all links at up to `distance`. fps: distinct longs `fp`.
 
-def linked(fps: DataFrame, space: Workspace, distance: int = 4) -> DataFrame:
-    """(u, v) between distinct fingerprints: spanning forests of all links at up to `distance`. fps: distinct longs `fp`."""
-    spark = space.spark
-    ranked = fps.select("fp", gray_rank(F.col("fp")).alias("rank"))
+    Where fps has `root` also, they are all links between different roots instead. closest_first: the forests prefer
+    close links, which a check is less likely to refute.
+    """
+    spark, rooted = space.spark, "root" in fps.columns
+    ranked = fps.select("fp", F.col("root" if rooted else "fp").alias("root"), gray_rank(F.col("fp")).alias("rank"))
     count = fps.count()
     regions = min(MAX_REGIONS, max(LEAST_REGIONS, -(-count // REGION_ROWS)))
     cuts = ranked.select(F.percentile_approx(F.col("rank").cast("double"), [i / regions for i in range(1, regions)], 20_000)).first()[0] or []
     region = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("rank").cast("double"))) if cuts else F.lit(0)
     packed = space.write(
-        ranked.withColumn("region", region.cast("int")).repartition(regions, "region").sortWithinPartitions("region", "rank").select("region", "fp").mapInArrow(_pack, "region int, fps binary, every long, some long"),
+        ranked.withColumn("region", region.cast("int")).repartition(regions, "region").sortWithinPartitions("region", "rank").select("region", "fp", "root").mapInArrow(_pack, "region int, fps binary, roots binary, every long, some long"),
         "regions",
     )
     # Whole pairs of regions go by their summaries: at most MAX_REGIONS rows.
@@ -225,10 +258,11 @@ def linked(fps: DataFrame, space: Workspace, distance: int = 4) -> DataFrame:
         return spark.createDataFrame([], "u long, v long")
     partners = {a: [b for x, b in pairs if x == a] for a in tops}
     table = F.create_map(*[x for a, bs in partners.items() if bs for x in (F.lit(a), F.lit(bs).cast("array<int>"))])
-    left = packed.select(F.col("region").alias("a"), F.col("fps").alias("fps_a"), F.explode(F.element_at(table, F.col("region"))).alias("b"))
-    right = packed.select(F.col("region").alias("b"), F.col("fps").alias("fps_b"))
+    carried = ["fps", "roots"] if rooted else ["fps"]
+    left = packed.select(F.col("region").alias("a"), *[F.col(c).alias(f"{c}_a") for c in carried], F.explode(F.element_at(table, F.col("region"))).alias("b"))
+    right = packed.select(F.col("region").alias("b"), *[F.col(c).alias(f"{c}_b") for c in carried])
     tiles = left.join(right, "b").repartition(len(pairs), "a", "b")
-    return tiles.select("a", "b", "fps_a", "fps_b").mapInArrow(_compare(distance), "u long, v long")
+    return tiles.select("a", "b", *[f"{c}_{side}" for c in carried for side in "ab"]).mapInArrow(_compare_apart(distance) if rooted else _compare(distance, closest_first), "u long, v long")
 
 
 def components(edges: DataFrame, space: Workspace) -> DataFrame:
@@ -305,15 +339,25 @@ def classes(docs: DataFrame, text: str = "text", shingle: int = 4, distance: int
     space = Workspace(docs.sparkSession, "simhash")
     prints = space.write(fingerprints(docs, text, shingle), "prints")
     distinct = space.write(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    edges = space.write(linked(distinct.select("fp"), space, distance), "links")
+    edges = space.write(linked(distinct.select("fp"), space, distance, closest_first=verify is not None), "links")
+    again = Workspace(docs.sparkSession, "simhash-again")
     if verify is not None:
         edges = _checked(edges, distinct, docs, text, key, shingle, verify, space)
     roots = components(edges, space)
+    if verify is not None:
+        # A refuted link of the forest may have taken the place of a true one: all links that the confirmed ones leave open are checked.
+        rooted = again.write(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+        space.drop("regions", "sets")
+        more = _checked(again.write(linked(rooted, again, distance), "links"), distinct, docs, text, key, shingle, verify, again)
+        again.drop("regions", "links", "sets", "rooted")
+        if not more.isEmpty():
+            roots = components(edges.union(more), again)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = space.write(named, "named")
     smallest = space.write(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")  # written, so that the join below can split a hot root
     by_print = space.write(named.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "by_print")
     space.drop("regions", "distinct", "links", "sets", "checked", "named", "smallest")
+    again.drop("")
     space.free()
     return prints.join(by_print, "fp").select(*[c for c in prints.columns], "component_id")
 

@@ -75,3 +75,25 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in queries.op4_simhash(spark, SF).collect()), key=repr)
     assert got == brute(rows)
+
+
+def test_chance_neighbours_hide_no_copies(spark):
+    """Families of a text, a copy of it and half-alike texts, all within the distance: only links that the check confirms join."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for family in range(12):
+        base = [f"w{family}x{i}" for i in range(120)]
+        for changed in (1, 30, 45, 0, 60):
+            at = set(rng.choice(60, changed, replace=False).tolist()) if changed else set()
+            texts.append(" ".join(f"v{len(texts)}y{i}" if i in at else w for i, w in enumerate(base)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    prints = [brute_print(t, 5) for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if (prints[a] ^ prints[b]).bit_count() <= 24 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = classes(docs, shingle=5, distance=24, verify=0.8).orderBy("doc_id").collect()
+    assert len(set(label)) < len(texts) and [r.component_id for r in found] == label
