@@ -101,11 +101,17 @@ class Encoder:
                 inside.setdefault(a, set()).add(b)
         self.inside = inside
         # Cuts made by one pattern: around line breaks, before SPACE runs, and around marks that touch no letter in any piece.
-        letters = [c for c in {c for p in self.ids for c in p} if c.isalpha()]
+        # The pattern's letters are all of [^\W\d_] but the vocabulary's superscripts, fractions and the like, which stand before marks in pieces.
+        known = {c for p in self.ids for c in p if re.match(rf"[^\W\d_{SPACE}]", c)}
+        letters = [c for c in known if c.isalpha()]
+        others = "".join(re.escape(c) for c in sorted(known.difference(letters)))
         marks = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
         self.before_mark = "".join(re.escape(m) for m in marks if not any(m in inside.get(a, ()) for a in letters))
         mark = f"[{self.before_mark}]" if self.before_mark else r"(?!)"
-        self.cut = re.compile(rf"{SPACE}*[^\W\d_{SPACE}]+(?={mark}|[{SPACE}\n]|\Z)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
+        self.cut = re.compile(rf"{SPACE}*[^\W\d_{SPACE}{others}]+(?={mark}|[{SPACE}\n]|\Z)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
+        # A piece that a cut would divide: texts of such a vocabulary are not cut.
+        if any(b == SPACE != a or (a == "\n") != (b == "\n") for a, after in inside.items() for b in after):
+            self.cut = re.compile(r".+", re.S)
         self.parts = _Parts(self)
 
     def merge(self, text: str) -> list[str]:

@@ -41,6 +41,16 @@ def test_random_texts(both):
         agree(both, "aB" * n)
 
 
+def test_marks_after_superscripts_and_fractions(both):
+    agree(both, "an area of 40 km². The next m², m³. and x¹, ½. ¼, Ⅳ. a²b. (c²)")
+    alone = sorted({c for p in both[0].ids for c in p if c.isnumeric() and not c.isdecimal()})
+    for c in alone:
+        for mark in map(chr, range(33, 127)):
+            agree(both, f"km{c}{mark} The {c}{mark}{mark}x")
+    assert any(len(p) > 1 and p[0] in alone and p[1] in ".,)" for p in both[0].ids)
+    assert both[0].cut.findall("▁a▁b") == ["▁a", "▁b"]
+
+
 def test_backtracking_alone(both):
     own, library = both
     for text in ("▁unbelievably", "▁" * 37, "▁aaaaaaaaaaaaaaaaaaaaa", "▁thththththe"):
