@@ -5,8 +5,8 @@ fixed number of places, weighted by TF-IDF and brought to length one. Each langu
 spherical k-means over a bounded sample of labelled rows; a text gets the language of the centroid with the highest
 cosine. A text that is further from its centroid than nearly all training texts of that centroid were, with a margin, is rejected.
 
-Bounds of the model (all parameters): `per_language` training rows for each of the `max_languages` most frequent
-languages, `clusters` centroids each, `PLACES` numbers in a centroid. Prediction reads whole texts of all rows.
+Bounds of the model (all parameters): `per_language` training texts for each of the `max_languages` languages
+with the most different texts, `clusters` centroids each, `PLACES` numbers in a centroid. Prediction reads whole texts of all rows.
 
 Defined cases: null text or no letter: `und`, score 0, rejected; null label: not learned from; no training rows: all
 `und`; texts of any length are read whole; repeated rows are predicted alike; other columns pass through.
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,34 +83,37 @@ def held_out(doc_id: Column) -> Column:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 400, max_languages: int = 64, clusters: int = 4, margin: float = 0.5) -> Model:
     """Learns from labelled rows with a text and a label.
 
-    Of each language about `per_language` rows are taken, those with the smallest hash of text; only their vectors,
-    not their texts, come to the driver. `margin`: part of the training texts' low (0.5 %) cosine that a text must reach.
+    Of each language the `per_language` different texts with the smallest hashes are taken (all, if there are fewer), of
+    those that have a letter; copies count once. Only their vectors, not the texts, come to the driver, one a text. `margin`: part of the training texts' low (0.5 %) cosine that a text must reach.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    if not counts:
+    rows = labelled.where(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("h"))
+    distinct = rows.select("lang", "h").distinct()
+    names = [r["lang"] for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
+    if not names:
         return Model([], np.zeros((0, PLACES), np.float32), np.ones(PLACES, np.float32), np.zeros(0))
-    part = F.lit(None).cast("double")
-    for name, n in counts.items():
-        part = F.when(F.col("lang") == name, F.lit(min(1.0, 1.3 * per_language / n))).otherwise(part)
-    sample = rows.where(F.pmod("h", F.lit(1 << 30)) < part * (1 << 30))
+    # Spark limits the ranks before the shuffle too, so a language's task gets `per_language` rows of each task before it at most.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = distinct.where(F.col("lang").isin(names)).withColumn("place", place).where(F.col("place") <= per_language).select("lang", "h")
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("text", "lang", "h")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # at most `per_language` times `max_languages`
         for b in batches:
             out = []
             for t, name, h in zip(b.column("text"), b.column("lang"), b.column("h"), strict=True):
-                v = grams(t.as_py())
+                text_of = (name.as_py(), h.as_py())
+                v = grams(t.as_py()) if text_of not in seen else None
+                seen.add(text_of)
                 if v is not None:
                     at = np.flatnonzero(v)
-                    out.append((name.as_py(), h.as_py(), at.astype("<i4").tobytes(), v[at].tobytes()))
+                    out.append((*text_of, at.astype("<i4").tobytes(), v[at].tobytes()))
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["lang", "h", "at", "n"])
 
     taken: dict[str, list] = {}
-    for r in sorted(sample.mapInArrow(vectors, "lang string, h long, at binary, n binary").collect(), key=lambda r: (r["lang"], r["h"], bytes(r["at"]))):
-        group = taken.setdefault(r["lang"], [])
-        if len(group) < per_language:
-            group.append((np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], np.float32)))
+    found = sample.mapInArrow(vectors, "lang string, h long, at binary, n binary").groupBy("lang", "h").agg(F.min(F.struct("at", "n")).alias("v"))
+    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"])):
+        taken.setdefault(r["lang"], []).append((np.frombuffer(r["v"]["at"], "<i4"), np.frombuffer(r["v"]["n"], np.float32)))
     df = np.zeros(PLACES)
     for group in taken.values():
         for at, _ in group:

@@ -34,3 +34,13 @@ def test_odd_documents(spark):
 def test_nothing_to_learn(spark):
     model = fit(no_docs(spark))
     assert {r.lang_pred for r in identify(spark, odd_docs(spark), model).collect()} == {UNKNOWN}
+
+
+def test_every_language_is_learned_once_a_text(spark):
+    """Many copies of few texts: every language is in the model, and copies change nothing in it."""
+    texts = [(f"{name} word{chr(97 + i)} {name * 3} and other {name}s", name) for name in ("abc", "def", "ghi", "jkl", "mno", "pqr") for i in range(3)]
+    few = spark.createDataFrame([(t, name) for t, name in texts], "text string, lang string")
+    many = few.crossJoin(spark.range(2000).select()).union(spark.createDataFrame([("12 34", "digits")], "text string, lang string"))
+    one, more = fit(few, per_language=2), fit(many, per_language=2)
+    assert set(more.languages) == {name for _, name in texts}
+    assert more.languages == one.languages and (more.centroids == one.centroids).all() and (more.idf == one.idf).all()
