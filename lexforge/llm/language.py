@@ -27,15 +27,13 @@ from lexforge.llm.common import small_batches
 
 PLACES = 1 << 14
 UNKNOWN = "und"
-_LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def grams(text: str) -> np.ndarray | None:
     """Counts of the hashed n-grams of a text; None if it has no letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), dtype="<u4")
-    letter = np.ones(len(points), bool)
-    low = points < (1 << 16)
-    letter[low] = _LETTER[points[low]]
+    letter = _LETTER[points]
     if not letter.any():
         return None
     points = np.where(letter, points, 32).astype(np.uint64)

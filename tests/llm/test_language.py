@@ -44,3 +44,11 @@ def test_every_language_is_learned_once_a_text(spark):
     one, more = fit(few, per_language=2), fit(many, per_language=2)
     assert set(more.languages) == {name for _, name in texts}
     assert more.languages == one.languages and (more.centroids == one.centroids).all() and (more.idf == one.idf).all()
+
+
+def test_emoji_are_no_letters(spark):
+    assert grams("\U0001f600\U0001f601 12 \U0001f600") is None
+    assert (grams("a \U0001f600 b") == grams("a b")).all() and grams("\U00010400\U00020000") is not None
+    model = fit(spark.createDataFrame([("some words", "en"), ("viele Worte", "de")], "text string, lang string"))
+    (r,) = identify(spark, spark.createDataFrame([("\U0001f600 7 \U0001f680",)], "text string"), model).collect()
+    assert (r.lang_pred, r.score, r.rejected) == (UNKNOWN, 0.0, True)
