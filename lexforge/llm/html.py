@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-The page becomes a tree of elements; what never is main text (scripts, styles, forms, menus, side bars, adverts,
-notices, reader comments and the like) is cut off by element, role, class and id. For every node the link-adjusted
+The page becomes a tree of elements; what never is main text (scripts, styles, controls, menus, side bars, adverts,
+notices, reader comments and the like) is cut off by element, role, class and id; so are forms, field sets and objects,
+unless they hold an article or main element or more than half of the text that stays. For every node the link-adjusted
 number of characters per tag is computed:
 
     density = C / T * log_B(C / L * T / K),  B = ln(C / (C - L) * L + L_body / C_body * C + e)
@@ -34,6 +35,8 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 DROPPED = frozenset("script style noscript iframe template head title nav footer aside form button input select option textarea label fieldset object embed svg canvas video audio map menu dialog noembed noframes".split())
+#: Those of them that may wrap the main text.
+WRAPPERS = frozenset("form fieldset object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -62,7 +65,7 @@ PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "noise", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "noise", "chars", "links", "tags", "link_tags", "density", "total", "wraps")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.noise = tag, parent, noise
@@ -70,7 +73,7 @@ class Node:
 
 
 def _noise(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
+    if tag in DROPPED and tag not in WRAPPERS:
         return True
     if not attributes or tag in ("html", "body"):
         return False
@@ -151,29 +154,41 @@ def parse(page: str) -> Node:
 
 def _prune(root: Node) -> None:
     """Cuts noise off; a header goes too unless it is the heading of an article or main element."""
+    _weigh(root)
+    most = root.chars / 2
     stack = [root]
     while stack:
         node = stack.pop()
         kept = []
         for x in node.items:
             if type(x) is not str:
-                if x.noise and (x.tag in DROPPED or not _holds_main(x)) or x.tag == "header" and not _heads_article(x):
+                if _dropped(x) or x.tag in WRAPPERS and not x.wraps and x.chars <= most or x.tag == "header" and not _heads_article(x):
                     continue
                 stack.append(x)
             kept.append(x)
         node.items = kept
 
 
-def _holds_main(node: Node) -> bool:
-    """Whether an element that is noise by its name wraps the page's article or main element."""
-    stack = [node]
+def _dropped(node: Node) -> bool:
+    """Whether an element goes by its name: not if it is noise by class, id or role, but wraps the page's article or main element."""
+    return node.noise and (node.tag in DROPPED and node.tag not in WRAPPERS or not node.wraps)
+
+
+def _weigh(root: Node) -> None:
+    """Sets the characters of every node without noise, and whether it wraps an article or main element."""
+    order, stack = [], [root]
     while stack:
-        for x in stack.pop().items:
-            if type(x) is not str and x.tag not in DROPPED:
-                if x.tag in ("article", "main") and not x.noise:
-                    return True
-                stack.append(x)
-    return False
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in node.items if type(x) is not str]
+    for n in reversed(order):
+        n.chars, n.wraps = 0, False
+        for x in n.items:
+            if type(x) is str:
+                n.chars += len(x) - sum(map(x.count, " \n\t\r"))
+            elif not _dropped(x):
+                n.chars += x.chars
+                n.wraps |= x.wraps or x.tag in ("article", "main") and not x.noise
 
 
 def _heads_article(node: Node) -> bool:

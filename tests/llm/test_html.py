@@ -38,3 +38,15 @@ def test_query(spark):
         body = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         parts = (" ".join(html.unescape(re.sub("<[^>]+>", " ", x)).split()) for x in re.split(r"</?p>|</?h1>", body))
         assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+def test_wrappers_of_the_whole_page():
+    text = "long text " * 40
+    for tag in ("form", "fieldset", "object"):
+        page = f"<body><{tag} id=aspnetForm><nav>menu</nav><input name=a><select><option>x</select><article><h1>Head</h1><p>{text}</p></article><button>Go</button></{tag}></body>"
+        assert main_text(page) == f"Head\n\n{text.strip()}"
+        page = f"<body><{tag}><div><h1>Head</h1><p>{text}</p></div><div><label>Name</label><textarea>y</textarea></div></{tag}><p>short</p></body>"
+        assert f"Head\n\n{text.strip()}" in main_text(page) and "Name" not in main_text(page)
+        page = f"<body><main><p>{text}</p><{tag}><p>Write to us</p></{tag}></main></body>"
+        assert main_text(page) == text.strip()
+    assert main_text("<body>" + "<form><fieldset>" * 3000 + f"<main>{text}</main>") == text.strip()
