@@ -6,6 +6,8 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexforge-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -38,12 +42,18 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
 
 
 class Workspace:
-    """Written tables in the shared folder. They cut lineage, survive lost executors, and are deleted when no longer needed."""
+    """Written tables in the shared folder. They cut lineage, survive lost executors, and are deleted when no longer needed.
+
+    What an operator returns may read some of them, so those stay until `released` or `release_all` deletes them.
+    """
+
+    opened: list[Workspace] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         small_batches(spark)
         self.root = f"{shared_dir(spark)}/lexforge/{name}-{uuid.uuid4().hex}"
+        Workspace.opened.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -68,6 +78,31 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes, at its end, the work tables of operators called inside: for results that are written inside."""
+    mark = len(Workspace.opened)
+    yield
+    while len(Workspace.opened) > mark:
+        space = Workspace.opened.pop()
+        delete(space.spark, space.root)
+
+
+def release_all() -> None:
+    """Deletes all work tables of this process; results not yet written can't be read any more."""
+    while Workspace.opened:
+        space = Workspace.opened.pop()
+        delete(space.spark, space.root)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, lengthened until docs have no such column, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

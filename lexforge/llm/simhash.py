@@ -1,48 +1,94 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-Fingerprints: 64 bits from the XXH64 hashes (seed 42) of all word shingles of a text. Equal fingerprints are gathered
-first, with map-side counts. The distinct ones are ordered by Gray rank (neighbours in that order differ in few bits)
-and cut into regions at quantiles. In a region they form a tree with `FAN` children to a node: a node holds the mask of
-the bits in which all its fingerprints agree and their pattern there. Two regions are compared by walking both trees at
-once: the differences in commonly fixed bits add up from node to child, and a pair of nodes beyond the distance is
-dropped with all that is under it. What is left at the leaves is exact, so no link is lost.
+Fingerprints: 64 bits from the XXH64 hashes (seed 42) of all word shingles of a text, or a multiple of 64 bits, the
+further words from mixed hashes. Equal ones are gathered first, with map-side counts. An order of the index is a
+permutation of the bits: fingerprints are sorted by the Gray rank of the permuted bits (neighbours differ in few bits),
+and those with the same first `prefix` bits form a bucket. A bucket is cut into regions of at most `REGION_ROWS`
+fingerprints, however large it is. In a region fingerprints form a tree with `FAN` children to a node: a node holds the
+mask of the bits in which all its fingerprints agree and their pattern there. Regions of a bucket are compared by walking
+both trees at once: the differences in commonly fixed bits add up, word by word and from node to child, and a pair of
+nodes beyond the distance is dropped with all that is under it. Pairs of whole regions are dropped in the same way by
+their summaries, in a join. So no task holds more than two regions, whatever the number of documents.
+
+The prefix grows with the logarithm of the number of fingerprints, so that a bucket has about a region of chance members.
+Which orders there are makes the prefix safe:
+
+- exact (`similarity` not given): the bits are cut into s blocks and each order leads with another choice of s - distance
+  of them. Two fingerprints within the distance agree wholly in one such choice, so no link is lost at any size.
+- by similarity: each order leads with other bits, and there are so many that texts of just this similarity meet in one
+  of them with the probability `MEET` at least; the distance is that which they keep with the probability `WITHIN`.
 
 A pair of regions gives a spanning forest of its links (at most one row per fingerprint), never all pairs of a group of
-copies. Where links are checked by the texts, the forest is only a first pass: a refuted link in it may stand for a true
-one. So the regions are walked once more with the components of the confirmed links, and every link between two of these
-is checked; within one of them no link can change anything. Components come from the forests by repeated hooking to the smallest label, in Spark, with a written table each
-round. At most `MAX_REGIONS` regions exist, so region summaries and their pairs are bounded.
+copies. Where links are checked by the texts (`verify`), nodes are different texts, not fingerprints, and the forest is
+only a first pass: a refuted link in it may stand for a true one. So components with a refuted link are walked once more,
+and every link between two parts of them that the confirmed links leave apart is checked; within a part no link can
+change anything. Components come from the forests by repeated hooking to the smallest label, in Spark, with a written
+table each round.
 
 Defined cases: null, empty or blank text: fingerprint zero, linked like any other; fewer words than a shingle: the
 whole sequence is one; texts are read whole; repeated rows share a fingerprint and a component; a null doc_id is left
-out of the choice of the smallest; other columns pass through `deduplicated`.
+out of the choice of the smallest; no rows: no rows; ties do not arise, as a component is a set; other columns, whatever
+their names, pass through `deduplicated`.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import Workspace, keyed
+from lexforge.llm.common import Workspace, free_name, keyed
 
-REGION_ROWS, LEAST_REGIONS, MAX_REGIONS = 32_768, 8, 256
+REGION_ROWS = 4096
 FAN = 32
 #: Pairs of nodes that are looked at together.
-CHUNK = 1 << 8
-
-
-def distance_at(similarity: float) -> int:
-    """Bits in which the fingerprints of two texts with this Jaccard similarity differ on average, rounded down.
-
-    Shingle sets of similarity J have the cosine 2 J / (1 + J), and a bit differs with the probability angle / pi.
-    """
-    return int(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+CHUNK = 1 << 7
+#: Probabilities, for texts of just the wanted similarity, that they meet in an order and that they are within the distance.
+MEET, WITHIN = 0.985, 0.985
+FLIP = -(1 << 63)
+
+
+def bit_apart(similarity: float) -> float:
+    """Probability that a bit differs between texts of this Jaccard similarity: their sets have the cosine 2 J / (1 + J), and it is angle / pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def distance_at(similarity: float, bits: int = 64, within: float = WITHIN) -> int:
+    """The least number of bits within which the fingerprints of two such texts are with the probability `within`."""
+    p, sum_ = bit_apart(similarity), 0.0
+    for d in range(bits + 1):
+        sum_ += math.comb(bits, d) * p**d * (1 - p) ** (bits - d)
+        if sum_ >= within:
+            return d
+    return bits
+
+
+def orders_of(count: int, bits: int, distance: int, similarity: float | None = None, region: int = REGION_ROWS) -> tuple[int, list[list[int]]]:
+    """(prefix, permutations of the bits) for so many fingerprints; see the module's description."""
+    prefix = max(0, math.ceil(math.log2(max(1, count) / region)))
+    if not prefix:
+        return 0, [list(range(bits))]
+    if similarity is not None:
+        alone = (1 - bit_apart(similarity)) ** prefix
+        n = 1 if alone >= MEET else math.ceil(math.log(1 - MEET) / math.log(1 - alone))
+        leads = [random.Random(o).sample(range(bits), prefix) for o in range(n)]
+    else:
+        blocks = distance + 1
+        while blocks < bits and (blocks - distance) * (bits // blocks) < prefix:
+            blocks += 1
+        size = bits // blocks
+        parts = [list(range(i * size, (i + 1) * size)) for i in range(blocks)]
+        leads = [sum(chosen, []) for chosen in combinations(parts, blocks - distance)]
+        prefix = min(prefix, len(leads[0]))
+    return prefix, [lead + [b for b in range(bits) if b not in set(lead)] for lead in leads]
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -58,87 +104,123 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([hash_of(joined[a : b - 1], 42) for a, b in zip(starts[:n], ends[min(shingle, len(words)) - 1 :], strict=False)], dtype="<u8")
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    h = shingle_hashes(text, shingle)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(h), 4096):
-        counts += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
+def _further(h: np.ndarray, word: int) -> np.ndarray:
+    """Hashes for a further word of a fingerprint; word 0: as they are."""
+    if word:
+        with np.errstate(over="ignore"):
+            h = (h ^ (h >> np.uint64(31)) ^ np.uint64(word)) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+            h = h ^ (h >> np.uint64(32))
+    return h
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
-    """docs without `text`, with `fp`, the fingerprint as a signed long."""
-    rest = [f for f in docs.schema.fields if f.name not in (text, "fp", "component_id")]
-    names = [f.name for f in rest]
+def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> tuple[int, ...]:
+    hashes = shingle_hashes(text, shingle)
+    out = []
+    for word in range(words):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 4096):
+            h = _further(hashes[at : at + 4096], word)
+            counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little"))
+    return tuple(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column("_text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    schema = docs.select(*names).schema
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema.add("fp", "long"))
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def gray_rank(fp: Column) -> Column:
-    """Rank in Gray order, flipped so that signed comparison orders it."""
-    for shift in (1, 2, 4, 8, 16, 32):
-        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
-    return fp.bitwiseXOR(F.lit(-(1 << 63)))
+def fingerprints(docs: DataFrame, key: str, text: str = "text", shingle: int = 4, words: int = 1, by_text: bool = False) -> DataFrame:
+    """(key, f0, f1, ...): fingerprints as signed longs; by_text: also t0 and t1, a 128-bit hash of the words in lower case."""
+    names = [f"f{w}" for w in range(words)] + ["t0", "t1"] * by_text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column("t"):
+                t = t.as_py()
+                h = divmod(xxhash.xxh3_128_intdigest(b" ".join((t or "").encode().lower().split())), 1 << 64) if by_text else ()
+                rows.append((*fingerprint(t, shingle, words), *h))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column("key"), *map(_signed, columns)], ["key", *names])
+
+    given = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    schema = given.select("key").schema
+    for n in names:
+        schema = schema.add(n, "long")
+    return given.mapInArrow(run, schema)
 
 
 class Tree:
-    """The levels of a region's tree, leaves first; each level holds (pattern, mask) of the nodes, padded to whole groups."""
+    """The levels of a region's tree, leaves first; each level holds (pattern, mask) of each word of the nodes, padded to whole groups."""
 
     def __init__(self, fps: np.ndarray):
         self.n = len(fps)
         self.levels = []
-        pattern, mask = fps, np.full(len(fps), ~np.uint64(0))
+        pattern, mask = fps.T, np.full(fps.T.shape, ~np.uint64(0))
         while True:
-            more = -len(pattern) % FAN
-            pattern = np.concatenate([pattern, np.repeat(pattern[-1:], more)])
-            mask = np.concatenate([mask, np.repeat(mask[-1:], more)])
-            p, m = pattern.reshape(-1, FAN), mask.reshape(-1, FAN)
-            self.levels.append((p, m))
-            if len(p) == 1:
+            more = -pattern.shape[1] % FAN
+            pattern = np.concatenate([pattern, np.repeat(pattern[:, -1:], more, 1)], 1)
+            mask = np.concatenate([mask, np.repeat(mask[:, -1:], more, 1)], 1)
+            self.levels.append((pattern, mask))
+            if pattern.shape[1] == FAN:
                 break
-            mask = np.bitwise_and.reduce(m, axis=1) & ~(np.bitwise_or.reduce(p, axis=1) ^ np.bitwise_and.reduce(p, axis=1))
-            pattern = p[:, 0] & mask
-            # A bit that a child doesn't fix is zero in its pattern, so it counts as fixed only where all children fix it.
+            pattern, mask = _above(pattern, mask)
+
+    def lift(self, levels: int) -> None:
+        """Roots above the root, up to so many levels."""
+        while len(self.levels) < levels:
+            self.levels.append(tuple(np.repeat(x, FAN, 1) for x in _above(*self.levels[-1])))
+
+
+def _above(pattern: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parents of a level. A bit that a child doesn't fix is zero in its pattern, so it counts as fixed only where all children fix it."""
+    p, m = (x.reshape(len(x), -1, FAN) for x in (pattern, mask))
+    fixed = np.bitwise_and.reduce(m, axis=2) & ~(np.bitwise_or.reduce(p, axis=2) ^ np.bitwise_and.reduce(p, axis=2))
+    return p[:, :, 0] & fixed, fixed
+
+
+_GRID = np.divmod(np.arange(FAN * FAN), FAN)
+_SHIFT = (FAN * FAN).bit_length() - 1
 
 
 def links(a: np.ndarray, b: np.ndarray, distance: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chunks of places (i, j) with at most `distance` differing bits; a and b are in Gray order; same: i < j only."""
-    ta, tb = Tree(a), Tree(b)
-    while len(ta.levels) < len(tb.levels):
-        ta.levels.append(_lift(ta.levels[-1]))
-    while len(tb.levels) < len(ta.levels):
-        tb.levels.append(_lift(tb.levels[-1]))
-    zero = np.zeros(1, np.int64)
-    stack = [(len(ta.levels) - 1, zero, zero)]
+    """Chunks of places (i, j) with at most `distance` differing bits; a and b (rows by words) are in Gray order; same: i < j only."""
+    ta = Tree(a)
+    tb = ta if same else Tree(b)
+    height = max(len(ta.levels), len(tb.levels))
+    ta.lift(height)
+    tb.lift(height)
+    stack = [(height - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
         if len(i) > CHUNK:
             stack += [(level, i[at : at + CHUNK], j[at : at + CHUNK]) for at in range(0, len(i), CHUNK)]
             continue
         (pa_, ma), (pb, mb) = ta.levels[level], tb.levels[level]
-        diff = pa_[i][:, :, None] ^ pb[j][:, None, :]
+        diff = pa_[0].reshape(-1, FAN)[i][:, :, None] ^ pb[0].reshape(-1, FAN)[j][:, None, :]
         if level:
-            diff &= ma[i][:, :, None] & mb[j][:, None, :]
-        hits = np.flatnonzero(np.bitwise_count(diff).ravel() <= distance)
+            diff &= ma[0].reshape(-1, FAN)[i][:, :, None] & mb[0].reshape(-1, FAN)[j][:, None, :]
+        count = np.bitwise_count(diff).ravel()
+        hits = np.flatnonzero(count <= distance)
         if not len(hits):
             continue
-        near, at = np.divmod(hits, FAN * FAN)
-        x, y = i[near] * FAN + at // FAN, j[near] * FAN + at % FAN
-        if same:
-            ok = x < y if level == 0 else x <= y
-            x, y = x[ok], y[ok]
-        if level:
-            n, m = len(ta.levels[level - 1][0]), len(tb.levels[level - 1][0])
-        else:
-            n, m = len(a), len(b)
+        near, at = hits >> _SHIFT, hits & (FAN * FAN - 1)
+        x, y = i[near] * FAN + _GRID[0][at], j[near] * FAN + _GRID[1][at]
+        n, m = (len(a), len(b)) if not level else (ta.levels[level - 1][0].shape[1] // FAN, tb.levels[level - 1][0].shape[1] // FAN)
         ok = (x < n) & (y < m)
-        x, y = x[ok], y[ok]
+        if same:
+            ok &= (x < y) if level == 0 else (x <= y)
+        x, y, total = x[ok], y[ok], count[hits[ok]].astype(np.int64)
+        for w in range(1, len(pa_)):
+            if not len(x):
+                break
+            diff = pa_[w][x] ^ pb[w][y]
+            if level:
+                diff &= ma[w][x] & mb[w][y]
+            total += np.bitwise_count(diff)
+            ok = total <= distance
+            x, y, total = x[ok], y[ok], total[ok]
         if len(x):
             if level:
                 stack.append((level - 1, x, y))
@@ -146,13 +228,6 @@ def links(a: np.ndarray, b: np.ndarray, distance: int, same: bool) -> Iterator[t
                 yield x, y
 
 
-def _lift(level: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """A root above a one-node level."""
-    p, m = level
-    mask = np.bitwise_and.reduce(m, axis=1) & ~(np.bitwise_or.reduce(p, axis=1) ^ np.bitwise_and.reduce(p, axis=1))
-    return np.repeat((p[:, 0] & mask)[None], FAN, 1).reshape(1, FAN), np.repeat(mask[None], FAN, 1).reshape(1, FAN)
-
-
 def forest(n: int, chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Those of the links that join two components when they come: a spanning forest, at most n - 1 links."""
     label = np.arange(n)
@@ -179,90 +254,136 @@ def forest(n: int, chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.
     return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
 
 
-def _apart(fa: np.ndarray, fb: np.ndarray, roots_a: np.ndarray, roots_b: np.ndarray, distance: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links between fingerprints with different roots, in chunks of fingerprints."""
-    us, vs, held = [], [], 0
-    for i, j in links(fa, fb, distance, same):
-        apart = roots_a[i] != roots_b[j]
-        us.append(fa[i[apart]])
-        vs.append(fb[j[apart]])
-        held += len(us[-1])
-        if held >= 1 << 16:
-            yield np.concatenate(us), np.concatenate(vs)
-            us, vs, held = [], [], 0
-    if held:
-        yield np.concatenate(us), np.concatenate(vs)
+def _permuted(orders: list[list[int]], prefix: int, words: int):
+    """Rows (node, root, f0, ...) into one row per order, with the bucket and the Gray rank of the permuted fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.stack([b.column(f"f{w}").to_numpy() for w in range(words)], 1).astype("<i8")
+            bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), 8 * words), axis=1, bitorder="little")
+            for o, order in enumerate(orders):
+                rank = np.ascontiguousarray(np.packbits(bits[:, order[:64]], axis=1)).view(">u8").astype(np.uint64).ravel()
+                for shift in (1, 2, 4, 8, 16, 32):
+                    rank ^= rank >> np.uint64(shift)
+                bucket = rank >> np.uint64(64 - prefix) if prefix else np.zeros_like(rank)
+                made = [pa.array(np.full(len(fps), o, np.int32)), pa.array(bucket.view(np.int64)), pa.array((rank ^ np.uint64(1 << 63)).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*made, *(b.column(n) for n in b.schema.names)], ["o", "bucket", "rank", *b.schema.names])
+
+    return run
+
 
+def _pack(words: int, region: int):
+    """Rows sorted by (o, bucket, rank) into regions: (o, bucket, region, fps, nodes, roots, every, some)."""
+    names = ["o", "bucket", "region", "fps", "nodes", "roots", "every", "some"]
 
-def _compare_apart(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, *given in zip(*(batch.column(n) for n in ("a", "b", "fps_a", "fps_b", "roots_a", "roots_b")), strict=True):
-                fa, fb, roots_a, roots_b = (np.frombuffer(x.as_buffer(), "<u8") for x in given)
-                for u, v in _apart(fa, fb, roots_a, roots_b, distance, a.as_py() == b.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+        number = TaskContext.get().partitionId() << 32
+        held: list[np.ndarray] = []  # rows of one bucket, as longs (fps, node, root)
+        size, now = 0, None
+
+        def give() -> pa.RecordBatch:
+            nonlocal number, size
+            rows = np.concatenate(held)
+            held.clear()
+            size = 0
+            number += 1
+            fps = np.ascontiguousarray(rows[:, :words])
+            parts = [pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (fps, rows[:, words], rows[:, words + 1])]
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]]), pa.array([number - 1]), *parts, *(pa.array([f.reduce(fps, axis=0)], pa.list_(pa.int64())) for f in (np.bitwise_and, np.bitwise_or))], names)
+
+        for b in batches:
+            o, bucket = b.column("o").to_numpy(), b.column("bucket").to_numpy()
+            rows = np.stack([b.column(n).to_numpy() for n in (*(f"f{w}" for w in range(words)), "node", "root")], 1)
+            edges = np.flatnonzero((o[1:] != o[:-1]) | (bucket[1:] != bucket[:-1])) + 1
+            for start, end in zip([0, *edges], [*edges, len(o)], strict=True):
+                if start == end:
+                    continue
+                if size and now != (o[start], bucket[start]):
+                    yield give()
+                now = (o[start], bucket[start])
+                while start < end:
+                    take = min(end - start, region - size)
+                    held.append(rows[start : start + take])
+                    size += take
+                    start += take
+                    if size == region:
+                        yield give()
+        if size:
+            yield give()
 
     return run
 
 
-def _compare(distance: int, closest_first: bool):
+def _compare(distance: int, words: int, rooted: bool, closest_first: bool):
+    """Over pairs of regions (or one region with itself, where b's columns are null): forests of links, or all links between different roots."""
+
+    def spread(us: np.ndarray, vs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        low, high = np.minimum(us, vs), np.maximum(us, vs)
+        for s in range(0, len(us), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + (1 << 16)]) for x in (low, high)], ["u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, x, y in zip(*(batch.column(n) for n in ("a", "b", "fps_a", "fps_b")), strict=True):
-                a, b = a.as_py(), b.as_py()
-                fa = np.frombuffer(x.as_buffer(), "<u8")
-                fb = fa if a == b else np.frombuffer(y.as_buffer(), "<u8")
-                both = fa if a == b else np.concatenate([fa, fb])
-                shift = 0 if a == b else len(fa)
+            for cells in zip(*(batch.column(f"{n}_{s}") for s in "ab" for n in ("fps", "nodes", "roots")), strict=True):
+                same = not cells[3].is_valid
+                a, nodes_a, roots_a, b, nodes_b, roots_b = (np.frombuffer(x.as_buffer(), "<i8") for x in (cells[:3] * 2 if same else cells))
+                a, b = (x.view(np.uint64).reshape(-1, words) for x in (a, b))
+                if rooted:
+                    us, vs, size = [], [], 0
+                    for i, j in links(a, b, distance, same):
+                        apart = roots_a[i] != roots_b[j]
+                        us.append(nodes_a[i[apart]])
+                        vs.append(nodes_b[j[apart]])
+                        size += len(us[-1])
+                        if size >= 1 << 16:
+                            yield from spread(np.concatenate(us), np.concatenate(vs))
+                            us, vs, size = [], [], 0
+                    if size:
+                        yield from spread(np.concatenate(us), np.concatenate(vs))
+                    continue
+                nodes = nodes_a if same else np.concatenate([nodes_a, nodes_b])
+                shift = 0 if same else len(a)
                 rounds = sorted({distance // 2, distance}) if closest_first else [distance]
-                u, v = forest(len(both), ((i, j + shift) for d in rounds for i, j in links(fa, fb, d, a == b)))
-                for s in range(0, len(u), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(both[p[s : s + (1 << 16)]].view(np.int64)) for p in (u, v)], ["u", "v"])
+                u, v = forest(len(nodes), ((i, j + shift) for d in rounds for i, j in links(a, b, d, same)))
+                yield from spread(nodes[u], nodes[v])
 
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (region, fp, root), a partition holding whole regions sorted by rank: one row (region, fps, roots, every, some) per region."""
-    held: dict[int, list] = {}
-    for b in batches:
-        region, rows = b.column("region").to_numpy(), np.stack([b.column("fp").to_numpy(), b.column("root").to_numpy()])
-        for r in np.unique(region):
-            held.setdefault(int(r), []).append(rows[:, region == r])
-    for r, parts in held.items():
-        fps, roots = np.concatenate(parts, axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (fps, roots)), pa.array([np.bitwise_and.reduce(fps)]), pa.array([np.bitwise_or.reduce(fps)])], ["region", "fps", "roots", "every", "some"])
-
+def linked(nodes: DataFrame, space: Workspace, words: int = 1, distance: int = 4, similarity: float | None = None, closest_first: bool = False, region: int = REGION_ROWS) -> DataFrame:
+    """(u, v) between nodes, u < v: spanning forests of all links at up to `distance`. nodes: (node long, f0, ...), a written table.
 
-def linked(fps: DataFrame, space: Workspace, distance: int = 4, closest_first: bool = False) -> DataFrame:
-    """(u, v) between distinct fingerprints: spanning forests of all links at up to `distance`. fps: distinct longs `fp`.
-
-    Where fps has `root` also, they are all links between different roots instead. closest_first: the forests prefer
+    Where nodes have `root` also, they are all links between different roots instead. closest_first: the forests prefer
     close links, which a check is less likely to refute.
     """
-    spark, rooted = space.spark, "root" in fps.columns
-    ranked = fps.select("fp", F.col("root" if rooted else "fp").alias("root"), gray_rank(F.col("fp")).alias("rank"))
-    count = fps.count()
-    regions = min(MAX_REGIONS, max(LEAST_REGIONS, -(-count // REGION_ROWS)))
-    cuts = ranked.select(F.percentile_approx(F.col("rank").cast("double"), [i / regions for i in range(1, regions)], 20_000)).first()[0] or []
-    region = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("rank").cast("double"))) if cuts else F.lit(0)
-    packed = space.write(
-        ranked.withColumn("region", region.cast("int")).repartition(regions, "region").sortWithinPartitions("region", "rank").select("region", "fp", "root").mapInArrow(_pack, "region int, fps binary, roots binary, every long, some long"),
-        "regions",
-    )
-    # Whole pairs of regions go by their summaries: at most MAX_REGIONS rows.
-    tops = {r["region"]: (r["every"], r["some"]) for r in packed.select("region", "every", "some").collect()}
-    mask = (1 << 64) - 1
-    pairs = [(a, b) for a in sorted(tops) for b in sorted(tops) if a <= b and bin((tops[a][0] ^ tops[b][0]) & ~(tops[a][0] ^ tops[a][1]) & ~(tops[b][0] ^ tops[b][1]) & mask).count("1") <= distance]
-    if not pairs:
-        return spark.createDataFrame([], "u long, v long")
-    partners = {a: [b for x, b in pairs if x == a] for a in tops}
-    table = F.create_map(*[x for a, bs in partners.items() if bs for x in (F.lit(a), F.lit(bs).cast("array<int>"))])
-    carried = ["fps", "roots"] if rooted else ["fps"]
-    left = packed.select(F.col("region").alias("a"), *[F.col(c).alias(f"{c}_a") for c in carried], F.explode(F.element_at(table, F.col("region"))).alias("b"))
-    right = packed.select(F.col("region").alias("b"), *[F.col(c).alias(f"{c}_b") for c in carried])
-    tiles = left.join(right, "b").repartition(len(pairs), "a", "b")
-    return tiles.select("a", "b", *[f"{c}_{side}" for c in carried for side in "ab"]).mapInArrow(_compare_apart(distance) if rooted else _compare(distance, closest_first), "u long, v long")
+    rooted, count = "root" in nodes.columns, nodes.count()
+    prefix, orders = orders_of(count, 64 * words, distance, similarity, region)
+    fps = [f"f{w}" for w in range(words)]
+    given = nodes.select("node", F.col("root" if rooted else "node").alias("root"), *fps)
+    longs = ", ".join(f"{n} long" for n in ("bucket", "rank", "node", "root", *fps))
+    ranked = given.mapInArrow(_permuted(orders, prefix, words), f"o int, {longs}")
+    parts = max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * len(orders) // (64 * region)))
+    by = ["o", "bucket", "rank", "node"]
+    packed = ranked.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(_pack(words, region), "o int, bucket long, region long, fps binary, nodes binary, roots binary, every array<long>, some array<long>")
+    packed = space.write(packed, "regions")
+    cells = ["fps", "nodes", "roots"]
+    side = lambda s: packed.select(F.col("region").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cells])
+    alone = packed.select(*[F.col(c).alias(f"{c}_a") for c in cells], *[F.lit(None).cast("binary").alias(f"{c}_b") for c in cells])
+    # Pairs of regions of one bucket go by their summaries: rows without fingerprints.
+    tops = lambda s: packed.select("o", "bucket", F.col("region").alias(s), F.col("every").alias(f"e_{s}"), F.col("some").alias(f"s_{s}"))
+    apart = sum((F.bit_count(_fixed_apart(w)) for w in range(words)), F.lit(0))
+    pairs = tops("a").join(tops("b"), ["o", "bucket"]).where((F.col("a") < F.col("b")) & (apart <= distance)).select("a", "b")
+    pairs = space.write(pairs, "pairs")
+    tiles = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    both = alone.repartition(parts).unionByName(tiles.select(*alone.columns))
+    return both.mapInArrow(_compare(distance, words, rooted, closest_first), "u long, v long").distinct()
+
+
+def _fixed_apart(w: int) -> Column:
+    """Bits of word w that both regions fix, each in its way."""
+    e_a, s_a, e_b, s_b = (F.get(n, F.lit(w)) for n in ("e_a", "s_a", "e_b", "s_b"))
+    loose = e_a.bitwiseXOR(s_a).bitwiseOR(e_b.bitwiseXOR(s_b))
+    return e_a.bitwiseXOR(e_b).bitwiseAND(F.bitwise_not(loose))
 
 
 def components(edges: DataFrame, space: Workspace) -> DataFrame:
@@ -302,8 +423,8 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
 def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column("_text")]
-            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.binary())], ["fp", "shingles"])
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column("t")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return run
 
@@ -321,51 +442,76 @@ def _alike(least: float):
     return run
 
 
-def _checked(edges: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, key: str, shingle: int, least: float, space: Workspace) -> DataFrame:
-    """Those edges of which the texts (of the rows that stand for the fingerprints) share at least the part `least` of their shingles."""
-    nodes = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).distinct()
-    stand = distinct.join(nodes, "fp").select("fp", F.col("least").alias(key))
-    sets = space.write(docs.select(key, F.col(text).alias("_text")).join(stand.hint("merge"), key).select("fp", "_text").mapInArrow(_shingle_sets(shingle), "fp long, shingles binary"), "sets")
-    side = lambda n, s: sets.select(F.col("fp").alias(n), F.col("shingles").alias(s)).hint("merge")
+def _checked(edges: DataFrame, texts: DataFrame, shingle: int, least: float, space: Workspace) -> DataFrame:
+    """Those edges of which the texts share at least the part `least` of their shingles. texts: (node, t), a row a node."""
+    nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
+    sets = space.write(texts.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(_shingle_sets(shingle), "node long, shingles binary"), "sets")
+    side = lambda n, s: sets.select(F.col("node").alias(n), F.col("shingles").alias(s)).hint("merge")
     return space.write(edges.join(side("u", "x"), "u").join(side("v", "y"), "v").select("u", "v", "x", "y").mapInArrow(_alike(least), "u long, v long"), "checked")
 
 
-def classes(docs: DataFrame, text: str = "text", shingle: int = 4, distance: int = 4, key: str = "doc_id", verify: float | None = None) -> DataFrame:
-    """docs without `text`, with fp (long) and component_id, the smallest `key` of all texts reachable over links.
+def _verified(edges: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: float, space: Workspace, **index) -> DataFrame:
+    """(node, root) over the links that the texts confirm, from the forests `edges` of all links."""
+    checked = _checked(edges, texts, shingle, least, space)
+    roots = components(checked, Workspace(space.spark, "confirmed"))
+    refuted = edges.join(checked, ["u", "v"], "left_anti")
+    space.drop("regions", "sets")
+    if refuted.isEmpty():
+        return roots
+    # A refuted link may have taken the place of a true one of its component, all of whose open links are checked.
+    every = components(edges, Workspace(space.spark, "unconfirmed"))
+    doubtful = refuted.join(every.withColumnRenamed("node", "u"), "u").select("root").distinct()
+    among = every.join(doubtful, "root", "left_semi").select("node")
+    again = Workspace(space.spark, "again")
+    rooted = nodes.join(among, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = again.write(rooted, "rooted")
+    more = _checked(again.write(linked(rooted, again, **index), "links"), texts, shingle, least, again)
+    again.drop("regions", "links", "sets", "rooted")
+    return roots if more.isEmpty() else components(checked.union(more), again)
+
+
+def _classes(docs: DataFrame, text: str, shingle: int, distance: int | None, words: int, key: str, verify: float | None, region: int, space: Workspace) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(prints, named, by): fingerprints of all rows; of each node its columns `by`, and component_id."""
+    by_text = verify is not None
+    fps = [f"f{w}" for w in range(words)]
+    by = ["t0", "t1"] if by_text else fps
+    prints = space.write(fingerprints(docs, key, text, shingle, words, by_text), "prints")
+    # A text's fingerprint follows from its words, so any of equal rows will do.
+    same = prints.groupBy(*by).agg(F.min("key").alias("least"), *[F.min(f).alias(f) for f in fps if f not in by])
+    nodes = space.write(same.withColumn("node", F.col("least" if by_text else "f0").cast("long")), "nodes")
+    index = {"words": words, "distance": distance_at(verify, 64 * words) if distance is None else distance, "region": region, "similarity": verify if distance is None else None}
+    edges = space.write(linked(nodes.select("node", *fps), space, closest_first=by_text, **index), "links")
+    if by_text:
+        texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t"))
+        roots = _verified(edges, nodes.select("node", *fps), texts, shingle, verify, space, **index)
+    else:
+        roots = components(edges, space)
+    named = space.write(nodes.join(roots, "node", "left").select(*by, "least", F.coalesce("root", "node").alias("root")), "named")
+    smallest = space.write(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")  # written, so that the join below can split a hot root
+    named = space.write(named.join(smallest, "root").select(*by, "least", "component_id"), "by_print")
+    space.drop("regions", "pairs", "nodes", "links", "sets", "checked", "named", "smallest")
+    space.free()
+    return prints, named, by
+
+
+def classes(docs: DataFrame, text: str = "text", shingle: int = 4, distance: int | None = 4, key: str = "doc_id", verify: float | None = None, words: int = 1, region: int = REGION_ROWS) -> DataFrame:
+    """(key, fp, component_id): the first word of the fingerprint (long), and the smallest `key` of all texts reachable over links.
 
     verify: links of which the texts share less than this part of their shingles (Jaccard) don't count; it needs a
-    unique `key`. At larger distances it keeps out chance neighbours among very many fingerprints.
+    unique long `key`. distance None: that which texts of the similarity `verify` keep; the index is then by similarity.
+    More than one word needs `verify`.
     """
-    space = Workspace(docs.sparkSession, "simhash")
-    prints = space.write(fingerprints(docs, text, shingle), "prints")
-    distinct = space.write(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    edges = space.write(linked(distinct.select("fp"), space, distance, closest_first=verify is not None), "links")
-    again = Workspace(docs.sparkSession, "simhash-again")
-    if verify is not None:
-        edges = _checked(edges, distinct, docs, text, key, shingle, verify, space)
-    roots = components(edges, space)
-    if verify is not None:
-        # A refuted link of the forest may have taken the place of a true one: all links that the confirmed ones leave open are checked.
-        rooted = again.write(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
-        space.drop("regions", "sets")
-        more = _checked(again.write(linked(rooted, again, distance), "links"), distinct, docs, text, key, shingle, verify, again)
-        again.drop("regions", "links", "sets", "rooted")
-        if not more.isEmpty():
-            roots = components(edges.union(more), again)
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = space.write(named, "named")
-    smallest = space.write(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")  # written, so that the join below can split a hot root
-    by_print = space.write(named.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "by_print")
-    space.drop("regions", "distinct", "links", "sets", "checked", "named", "smallest")
-    again.drop("")
-    space.free()
-    return prints.join(by_print, "fp").select(*[c for c in prints.columns], "component_id")
+    if words > 1 and verify is None or distance is None and verify is None:
+        raise ValueError("wider fingerprints and derived distances need a similarity to verify")
+    prints, named, by = _classes(docs, text, shingle, distance, words, key, verify, region, Workspace(docs.sparkSession, "simhash"))
+    return prints.join(named.select(*by, "component_id"), by).select(F.col("key").alias(key), F.col("f0").alias("fp"), "component_id")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", shingle: int = 4, distance: int = 4, verify: float | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", shingle: int = 4, distance: int | None = 4, verify: float | None = None, words: int = 1, region: int = REGION_ROWS) -> DataFrame:
     """docs with one row left of every component: the one with the smallest doc_id (of repeated ids one row)."""
     space = Workspace(docs.sparkSession, "simhash-kept")
-    rows = keyed(docs, "_key", space)
-    found = classes(rows.select("_key", text), text, shingle, distance, key="_key", verify=verify)
-    keep = space.write(found.where("_key = component_id").select("_key"), "keep")
-    return rows.join(keep, "_key", "left_semi").select(*docs.columns)
+    key = free_name(docs, "_key")
+    rows = keyed(docs, key, space)
+    _, named, _ = _classes(rows.select(key, text), text, shingle, distance, words, key, verify, region, space)
+    keep = named.where("least = component_id").select(F.col("least").alias(key))
+    return rows.join(keep, key, "left_semi").select(*docs.columns)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import types as T
 
 SF = "/root/testdata/sf0.001"
-CLASHING = ["n_words", "shard", "slot", "score", "rejected", "fp", "component_id", "copy", "block", "ids", "size", "kept", "starts", "batch", "at", "key"]
+CLASHING = ["n_words", "shard", "slot", "score", "rejected", "fp", "component_id", "copy", "block", "ids", "size", "kept", "starts", "batch", "at", "key", "_key", "_text", "_starts", "_source", "_words", "_lines", "_unit", "_slice", "text_hash", "giant", "_html", "node", "root", "t", "f0"]
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
     + [T.StructField(c, T.StringType()) for c in CLASHING]

@@ -5,7 +5,7 @@ import pytest
 import sentencepiece
 
 from tests.llm.fixtures import SF
-from tests.llm.test_simhash import brute as brute_classes
+from tests.llm.test_simhash import brute_near
 from tests.llm.test_substring import brute as brute_substrings
 
 cp = pytest.importorskip("corpus_pipeline")
@@ -25,7 +25,8 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert all(o.columns == docs.columns for o in outs[:-1])
     rows = [o.collect() for o in outs]
     assert len(rows[1]) >= 0.98 * len(rows[0])
-    kept = {c for _, _, c in brute_classes([(r.doc_id, r.text) for r in rows[1]], 9, 5)}
+    given = sorted(rows[1], key=lambda r: r.doc_id)
+    kept = {given[i].doc_id for i in brute_near([r.text for r in given])}
     assert sorted(r.doc_id for r in rows[2]) == sorted(kept)
     given = sorted(rows[2], key=lambda r: r.doc_id)
     for r, g, b in zip(sorted(rows[3], key=lambda r: r.doc_id), given, brute_substrings([g.text for g in given]), strict=True):
