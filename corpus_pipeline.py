@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import Workspace
+from lexforge.llm.common import Workspace, released
 from lexforge.llm.language import fit, held_out, identify
 from lexforge.llm.mixing import mixed
 from lexforge.llm.pieces import encode
-from lexforge.llm.simhash import deduplicated, distance_at
+from lexforge.llm.simhash import deduplicated
 from lexforge.llm.substring import remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,11 +28,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, the distance that a similarity of 0.8 has on average.
+    """One document of each group of near copies: texts that share 0.8 and more of their five-word shingles are linked.
 
-    Links by chance, which very many documents have at that distance, are told by their shingles: they share few or none.
+    Fingerprints have 128 bits, at the distance within which nearly all such texts are, so that hardly any link is chance.
     """
-    return deduplicated(docs, shingle=5, distance=distance_at(0.8), verify=0.5)
+    return deduplicated(docs, shingle=5, distance=None, verify=0.8, words=2)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,13 +66,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what lies between two of them is a written table."""
+    """Applies the stages to documents; what lies between two of them is a written table, and the stages' work tables go with them.
+
+    Null, empty and very long texts, repeated rows and ids, empty tables and further columns with any names are defined by
+    the operators: a null or letterless text ends at the first stage, repeated rows are copies to the second, and further
+    columns pass through the first four stages.
+    """
     space = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = space.write(docs, str(i))
-            if i:
-                space.drop(str(i - 1))
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with released():
+            docs = space.write(stage(spark, docs, sf_dir), str(i))
+        if i:
+            space.drop(str(i - 1))
     return docs
