@@ -22,7 +22,9 @@ A pair of regions gives a spanning forest of its links (at most one row per fing
 copies. Where links are checked by the texts (`verify`), nodes are different texts, not fingerprints, and the forest is
 only a first pass: a refuted link in it may stand for a true one. So components with a refuted link are walked once more,
 and every link between two parts of them that the confirmed links leave apart is checked; within a part no link can
-change anything. Components come from the forests by repeated hooking to the smallest label, in Spark, with a written
+change anything. Of these a pair can reach the similarity only if it could with all shingles that its texts share with
+any text of those components, which is known from counts; so heavily edited copies, which have many shingles of their
+own, aren't compared with each copy of a large group. Components come from the forests by repeated hooking to the smallest label, in Spark, with a written
 table each round.
 
 Defined cases: null, empty or blank text: fingerprint zero, linked like any other; fewer words than a shingle: the
@@ -255,7 +257,7 @@ def forest(n: int, chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.
 
 
 def _permuted(orders: list[list[int]], prefix: int, words: int):
-    """Rows (node, root, f0, ...) into one row per order, with the bucket and the Gray rank of the permuted fingerprint."""
+    """Rows (node, root, size, shared, f0, ...) into one row per order, with the bucket and the Gray rank of the permuted fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,12 +275,12 @@ def _permuted(orders: list[list[int]], prefix: int, words: int):
 
 
 def _pack(words: int, region: int):
-    """Rows sorted by (o, bucket, rank) into regions: (o, bucket, region, fps, nodes, roots, every, some)."""
-    names = ["o", "bucket", "region", "fps", "nodes", "roots", "every", "some"]
+    """Rows sorted by (o, bucket, rank) into regions: (o, bucket, region, fps, rest, every, some)."""
+    names = ["o", "bucket", "region", "fps", "rest", "every", "some"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held: list[np.ndarray] = []  # rows of one bucket, as longs (fps, node, root)
+        held: list[np.ndarray] = []  # rows of one bucket, as longs (fps, node, root, size, shared)
         size, now = 0, None
 
         def give() -> pa.RecordBatch:
@@ -288,12 +290,12 @@ def _pack(words: int, region: int):
             size = 0
             number += 1
             fps = np.ascontiguousarray(rows[:, :words])
-            parts = [pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (fps, rows[:, words], rows[:, words + 1])]
+            parts = [pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (fps, rows[:, words:].T)]
             return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]]), pa.array([number - 1]), *parts, *(pa.array([f.reduce(fps, axis=0)], pa.list_(pa.int64())) for f in (np.bitwise_and, np.bitwise_or))], names)
 
         for b in batches:
             o, bucket = b.column("o").to_numpy(), b.column("bucket").to_numpy()
-            rows = np.stack([b.column(n).to_numpy() for n in (*(f"f{w}" for w in range(words)), "node", "root")], 1)
+            rows = np.stack([b.column(n).to_numpy() for n in (*(f"f{w}" for w in range(words)), "node", "root", "size", "shared")], 1)
             edges = np.flatnonzero((o[1:] != o[:-1]) | (bucket[1:] != bucket[:-1])) + 1
             for start, end in zip([0, *edges], [*edges, len(o)], strict=True):
                 if start == end:
@@ -314,8 +316,8 @@ def _pack(words: int, region: int):
     return run
 
 
-def _compare(distance: int, words: int, rooted: bool, closest_first: bool):
-    """Over pairs of regions (or one region with itself, where b's columns are null): forests of links, or all links between different roots."""
+def _compare(distance: int, words: int, rooted: bool, closest_first: bool, least: float):
+    """Over pairs of regions (or one region with itself, where b's columns are null): forests of links, or all links between different roots that may reach the similarity `least`."""
 
     def spread(us: np.ndarray, vs: np.ndarray) -> Iterator[pa.RecordBatch]:
         low, high = np.minimum(us, vs), np.maximum(us, vs)
@@ -324,14 +326,16 @@ def _compare(distance: int, words: int, rooted: bool, closest_first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cells in zip(*(batch.column(f"{n}_{s}") for s in "ab" for n in ("fps", "nodes", "roots")), strict=True):
-                same = not cells[3].is_valid
-                a, nodes_a, roots_a, b, nodes_b, roots_b = (np.frombuffer(x.as_buffer(), "<i8") for x in (cells[:3] * 2 if same else cells))
+            for cells in zip(*(batch.column(f"{n}_{s}") for s in "ab" for n in ("fps", "rest")), strict=True):
+                same = not cells[2].is_valid
+                a, rest_a, b, rest_b = (np.frombuffer(x.as_buffer(), "<i8") for x in (cells[:2] * 2 if same else cells))
                 a, b = (x.view(np.uint64).reshape(-1, words) for x in (a, b))
+                (nodes_a, roots_a, size_a, shared_a), (nodes_b, roots_b, size_b, shared_b) = (x.reshape(4, -1) for x in (rest_a, rest_b))
                 if rooted:
                     us, vs, size = [], [], 0
                     for i, j in links(a, b, distance, same):
-                        apart = roots_a[i] != roots_b[j]
+                        common = np.minimum(shared_a[i], shared_b[j])
+                        apart = (roots_a[i] != roots_b[j]) & (common >= least * np.maximum(1, size_a[i] + size_b[j] - common))
                         us.append(nodes_a[i[apart]])
                         vs.append(nodes_b[j[apart]])
                         size += len(us[-1])
@@ -350,23 +354,25 @@ def _compare(distance: int, words: int, rooted: bool, closest_first: bool):
     return run
 
 
-def linked(nodes: DataFrame, space: Workspace, words: int = 1, distance: int = 4, similarity: float | None = None, closest_first: bool = False, region: int = REGION_ROWS) -> DataFrame:
+def linked(nodes: DataFrame, space: Workspace, words: int = 1, distance: int = 4, similarity: float | None = None, closest_first: bool = False, region: int = REGION_ROWS, least: float = 0.0) -> DataFrame:
     """(u, v) between nodes, u < v: spanning forests of all links at up to `distance`. nodes: (node long, f0, ...), a written table.
 
-    Where nodes have `root` also, they are all links between different roots instead. closest_first: the forests prefer
-    close links, which a check is less likely to refute.
+    Where nodes have root, size and shared also (shingles, and those of them that any other node has), they are all links
+    between different roots that may reach `least` instead. closest_first: the forests prefer close links, which a
+    check is less likely to refute.
     """
     rooted, count = "root" in nodes.columns, nodes.count()
     prefix, orders = orders_of(count, 64 * words, distance, similarity, region)
     fps = [f"f{w}" for w in range(words)]
-    given = nodes.select("node", F.col("root" if rooted else "node").alias("root"), *fps)
-    longs = ", ".join(f"{n} long" for n in ("bucket", "rank", "node", "root", *fps))
+    more = ["root", "size", "shared"]
+    given = nodes.select("node", *[F.col(c) if rooted else F.lit(0).cast("long").alias(c) for c in more], *fps)
+    longs = ", ".join(f"{n} long" for n in ("bucket", "rank", "node", *more, *fps))
     ranked = given.mapInArrow(_permuted(orders, prefix, words), f"o int, {longs}")
     parts = max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * len(orders) // (64 * region)))
     by = ["o", "bucket", "rank", "node"]
-    packed = ranked.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(_pack(words, region), "o int, bucket long, region long, fps binary, nodes binary, roots binary, every array<long>, some array<long>")
+    packed = ranked.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(_pack(words, region), "o int, bucket long, region long, fps binary, rest binary, every array<long>, some array<long>")
     packed = space.write(packed, "regions")
-    cells = ["fps", "nodes", "roots"]
+    cells = ["fps", "rest"]
     side = lambda s: packed.select(F.col("region").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cells])
     alone = packed.select(*[F.col(c).alias(f"{c}_a") for c in cells], *[F.lit(None).cast("binary").alias(f"{c}_b") for c in cells])
     # Pairs of regions of one bucket go by their summaries: rows without fingerprints.
@@ -376,7 +382,7 @@ def linked(nodes: DataFrame, space: Workspace, words: int = 1, distance: int = 4
     pairs = space.write(pairs, "pairs")
     tiles = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     both = alone.repartition(parts).unionByName(tiles.select(*alone.columns))
-    return both.mapInArrow(_compare(distance, words, rooted, closest_first), "u long, v long").distinct()
+    return both.mapInArrow(_compare(distance, words, rooted, closest_first, least), "u long, v long").distinct()
 
 
 def _fixed_apart(w: int) -> Column:
@@ -429,6 +435,19 @@ def _shingle_sets(shingle: int):
     return run
 
 
+def _shingles(shingle: int):
+    """A row for every different shingle of a text; a text without any has one all the same, with size 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, t in zip(b.column("node").to_pylist(), b.column("t"), strict=True):
+                h = np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64)
+                n = max(1, len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node, np.int64)), pa.array(np.full(n, len(h), np.int64)), pa.array(h if len(h) else np.zeros(1, np.int64))], ["node", "size", "h"])
+
+    return run
+
+
 def _alike(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -463,9 +482,14 @@ def _verified(edges: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     doubtful = refuted.join(every.withColumnRenamed("node", "u"), "u").select("root").distinct()
     among = every.join(doubtful, "root", "left_semi").select("node")
     again = Workspace(space.spark, "again")
-    rooted = nodes.join(among, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    among = again.write(among, "among")
+    have = again.write(texts.join(among.hint("merge"), "node", "left_semi").mapInArrow(_shingles(shingle), "node long, size long, h long"), "shingles")
+    alone = have.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = have.groupBy("node").agg(F.max("size").alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    rooted = nodes.join(sizes, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = again.write(rooted, "rooted")
-    more = _checked(again.write(linked(rooted, again, **index), "links"), texts, shingle, least, again)
+    again.drop("shingles", "among")
+    more = _checked(again.write(linked(rooted, again, least=least, **index), "links"), texts, shingle, least, again)
     again.drop("regions", "links", "sets", "rooted")
     return roots if more.isEmpty() else components(checked.union(more), again)
 

@@ -179,3 +179,19 @@ def test_chance_neighbours_hide_no_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = classes(docs, shingle=5, distance=24, verify=0.8).orderBy("doc_id").collect()
     assert len(set(label)) < len(texts) and [r.component_id for r in found] == label
+
+
+def test_heavy_edits_of_one_text(spark):
+    """A large group of copies of one text, many of them edited too much to be alike: few pairs are left to check, and none is lost."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.choice(150, i % 8, replace=False):
+            words[int(at)] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for region in (4096, 16):
+        found = [r.component_id for r in classes(docs, shingle=5, distance=None, verify=0.8, words=2, region=region).orderBy("doc_id").collect()]
+        assert found == brute_near(texts)
