@@ -109,6 +109,12 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def words(text: Column) -> Column:
     """The words of a text between ASCII white space, unchanged; null or blank: no words."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))

@@ -1,30 +1,36 @@
-"""Exact removal of repeated passages, with a log-structured fingerprint index.
+"""Removal of repeated passages, with a log-structured fingerprint index.
 
 A passage is a window of `window` consecutive words of one document; a window is repeated if its word sequence starts
 anywhere else too. Every window is represented by the smallest hash among the `gram`-word sequences inside it (its
-anchor), so equal windows have equal anchors and about one place in ten has to be kept. Steps:
-
-1. Anchors of a batch are spooled as read: (fp, key, at).
-2. Their counts form a run: an immutable table sorted by fingerprint in hash buckets. A batch's run is merge-joined with
-   the index built so far, without a shuffle of either; a fingerprint found twice or more, in history or in the batch, is
-   a candidate. Then both are compacted into one run with summed counts.
-3. Verification: around candidates every window's own 96-bit hash is made from the texts; those found twice or more,
-   over all batches, are repeated. Nothing is decided by an anchor alone.
+anchor), so equal windows have equal anchors and about one place in ten has to be kept. `FingerprintIndex` holds, in
+immutable tables sorted by hash, the counts of anchors and of windows seen so far. A batch of documents goes through it so:
+
+1. The batch's anchors are spooled as read: (fp, key, at). Their counts form a run: a table sorted by fingerprint in hash
+   buckets. It is merge-joined with the run of all earlier batches, without a shuffle of either. An anchor of the batch
+   that was found twice or more, in history or in the batch, is a candidate.
+2. Verification: around candidates every window's own 96-bit hash is made from the whole texts, and their counts are
+   joined with those of history. An anchor of history that meets its first equal has its windows made now, from its
+   text. Windows found twice or more are repeated; nothing is decided by an anchor alone. (Hashes stand for word
+   sequences: among 10^12 windows the odds that two different ones share a hash are about 10^-5.)
+3. Both runs are compacted with those of history into one run each, with summed counts.
 4. All words under a repeated window go; windows are judged on the input, not on what is left.
 
-`FingerprintIndex` keeps its runs between calls, so a later batch is compared with all earlier ones.
+An index with a path is kept there, in the shared folder of the cluster, and can be opened again: later calls compare
+their documents with all earlier ones. `cut` judges documents again when later batches have come.
 
 Hot fingerprints: counts are combined before they are shuffled. Where places are looked up, one side of the join has one
 row per fingerprint and both sides are shuffled for it alone, so adaptive execution splits the partitions of hot ones.
 
 Defined cases: null text: no words; empty or short texts: no windows; texts of any length are read whole (a worker holds
 one text at a time); overlapping equal windows of one text repeat each other; repeated rows repeat each other, so
-nothing of them is left if they are long enough; other columns pass through `remove`.
+nothing of them is left if they are long enough; ties of an anchor: the first place; no rows: no rows; other columns,
+whatever their names, pass through `remove`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -36,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexforge.llm.common import Workspace, keyed
+from lexforge.llm.common import Workspace, delete, exists, free_name, keyed
 
 #: Distinct words whose hashes a worker keeps at once.
 WORDS = 150_000
@@ -112,12 +118,12 @@ def _split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()  # bytes split at ASCII white space only
 
 
-def _spool(window: int, gram: int, batches_of: int):
+def _spool(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in batches:
                 fps, keys, ats = [], [], []
-                for t, key in zip(b.column("_text"), b.column("_key").to_pylist(), strict=True):
+                for t, key in zip(b.column("t"), b.column("key").to_pylist(), strict=True):
                     words = _split(t.as_py())
                     if len(words) >= window:
                         g, at = anchors(word_hashes(words)[0], window, gram)
@@ -126,9 +132,7 @@ def _spool(window: int, gram: int, batches_of: int):
                         ats.append(at.astype(np.int32))
                         keys.append(np.full(len(at), key, np.int64))
                 if fps:
-                    fp, key, at = np.concatenate(fps), np.concatenate(keys), np.concatenate(ats)
-                    batch = (_mixed(key.view(np.uint64)) % np.uint64(batches_of)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(batch), pa.array(fp), pa.array(key), pa.array(at)], ["batch", "fp", "key", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (fps, keys, ats)], ["fp", "key", "at"])
         _hashes.clear()  # workers live on after a task
 
     return run
@@ -140,7 +144,7 @@ def _candidates(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in batches:
-                for t, key, ats in zip(b.column("_text"), b.column("_key").to_pylist(), b.column("ats"), strict=True):
+                for t, key, ats in zip(b.column("t"), b.column("key").to_pylist(), b.column("ats"), strict=True):
                     h = word_hashes(_split(t.as_py()))
                     g, anchor = anchors(h[0], window, gram)
                     wanted = np.zeros(len(g), bool)
@@ -154,11 +158,11 @@ def _candidates(window: int, gram: int):
     return run
 
 
-def _cut(window: int, names: list[str], text: str, with_text: bool):
+def _cut(window: int, names: list[str], text: str, with_text: bool, given_text: str, given_starts: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, digest, texts = [], [], [], []
-            for t, starts in zip(b.column("_text"), b.column("_starts"), strict=True):
+            for t, starts in zip(b.column(given_text), b.column(given_starts), strict=True):
                 given = t.as_py()
                 words = _split(given)
                 kept = words
@@ -180,85 +184,179 @@ def _cut(window: int, names: list[str], text: str, with_text: bool):
     return run
 
 
+WINDOWS = "part int, h long, c int, key long, at int"
+
+
 class FingerprintIndex:
-    """Counts of fingerprints in immutable runs: bucketed, sorted tables in the shared folder, compacted by merge joins."""
+    """Counts of anchors and of windows around candidates, with the places and texts of history, in immutable tables.
 
-    def __init__(self, spark: SparkSession, space: Workspace):
-        self.spark, self.space = spark, space
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.run: str | None = None
-        self.repeated: list[str] = []
+    path: a folder that all executors see, where the index is kept and opened again; None: for one call only, in a work
+    folder, without the texts. `window` and `gram` are those of the first call.
+    """
 
-    def _write(self, df: DataFrame) -> str:
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 35, gram: int = 16):
+        self.spark, self.space, self.kept = spark, Workspace(spark, "substring"), path is not None
+        self.path = (path or self.space.path("index")).rstrip("/")
+        self.buckets, self.tables = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+        self.state = {"batches": 0, "window": window, "gram": min(gram, window), "counts": None, "windows": None}
+        while self.kept and exists(spark, f"{self.path}/state-{self.state['batches'] + 1}"):
+            (row,) = spark.read.text(f"{self.path}/state-{self.state['batches'] + 1}").collect()
+            self.state = json.loads(row[0])
+        self.window, self.gram = self.state["window"], self.state["gram"]
+
+    def _write(self, df: DataFrame, keys: list[str]) -> dict:
         name = f"lexforge_run_{uuid.uuid4().hex}"
-        df.write.format("parquet").option("path", self.space.path(name)).option("compression", "zstd").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
-        return name
-
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.space.drop(name)
-
-    def add(self, prints: DataFrame) -> None:
-        """A batch of fingerprints (fp, one row each): its run is merge-joined with the index, and both are compacted."""
-        new = self._write(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
-        if self.run is None:
-            self.run = new
+        run = {"path": f"{self.path}/{name}", "buckets": self.buckets, "keys": keys, "schema": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)}
+        df.write.format("parquet").option("path", run["path"]).option("compression", "zstd").bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
+        self.tables.append(name)
+        return run | {"name": name}
+
+    def _table(self, run: dict) -> DataFrame:
+        """A run as a bucketed table; one of an earlier session is made known to this one."""
+        if run["name"] not in self.tables:
+            keys = ", ".join(run["keys"])
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {run['name']} ({run['schema']}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {run['buckets']} BUCKETS LOCATION '{run['path']}'")
+            self.tables.append(run["name"])
+        return self.spark.table(run["name"])
+
+    def _drop(self, run: dict | None) -> None:
+        if run:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run['name']}")
+            delete(self.spark, run["path"])
+
+    def _merged(self, kind: str, new: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, n_old, n): the new counts, written as a run, merge-joined with the run of history."""
+        run = self._write(new, keys)
+        self.fresh = run
+        fresh = self._table(run).hint("merge")
+        if self.state[kind] is None:
+            return fresh.withColumn("n_old", F.lit(0).cast("long"))
+        old = self._table(self.state[kind]).withColumnRenamed("n", "n_old").hint("merge")
+        return old.join(fresh, keys, "full_outer").select(*keys, *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("n_old", "n")])
+
+    def _compact(self, kind: str, merged: DataFrame, keys: list[str]) -> None:
+        """One run of the summed counts takes the place of history's and the batch's."""
+        old = self.state[kind]
+        if old is None:
+            self.state[kind] = self.fresh
             return
-        old, fresh = (self.spark.table(x).hint("merge") for x in (self.run, new))
-        both = old.withColumnRenamed("n", "n_old").join(fresh, "fp", "full_outer").select("fp", (F.coalesce("n_old", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"))
-        merged = self._write(both)
-        self._drop(self.run)
-        self._drop(new)
-        self.run = merged
-
-    def candidates(self) -> DataFrame:
-        """(fp, n) of the fingerprints that were found twice or more."""
-        return self.spark.table(self.run).where("n > 1")
-
-    def drop(self) -> None:
-        if self.run:
-            self._drop(self.run)
-
+        self.state[kind] = self._write(merged.select(*keys, (F.col("n_old") + F.col("n")).alias("n")), keys)
+        self._drop(old)
+        self._drop(self.fresh)
+
+    def take(self, texts: DataFrame) -> DataFrame:
+        """Adds a batch (key long, t), keys unique in it; returns its windows around candidates."""
+        space, number = self.space, self.state["batches"] + 1
+        if self.kept:
+            place = f"{self.path}/texts/batch={number}"
+            texts.write.mode("overwrite").option("compression", "zstd").parquet(place)
+            texts = self.spark.read.schema(texts.schema).parquet(place)
+        spool = texts.mapInArrow(_spool(self.window, self.gram), "fp long, key long, at int")
+        if self.kept:
+            place = f"{self.path}/places/batch={number}"
+            spool.write.mode("overwrite").option("compression", "zstd").parquet(place)
+            spool = self.spark.read.schema("fp long, key long, at int").parquet(place)
+        else:
+            spool = space.write(spool, "spool")
+        merged = self._merged("counts", spool.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), ["fp"])
+        # Written plainly: a bucketed table would not be shuffled, and then hot partitions of the other side could not be split.
+        candidates = space.write(merged.where("n > 0 AND n_old + n > 1").select("fp", (F.col("n_old") == 1).alias("met")), "candidates")
+        windows = self._windows(spool, candidates.select("fp"), texts, ["key"], "windows")
+        parts = [windows]
+        if self.state["counts"] is not None:
+            met = candidates.where("met").select("fp")
+            kind = lambda name, schema: self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.path}/{name}").where(F.col("batch") < number)
+            parts.append(self._windows(kind("places", "fp long, key long, at int"), met, kind("texts", "key long, t string"), ["batch", "key"], "met"))
+        self._compact("counts", merged, ["fp"])
+        space.drop("candidates", *["spool"] * (not self.kept))
+        space.free()
+        # One slice of the windows is counted at a time, which bounds what is shuffled at once.
+        slices = []
+        for part in range(SLICES):
+            some = reduce(DataFrame.unionByName, parts).where(F.col("part") == part)
+            counts = some.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
+            slices.append(space.write(counts if self.kept else counts.where("n > 1"), f"counts{part}"))
+            space.free()
+        if self.kept:
+            merged = self._merged("windows", reduce(DataFrame.unionByName, slices), ["h", "c"])
+            self._compact("windows", merged, ["h", "c"])
+            self.state["batches"] = number
+            self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/state-{number}")
+        else:
+            self.slices = slices
+        space.drop("met")
+        return windows
+
+    def _windows(self, places: DataFrame, fps: DataFrame, texts: DataFrame, by: list[str], name: str) -> DataFrame:
+        """Windows of the texts around those of the places that have one of the fingerprints."""
+        space = self.space
+        asked = space.write(places.join(fps.hint("merge"), "fp").groupBy(*by).agg(F.collect_list("at").alias("ats")), f"asked_{name}")
+        space.free()
+        found = space.write(texts.join(asked.hint("merge"), by).select("key", "t", "ats").mapInArrow(_candidates(self.window, self.gram), WINDOWS), name, ["part"])
+        space.drop(f"asked_{name}")
+        space.free()
+        return found
 
-def remove(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 16, batches: int = 2, with_text: bool = True) -> DataFrame:
+    def places_of(self, windows: DataFrame) -> DataFrame:
+        """(key, starts) of the repeated ones among windows."""
+        space, parts = self.space, []
+        for part in range(SLICES):
+            some = windows.where(F.col("part") == part)
+            repeated = self._table(self.state["windows"]).where("n > 1") if self.kept else self.slices[part]
+            if self.kept:
+                repeated = space.write(repeated.select("h", "c"), f"repeated{part}")
+            found = some.join(repeated.select("h", "c").hint("merge"), ["h", "c"]).select("key", "at")
+            parts.append(space.write(found.groupBy("key").agg(F.collect_list("at").alias("starts")), f"starts{part}"))
+            space.drop(f"counts{part}", f"repeated{part}")
+            space.free()
+        starts = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        starts = space.write(starts, f"starts-{uuid.uuid4().hex}")
+        space.drop(*[f"starts{part}" for part in range(SLICES)])
+        return starts
+
+    def cut(self, docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
+        """remove() against the index as it is, without adding docs to it: for documents that earlier batches brought."""
+        if self.state["counts"] is None:
+            raise ValueError("the index is empty")
+        key = free_name(docs, "_key")
+        rows = keyed(docs, key, self.space, f"keyed-{uuid.uuid4().hex}")
+        texts = rows.select(F.col(key).alias("key"), F.col(text).alias("t"))
+        fps = self.space.write(self._table(self.state["counts"]).where("n > 1").select("fp"), "known")
+        spool = self.space.write(texts.mapInArrow(_spool(self.window, self.gram), "fp long, key long, at int"), "asked")
+        starts = self.places_of(self._windows(spool, fps, texts, ["key"], "again"))
+        self.space.drop("known", "asked", "again")
+        return _without(rows, docs.columns, key, starts, text, self.window, with_text)
+
+    def close(self) -> None:
+        """Takes the runs' names out of the session's catalog; with a path the index itself stays."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables.clear()
+        if not self.kept:
+            delete(self.spark, self.path)
+
+
+def remove(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 16, with_text: bool = True, index: FingerprintIndex | None = None) -> DataFrame:
     """docs with n_words, n_removed, kept_sha256 and, if wanted, `text` without the words under repeated windows.
 
-    A text that loses words becomes its kept words joined by one space; others stay as they are. The documents come to
-    the index in `batches`, as they would over time.
+    A text that loses words becomes its kept words joined by one space; others stay as they are. docs are a new batch of
+    `index`, compared with all that it has; without one they are compared among themselves.
     """
-    spark = docs.sparkSession
-    space = Workspace(spark, "substring")
-    gram = min(gram, window)
-    rows = keyed(docs, "_key", space)
-    texts = rows.select("_key", F.col(text).alias("_text"))
-    spool = space.write(texts.mapInArrow(_spool(window, gram, batches), "batch int, fp long, key long, at int"), "spool", ["batch"])
-    index = FingerprintIndex(spark, space)
-    for batch in range(batches):
-        index.add(spool.where(F.col("batch") == batch).select("fp"))
-    # Written plainly: a bucketed table would not be shuffled, and then hot partitions of the other side could not be split.
-    candidates = space.write(index.candidates().select("fp"), "candidates")
-    places = spool.join(candidates.hint("merge"), "fp").select("key", "at")
-    asked = space.write(places.groupBy("key").agg(F.collect_list("at").alias("ats")), "asked")
-    space.drop("spool", "candidates")
-    index.drop()
-    space.free()
-    windows = space.write(texts.join(asked.select(F.col("key").alias("_key"), "ats").hint("merge"), "_key").mapInArrow(_candidates(window, gram), "part int, h long, c int, key long, at int"), "windows", ["part"])
-    space.free()
-    # One slice of the windows is counted and looked up at a time, which bounds what is shuffled at once.
-    parts = []
-    for part in range(SLICES):
-        some = windows.where(F.col("part") == part)
-        counts = space.write(some.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"counts{part}")
-        space.free()
-        found = some.join(counts.select("h", "c").hint("merge"), ["h", "c"]).select("key", "at")
-        parts.append(space.write(found.groupBy("key").agg(F.collect_list("at").alias("starts")), f"starts{part}"))
-        space.drop(f"counts{part}")
-        space.free()
-    starts = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    starts = space.write(starts, "starts")
-    space.drop("asked", "windows", *[f"starts{part}" for part in range(SLICES)])
-    space.free()
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256") and (with_text or c != text)]
-    schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    joined = rows.join(starts.select(F.col("key").alias("_key"), F.col("starts").alias("_starts")).hint("merge"), "_key", "left")
-    return joined.select(*[c for c in names if c != text], F.col(text).alias("_text"), "_starts").mapInArrow(_cut(window, names, text, with_text), schema)
+    batch = index or FingerprintIndex(docs.sparkSession, None, window, gram)
+    key = free_name(docs, "_key")
+    rows = keyed(docs, key, batch.space, f"keyed-{uuid.uuid4().hex}")
+    windows = batch.take(rows.select(F.col(key).alias("key"), F.col(text).alias("t")))
+    starts = batch.places_of(windows)
+    batch.space.drop("windows")
+    if index is None:
+        batch.close()
+    batch.space.free()
+    return _without(rows, docs.columns, key, starts, text, batch.window, with_text)
+
+
+def _without(rows: DataFrame, columns: list[str], key: str, starts: DataFrame, text: str, window: int, with_text: bool) -> DataFrame:
+    names = [c for c in columns if c not in ("n_words", "n_removed", "kept_sha256") and (with_text or c != text)]
+    schema = T.StructType([*rows.select(*names).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    given_text, given_starts = free_name(rows, "_text"), free_name(rows, "_starts")
+    joined = rows.join(starts.select(F.col("key").alias(key), F.col("starts").alias(given_starts)).hint("merge"), key, "left")
+    return joined.select(*[c for c in names if c != text], F.col(text).alias(given_text), given_starts).mapInArrow(_cut(window, names, text, with_text, given_text, given_starts), schema)

@@ -2,8 +2,10 @@ import hashlib
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lexforge.llm import queries
-from lexforge.llm.substring import remove
+from lexforge.llm.substring import FingerprintIndex, remove
 from tests.llm.fixtures import SF, no_docs, odd_docs, odd_texts
 
 
@@ -31,11 +33,31 @@ def test_odd_documents(spark):
 def test_small_windows(spark):
     texts = ["a b a b a b", "b a b", "c", "a", "x y z", "x y z"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for size, batches in ((1, 1), (2, 3), (3, 2)):
-        got = [(r.n_words, r.n_removed, r.kept_sha256, r.text if r.n_removed else None) for r in remove(docs, window=size, gram=2, batches=batches).orderBy("doc_id").collect()]
+    for size in (1, 2, 3):
+        got = [(r.n_words, r.n_removed, r.kept_sha256, r.text if r.n_removed else None) for r in remove(docs, window=size, gram=2).orderBy("doc_id").collect()]
         assert [g[:3] for g in got] == [b[:3] for b in brute(texts, size)]
 
 
+def test_three_batches_are_one(spark, tmp_path):
+    """Batches in three calls, the index opened anew before each: each call sees all earlier ones, and all together is as at once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    seen = []
+    for i in range(3):
+        index = FingerprintIndex(spark, f"file://{tmp_path}/index", window=20, gram=7)
+        assert index.state["batches"] == i
+        batch = docs.where(F.col("doc_id") % 3 == i)
+        got = remove(batch, index=index).orderBy("doc_id").collect()
+        seen += [r.doc_id for r in got]
+        want = dict(zip(seen, brute([texts[d] for d in seen], 20), strict=True))
+        assert [(r.n_words, r.n_removed, r.kept_sha256) for r in got] == [want[r.doc_id][:3] for r in got]
+        index.close()
+    index = FingerprintIndex(spark, f"file://{tmp_path}/index")
+    got = index.cut(docs).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_removed, r.kept_sha256) for r in got] == [b[:3] for b in brute(texts, 20)]
+    index.close()
+
+
 def test_query(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     got = queries.op3_substring_dedup(spark, SF).orderBy("doc_id").collect()
