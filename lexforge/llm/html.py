@@ -1,22 +1,28 @@
 """Main text of web pages by composite text density.
 
-The page becomes a tree of elements; what never is main text (scripts, styles, controls, menus, side bars, adverts,
-notices, reader comments and the like) is cut off by element, role, class and id; so are forms, field sets and objects,
-unless they hold an article or main element or more than half of the text that stays. For every node the link-adjusted
-number of characters per tag is computed:
+The page becomes a tree of elements; what never is main text by the meaning of its element, role or style (scripts,
+styles, controls, menus, side bars, hidden parts) is cut off; so are forms, field sets and objects, unless they hold an
+article or main element or more than half of the text that stays. For every node the link-adjusted number of characters
+per tag is computed:
 
     density = C / T * log_B(C / L * T / K),  B = ln(C / (C - L) * L + L_body / C_body * C + e)
 
 with C characters, T tags, L characters in links and K links (C, T, L, K at least 1 where they divide). A node's sum is the
-sum of the densities of its children. The subtree with the largest sum is the core; the least density on the path from
-the core to the body is the threshold: from the core the selection climbs to the parent as long as that stays within the
-page's article or main element, or brings in only children whose density reaches the threshold. Inside the selected
-subtree all text is kept.
+sum of the densities of its children without a name as below. Of the nodes that hold blocks, the one with the largest sum is the core; the least
+density on the path from the core to the body (or to the article or main element with most of the text) is the threshold. The core stays whole. On the way up from it a sibling is
+taken too if its density reaches the threshold; so is a heading before a part that is taken, and a short part between two.
+
+Names (words of class and id) are a second sign only, since a name alone is no proof: a part that is named an advert, a
+notice, reader comments and the like can't be the core and is not taken on the way up; inside the core it goes if it
+holds blocks of its own or is less dense than the core's parts are in the mean. A named part that holds the
+page's article or main element, or, on a page without any, blocks with more than half of its text, doesn't count as named.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line.
 
 Defined cases: null or empty html: empty text; no element at all: the whole text; unclosed, wrongly nested or cut
-markup: repaired as browsers do in the main; pages of any length are read whole; repeated rows: alike; other columns pass through.
+markup: repaired as browsers do in the main; pages of any length and depth are read whole, in time proportional to their
+length; equal sums: the node that comes first; repeated rows: alike; no rows: no rows; other columns, whatever their
+names, pass through.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexforge.llm.common import free_name
+
 # Elements of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -58,25 +66,28 @@ NOISE = frozenset(
 )
 
 MAIN = frozenset("article content post body entry story".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: What an end tag of another kind doesn't reach out of, and the tags that do.
+CELLS, BEYOND_CELLS = frozenset("td th table".split()), frozenset("table tr tbody thead tfoot td th body html article main".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "noise", "chars", "links", "tags", "link_tags", "density", "total", "wraps")
+    __slots__ = ("tag", "parent", "items", "gone", "named", "chars", "links", "tags", "link_tags", "density", "total", "wraps")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, gone: bool = False, named: bool = False):
+        self.tag, self.parent, self.gone, self.named = tag, parent, gone, named
         self.items: list[Node | str] = []
 
 
-def _noise(tag: str, attributes: str) -> bool:
-    if tag in DROPPED and tag not in WRAPPERS:
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
+def _signs(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is no text by its meaning, and whether its class or id names it so."""
+    gone, named = tag in DROPPED and tag not in WRAPPERS, False
+    if gone or not attributes or tag in ("html", "body"):
+        return gone, named
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id") and tag not in ("article", "main"):
@@ -85,97 +96,123 @@ def _noise(tag: str, attributes: str) -> bool:
                 if not parts or parts[0] in ("no", "has", "with", "without") or parts[-1] in MAIN:
                     continue
                 found = NOISE.intersection(parts)
-                if found and not (found == {"header"} and MAIN.intersection(parts)):
-                    return True
+                named |= bool(found) and not (found == {"header"} and bool(MAIN.intersection(parts)))
         elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            gone = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            gone = True
+    return gone, named
+
+
+class _Open:
+    """The open elements, with the depths of each tag, of cells and of blocks other than p, so that no search climbs through them."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.at: dict[str, list[int]] = {}
+        self.cells: list[int] = []
+        self.blocks: list[int] = [0]
+
+    def depth(self, *tags: str) -> int:
+        """Depth of the innermost open element with one of the tags; 0: none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def add(self, node: Node) -> None:
+        d = len(self.nodes)
+        self.nodes.append(node)
+        self.at.setdefault(node.tag, []).append(d)
+        if node.tag in CELLS:
+            self.cells.append(d)
+        if node.tag not in INLINE and node.tag != "p":
+            self.blocks.append(d)
+
+    def close(self, depth: int) -> None:
+        """Closes all from `depth` on."""
+        while len(self.nodes) > max(depth, 1):
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            for held in (self.cells, self.blocks):
+                if held and held[-1] == len(self.nodes):
+                    held.pop()
 
 
 def parse(page: str) -> Node:
-    """The tree of a page. Noise is marked, not removed."""
+    """The tree of a page. What is no text is marked, not removed."""
     root = Node("#page", None)
-    at, now = 0, root
-    find = TOKEN.search
+    held, at = _Open(root), 0
+    find, unclosed = TOKEN.search, set()
     while (m := find(page, at)) is not None:
         if m.start() > at:
-            now.items.append(page[at : m.start()])
+            held.nodes[-1].items.append(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" or tag == "br":
-                if tag == "br":
-                    now.items.append("\n")
-                    continue
-            up = now
-            while up is not root and up.tag != tag:
-                if up.tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html", "article", "main"):
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                now = up.parent
+            if tag == "br":
+                held.nodes[-1].items.append("\n")
+            elif (depth := held.depth(tag)) and (tag in BEYOND_CELLS or not held.cells or depth > held.cells[-1]):
+                held.close(depth)
             continue
         if tag in CLOSES_P:
-            up = now
-            while up is not root and up.tag != "p" and (up.tag in INLINE or up.tag == "p"):
-                up = up.parent
-            if up.tag == "p":
-                now = up.parent
-            if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and now.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                now = now.parent
+            if (depth := held.depth("p")) > held.blocks[-1]:
+                held.close(depth)
+            if tag in HEADINGS and held.nodes[-1].tag in HEADINGS:
+                held.close(len(held.nodes) - 1)
         elif tag in SAME:
-            up, fence, same = now, FENCE[tag], SAME[tag]
-            while up is not root and up.tag not in fence:
-                if up.tag in same:
-                    now = up.parent
-                    if tag != "tr":
-                        break
-                up = up.parent
-        node = Node(tag, now, _noise(tag, m[3]))
+            fence = held.depth(*FENCE[tag])
+            depths = [d for t in SAME[tag] if (d := held.depth(t)) > fence]
+            if depths:
+                held.close(min(depths) if tag == "tr" else max(depths))
+        now = held.nodes[-1]
+        node = Node(tag, now, *_signs(tag, m[3]))
         now.items.append(node)
         if tag in RAW:  # its content is no markup, and none of it is main text
-            end = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = None if tag in unclosed else re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I).search(page, at)
             if end is not None:
                 at = end.end()
-            elif tag in ("script", "style"):
-                at = len(page)
+            else:
+                unclosed.add(tag)
+                if tag in ("script", "style"):
+                    at = len(page)
         elif tag not in VOID and not m[3].endswith("/") or tag in ("p", "div", "article") and m[3].endswith("/"):
-            now = node
+            held.add(node)
     if at < len(page):
-        now.items.append(page[at:])
+        held.nodes[-1].items.append(page[at:])
     return root
 
 
+def _children(node: Node) -> list[Node]:
+    return [x for x in node.items if type(x) is not str]
+
+
 def _prune(root: Node) -> None:
-    """Cuts noise off; a header goes too unless it is the heading of an article or main element."""
+    """Cuts off what is no text by its meaning; a header goes too unless it is the heading of an article or main element."""
     _weigh(root)
     most = root.chars / 2
-    stack = [root]
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
+        node, in_article = stack.pop()
+        in_article = node.tag in ("article", "main") or in_article and node.tag != "section"
         kept = []
         for x in node.items:
             if type(x) is not str:
-                if _dropped(x) or x.tag in WRAPPERS and not x.wraps and x.chars <= most or x.tag == "header" and not _heads_article(x):
+                if _dropped(x) or x.tag in WRAPPERS and not x.wraps and x.chars <= most or x.tag == "header" and not (in_article and any(type(y) is not str and y.tag in HEADINGS for y in x.items)):
                     continue
-                stack.append(x)
+                x.named = x.named and not x.wraps and (x.chars <= most or root.wraps or all(y.tag in INLINE for y in _children(x)))
+                stack.append((x, in_article))
             kept.append(x)
         node.items = kept
 
 
 def _dropped(node: Node) -> bool:
-    """Whether an element goes by its name: not if it is noise by class, id or role, but wraps the page's article or main element."""
-    return node.noise and (node.tag in DROPPED and node.tag not in WRAPPERS or not node.wraps)
+    """Whether an element goes by its meaning: by its role or style only if it doesn't wrap the page's article or main element."""
+    return node.gone and (node.tag in DROPPED and node.tag not in WRAPPERS or not node.wraps)
 
 
 def _weigh(root: Node) -> None:
-    """Sets the characters of every node without noise, and whether it wraps an article or main element."""
+    """Sets the characters of every node, and whether it wraps an article or main element."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -188,14 +225,7 @@ def _weigh(root: Node) -> None:
                 n.chars += len(x) - sum(map(x.count, " \n\t\r"))
             elif not _dropped(x):
                 n.chars += x.chars
-                n.wraps |= x.wraps or x.tag in ("article", "main") and not x.noise
-
-
-def _heads_article(node: Node) -> bool:
-    up = node.parent
-    while up is not None and up.tag not in ("article", "main", "section"):
-        up = up.parent
-    return up is not None and up.tag in ("article", "main") and any(type(x) is not str and x.tag in ("h1", "h2", "hgroup") for x in node.items)
+                n.wraps |= x.wraps or x.tag in ("article", "main") and not x.gone
 
 
 def _measure(root: Node) -> list[Node]:
@@ -227,26 +257,59 @@ def _measure(root: Node) -> list[Node]:
         else:
             base = math.log(c / max(c - links, 1) * links + ratio * c + math.e)
             n.density = c / t * max(0.0, math.log(max(c / max(links, 1) * t / k, 1.0)) / math.log(max(base, 1.0001)))
-        n.total = sum(x.density for x in n.items if type(x) is not str)
+        n.total = sum(x.density for x in n.items if type(x) is not str and not x.named)
     return order
 
 
-def select(root: Node) -> Node:
+def select(root: Node) -> list[Node]:
+    """The parts that are main text, in page order."""
     order = _measure(root)
-    core = max(reversed(order), key=lambda n: (n.total, n.density))
-    path, up = [], core
-    while up is not None:
-        path.append(up)
-        up = up.parent
+    order.reverse()  # parents first, in page order among siblings
+    aside = {id(root): False}
+    for n in order:
+        for x in _children(n):
+            aside[id(x)] = aside[id(n)] or x.named
+    plain = root.chars - sum(x.chars for n in order if not aside[id(n)] for x in _children(n) if x.named)
+    holders = [n for n in order if any(x.tag not in INLINE for x in _children(n))]
+    holders = [n for n in holders if not aside[id(n)] and n.chars] or holders
+    if not holders:
+        return [root]
+    # The body, or within it the innermost article or main element with more than half of the text.
+    body = next((n for n in order[::-1] if n.tag in ("article", "main") and 2 * n.chars > plain and not aside[id(n)]), root)
+    under = {id(body)}
+    for n in order:
+        if id(n) in under:
+            under.update(id(x) for x in _children(n))
+    core = max([n for n in holders if id(n) in under] or [body], key=lambda n: (n.total, n.density))
+    path = [core]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    container = max((i for i, n in enumerate(path) if n.tag in ("article", "main")), default=-1)
-    chosen = path[max(container, 0)]
-    for parent in path[max(container, 0) + 1 :]:
-        others = [x for x in parent.items if type(x) is not str and x is not chosen and x.chars]
-        if container >= 0 or any(x.density < threshold for x in others):
-            break
-        chosen = parent
-    return chosen
+    parts = [core]
+    for inner, parent in zip(path, path[1:], strict=False):
+        some = [x for x in _children(parent) if x.chars]
+        if inner not in some:
+            continue
+        at = some.index(inner)
+        taken = [i == at or not x.named and x.density >= threshold for i, x in enumerate(some)]
+        first, last = taken.index(True), len(taken) - 1 - taken[::-1].index(True)
+        taken = [t or first < i < last and not x.named for i, (t, x) in enumerate(zip(taken, some, strict=True))]
+        for i in range(len(some) - 2, -1, -1):
+            taken[i] = taken[i] or some[i].tag in HEADINGS and taken[i + 1]
+        parts = [x for x, t in zip(some[:at], taken[:at], strict=True) if t] + parts + [x for x, t in zip(some[at + 1 :], taken[at + 1 :], strict=True) if t]
+    _clear(core)
+    return parts
+
+
+def _clear(core: Node) -> None:
+    """Takes named parts out of the core that hold blocks of their own or are less dense than its parts in the mean."""
+    dense = [x.density for x in _children(core) if x.chars]
+    mean = sum(dense) / max(len(dense), 1)
+    stack = [core]
+    while stack:
+        node = stack.pop()
+        node.items = [x for x in node.items if type(x) is str or not x.named or x.density >= mean and all(y.tag in INLINE for y in _children(x))]
+        stack += _children(node)
 
 
 def blocks(node: Node) -> list[str]:
@@ -283,18 +346,18 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     _prune(root)
-    return "\n\n".join(blocks(select(root)))
+    return "\n\n".join(x for part in select(root) for x in blocks(part))
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages without `html`, with text and n_chars (code points)."""
-    rest = [f for f in pages.schema.fields if f.name not in (html, "text", "n_chars")]
+    rest, given = [f for f in pages.schema.fields if f.name not in (html, "text", "n_chars")], free_name(pages, "_html")
     names = [f.name for f in rest]
     schema = T.StructType([*rest, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py()) for x in b.column("_html")]
+            texts = [main_text(x.as_py()) for x in b.column(given)]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
-    return pages.select(*names, F.col(html).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*names, F.col(html).alias(given)).mapInArrow(run, schema)

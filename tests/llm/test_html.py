@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pyarrow.parquet as pq
 
 from lexforge.llm import queries
 from lexforge.llm.html import extracted, main_text
@@ -32,6 +35,35 @@ def test_odd_pages(spark):
     assert extracted(rows.limit(0)).count() == 0
 
 
+def test_other_markup_changes_nothing():
+    """The density finds the same text without an article element, and with one also without the advert's name."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    assert len(pages) == 250
+    for page in pages:
+        want = main_text(page)
+        assert want and main_text(page.replace("<article>", "<div>").replace("</article>", "</div>")) == want
+        assert main_text(page.replace(' class="ad"', "")) == want
+
+
+def test_names_alone_drop_nothing():
+    long = "some words of a longer paragraph that goes on " * 4
+    for name in ("notice", "social", "trending", "widget", "hidden"):
+        page = f"<body><div><h1>Head</h1><p>{long}</p><p class={name}>{long}</p><p>{long}</p><div class=ad>Buy it</div></div></body>"
+        assert main_text(page).split("\n\n") == ["Head", *[long.strip()] * 3]
+    comments = f"<div class=comments><p>{long}</p><p>{long}</p><p>{long}</p></div>"
+    page = f"<body><h1>Head</h1><div><p>{long}</p><p>short</p><p>{long}</p></div><h2>More</h2><ul><li><a href=x>{long}</a></ul>{comments}</body>"
+    assert main_text(page).split("\n\n") == ["Head", long.strip(), "short", long.strip()]
+    assert main_text(f"<body><div class=widget><p>{long}</p><p>{long}</p></div></body>").count("longer") == 8
+
+
+def test_time_is_linear():
+    n = 30_000
+    for page in ("<div>" * n + "</b>" * n, "<b>" * n + "<div></div>" * n, "<title>" * n, "<b><table><td>" + "<div>" * n + "</b>" * n, "<article>" + "<header>" * n, "<li>" * n, "<p>" * n + "</i>" * n):
+        began = time.time()
+        main_text(page)
+        assert time.time() - began < 5
+
+
 def test_query(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op6_html_text(spark, SF).collect():
