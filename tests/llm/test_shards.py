@@ -40,11 +40,24 @@ def test_balance_and_groups(spark):
     assert [t for t, s in where.items() if len(s) > 1] == ["hot text"]  # more than half a shard: it can't stay whole
 
 
+def test_a_giant_group_of_one_id_is_cut(spark):
+    """Copies without an id of their own are units each, so the law holds also for them."""
+    docs = spark.range(900).selectExpr("CASE WHEN id % 2 = 0 THEN 7 END AS doc_id", "'same text' AS text").union(spark.range(300).selectExpr("id", "concat('text ', id)"))
+    sizes = check(balanced(docs, shards=4).collect(), 4)
+    assert max(sizes.values()) < 1.15 * sum(sizes.values()) / 4
+
+
 def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = queries.op5_byte_shards(spark, SF)
     assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
     rows = got.collect()
-    check(rows, 16)
+    sizes = check(rows, 16)
+    mean = sum(sizes.values()) / 16
+    assert len(sizes) == 16 and max(sizes.values()) < 1.2 * mean and min(sizes.values()) > 0.8 * mean
+    where = defaultdict(set)
+    for r in rows:
+        where[texts[r.doc_id]].add(r.shard)
+    assert all(len(s) == 1 for s in where.values())
     assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts.items()}
     assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
