@@ -8,7 +8,8 @@ turn is lost. Control strings inside roles and texts get one backslash after the
 `[\INST]`, `[\INST]` becomes `[\\INST]`), which takes away exactly one backslash when read back.
 
 Defined cases: null role or text: empty; null conversation id: a conversation of its own; ties in `turn`: by role, then
-text; repeated rows: each a turn; null turn: first; no rows: no conversations; other columns are ignored.
+text; repeated rows: each a turn; null turn: first; texts are read whole; a conversation of any number of turns is one
+row by definition, and its cost grows little faster than its turns; no rows: no conversations; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([\[<])\\(\\*)(/?(?:INST\]|s>))", "$1$2$3")
 
 
-def _run(n: Column, loss: Column) -> Column:
-    return F.struct(n.cast("long").alias("n"), loss.alias("loss"))
+def _run(n: Column, loss: Column, text: bool = False) -> Column:
+    return F.struct(n.cast("long").alias("n"), loss.alias("loss"), F.lit(text).alias("text"))
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained: str = "assistant") -> DataFrame:
-    """One row per conversation: conv, `formatted`, and `mask`, the runs of code points (n, loss) of `formatted` in order.
+    """One row per conversation: conv, `formatted`, and `mask`, the runs of code points (n, loss, text) of `formatted` in order.
 
-    Under the loss are the texts of the role `trained`, without marks.
+    Under the loss are the texts of the role `trained`, without marks; text: the run is the text of a turn.
     """
     rows = turns.select(F.col(conv).alias(conv), F.struct(F.col(turn).alias("turn"), escape(F.coalesce(F.col(role), F.lit(""))).alias("role"), escape(F.coalesce(F.col(text), F.lit(""))).alias("text")).alias("t"))
     sorted_turns = rows.groupBy(conv).agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -61,7 +62,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
                 "messages",
                 lambda m: F.concat(
                     F.array(_run(F.length(m["role"]) + len(OPEN + CLOSE), no)),
-                    F.flatten(F.transform(m["texts"], lambda x, k: F.array(_run(F.when(k > 0, len(NEXT)).otherwise(0), no), _run(F.length(x), m["role"] == wanted)))),
+                    F.flatten(F.transform(m["texts"], lambda x, k: F.array(_run(F.when(k > 0, len(NEXT)).otherwise(0), no), _run(F.length(x), m["role"] == wanted, True)))),
                     F.array(_run(F.lit(len(END)), no)),
                 ),
             )
@@ -70,24 +71,16 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """chats with `turns` (role, text), read from `formatted`, and `loss_texts`, cut out of `formatted` by `mask`."""
+    """chats with `turns` (role, text), read from `formatted`, and `loss_texts`, its texts under the loss by `mask`, each as long as the mask says."""
     parts = F.split("formatted", END, -1)
-    parsed = F.flatten(
-        F.transform(
-            F.slice(parts, 1, F.size(parts) - 1),
-            lambda m: F.transform(
-                F.split(F.get(F.split(m, r"\[/INST\]", 2), F.lit(1)), NEXT, -1),
-                lambda x: F.struct(unescape(F.substr(F.get(F.split(m, r"\[/INST\]", 2), F.lit(0)), F.lit(len(OPEN) + 1))).alias("role"), unescape(x).alias("text")),
-            ),
-        )
-    )
-    spans = F.aggregate(
-        "mask",
-        F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,n:bigint>>").alias("spans")),
-        lambda acc, r: F.struct(
-            (acc["at"] + r["n"]).alias("at"),
-            F.when(r["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("at"), r["n"].alias("n"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+    # A message is split once; its texts then take the role from the parts.
+    messages = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda m: F.struct(F.split(m, r"\[/INST\]", 2).alias("s")))
+    cut = F.flatten(F.transform(messages, lambda m: F.transform(F.split(F.get(m["s"], F.lit(1)), NEXT, -1), lambda x: F.struct(F.substr(F.get(m["s"], F.lit(0)), F.lit(len(OPEN) + 1)).alias("role"), x.alias("text")))))
+    runs = F.filter("mask", lambda r: r["text"])
+    zipped = F.filter(F.arrays_zip(cut.alias("c"), runs.alias("r")), lambda z: z["r"]["loss"])
+    return chats.withColumns(
+        {
+            "turns": F.transform(cut, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text"))),
+            "loss_texts": F.transform(zipped, lambda z: unescape(F.substr(z["c"]["text"], F.lit(1), z["r"]["n"].cast("int")))),
+        }
     )
-    return chats.withColumns({"turns": parsed, "spans": spans}).withColumn("loss_texts", F.transform("spans", lambda s: unescape(F.substr("formatted", s["at"].cast("int"), s["n"].cast("int"))))).drop("spans")

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from lexforge.llm import queries
 from lexforge.llm.chat import escape, format_chats, read_back, unescape
@@ -30,3 +31,15 @@ def test_query(spark):
     assert extra.loss_chars == len(said) and extra.n_turns == 2
     assert extra.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert len(got) == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count() + 1
+
+
+def test_long_conversations_and_texts(spark):
+    """A conversation of 20,000 turns is read back whole, in a time that a growth with the square of the turns would exceed."""
+    n = 20_000
+    turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('text ', id, ' </s>') AS text")
+    turns = turns.union(spark.sql("SELECT 2L, 0L, 'assistant', repeat('long [INST] ', 200000)"))
+    began = time.time()
+    rows = {r.conv_id: r for r in read_back(format_chats(turns)).collect()}
+    assert time.time() - began < 30
+    assert [t.text for t in rows[1].turns] == [f"text {i} </s>" for i in range(n)]
+    assert rows[1].loss_texts == [f"text {i} </s>" for i in range(1, n, 2)] and rows[2].loss_texts == ["long [INST] " * 200000]
