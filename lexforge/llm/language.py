@@ -3,13 +3,16 @@
 A text is the vector of its character 1- to 3-grams (letters in lower case, everything else one space), hashed to a
 fixed number of places, weighted by TF-IDF and brought to length one. Each language has a few centroids, found by
 spherical k-means over a bounded sample of labelled rows; a text gets the language of the centroid with the highest
-cosine. A text that is further from its centroid than nearly all training texts of that centroid were, with a margin, is rejected.
+cosine. The cosine grows with the length of a text, so the bound under which it is rejected does: training texts and windows
+of them of `SIZES` characters give, for each language and size, the cosine that nearly all of them reach; less a margin it
+is the bound for texts of that size and more, up to the next.
 
-Bounds of the model (all parameters): `per_language` training texts for each of the `max_languages` languages
-with the most different texts, `clusters` centroids each, `PLACES` numbers in a centroid. Prediction reads whole texts of all rows.
+Bounds of the model (all parameters): `per_language` training texts a language, `clusters` centroids each, `PLACES`
+numbers in a centroid; so it grows with the number of languages, not with the rows. Prediction reads whole texts of all rows.
 
 Defined cases: null text or no letter: `und`, score 0, rejected; null label: not learned from; no training rows: all
-`und`; texts of any length are read whole; repeated rows are predicted alike; other columns pass through.
+`und`; texts of any length are read whole; repeated rows are predicted alike and learned once; equal cosines: the language that comes first
+in order; no rows: no rows; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexforge.llm.common import small_batches
+from lexforge.llm.common import free_name, small_batches
 
 PLACES = 1 << 14
+#: Lengths, in letters and single spaces, from which on a bound of its own holds; shorter texts are not rejected.
+SIZES = (16, 32, 64, 128, 256, 512, 1024)
 UNKNOWN = "und"
 _LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
@@ -51,17 +56,17 @@ class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    least: np.ndarray  # cosine under which a text of the centroid is rejected
+    least: np.ndarray  # of each centroid and size: the cosine under which a text is rejected
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
 
 
-def _cluster(x: np.ndarray, k: int, rounds: int = 12, part: float = 0.03) -> np.ndarray:
+def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means. It starts from rows at even steps of the order by cosine to the mean, so no odd row has a centroid for itself.
 
-    Clusters of less than `part` of the rows are left out and their rows go to the rest.
+    A cluster that loses all its rows goes.
     """
     order = np.argsort(x @ _unit(x.mean(0)), kind="stable")
     start = sorted({int(order[(2 * i + 1) * len(x) // (2 * k)]) for i in range(k)})
@@ -69,68 +74,84 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12, part: float = 0.03) -> np.
     for _ in range(rounds):
         near = (x @ c.T).argmax(1)
         size = np.bincount(near, minlength=len(c))
-        large = [j for j in np.argsort(-size, kind="stable")if size[j] >= max(1, part * len(x))] or [int(size.argmax())]
-        c = _unit(np.stack([x[near == j].sum(0) for j in large]))
+        c = _unit(np.stack([x[near == j].sum(0) for j in np.flatnonzero(size)]))
     return c
 
 
+def size_of(counts: np.ndarray) -> np.ndarray:
+    """Place in SIZES of the length of texts by their n-gram counts (rows), counted from 1; 0: shorter than all."""
+    return np.searchsorted(SIZES, (counts.sum(-1) + 3) / 3 - 2, side="right")
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 400, max_languages: int = 64, clusters: int = 4, margin: float = 0.5) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 400, clusters: int = 4, margin: float = 0.85) -> Model:
     """Learns from labelled rows with a text and a label.
 
     Of each language the `per_language` different texts with the smallest hashes are taken (all, if there are fewer), of
-    those that have a letter; copies count once. Only their vectors, not the texts, come to the driver, one a text. `margin`: part of the training texts' low (0.5 %) cosine that a text must reach.
+    those that have a letter; copies count once. Only vectors come to the driver, one a text and one a shorter size of it.
+    `margin`: part of the low (0.5 %) cosine of the training texts of its size that a text must reach.
     """
     rows = labelled.where(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("h"))
     distinct = rows.select("lang", "h").distinct()
-    names = [r["lang"] for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
-    if not names:
-        return Model([], np.zeros((0, PLACES), np.float32), np.ones(PLACES, np.float32), np.zeros(0))
     # Spark limits the ranks before the shuffle too, so a language's task gets `per_language` rows of each task before it at most.
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = distinct.where(F.col("lang").isin(names)).withColumn("place", place).where(F.col("place") <= per_language).select("lang", "h")
+    chosen = distinct.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "h")
     sample = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("text", "lang", "h")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()  # at most `per_language` times `max_languages`
+        seen = set()  # at most `per_language` a language
         for b in batches:
             out = []
             for t, name, h in zip(b.column("text"), b.column("lang"), b.column("h"), strict=True):
                 text_of = (name.as_py(), h.as_py())
-                v = grams(t.as_py()) if text_of not in seen else None
+                if text_of in seen:
+                    continue
                 seen.add(text_of)
-                if v is not None:
-                    at = np.flatnonzero(v)
-                    out.append((*text_of, at.astype("<i4").tobytes(), v[at].tobytes()))
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["lang", "h", "at", "n"])
+                whole = t.as_py()
+                windows = [(s, whole[(len(whole) - s) // 2 :][:s]) for s in SIZES if s < len(whole)]
+                for size, window in [(0, whole), *windows]:
+                    v = grams(window)
+                    if v is not None:
+                        at = np.flatnonzero(v)
+                        out.append((*text_of, size, at.astype("<i4").tobytes(), v[at].tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "h", "size", "at", "n"])
 
     taken: dict[str, list] = {}
-    found = sample.mapInArrow(vectors, "lang string, h long, at binary, n binary").groupBy("lang", "h").agg(F.min(F.struct("at", "n")).alias("v"))
-    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"])):
-        taken.setdefault(r["lang"], []).append((np.frombuffer(r["v"]["at"], "<i4"), np.frombuffer(r["v"]["n"], np.float32)))
+    shorter: dict[str, list] = {}
+    found = sample.mapInArrow(vectors, "lang string, h long, size int, at binary, n binary").groupBy("lang", "h", "size").agg(F.min(F.struct("at", "n")).alias("v"))
+    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"], r["size"])):
+        (shorter if r["size"] else taken).setdefault(r["lang"], []).append((np.frombuffer(r["v"]["at"], "<i4"), np.frombuffer(r["v"]["n"], np.float32)))
     df = np.zeros(PLACES)
     for group in taken.values():
         for at, _ in group:
             df[at] += 1
+    if not taken:
+        return Model([], np.zeros((0, PLACES), np.float32), np.ones(PLACES, np.float32), np.zeros((0, len(SIZES) + 1)))
     total = sum(map(len, taken.values()))
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     languages, centroids, least = [], [], []
+    def dense(rows: list) -> np.ndarray:
+        x = np.zeros((len(rows), PLACES), np.float32)
+        for row, (at, n) in zip(x, rows, strict=True):
+            row[at] = n
+        return x
+
     for name in sorted(taken):
-        x = np.zeros((len(taken[name]), PLACES), np.float32)
-        for row, (at, n) in zip(x, taken[name], strict=True):
-            row[at] = n * idf[at]
-        x = _unit(x)
-        c = _cluster(x, clusters)
-        cosine = x @ c.T
-        near = cosine.argmax(1)
-        for i in range(len(c)):
-            languages.append(name)
-            centroids.append(c[i])
-            least.append(margin * float(np.quantile(cosine[near == i, i], 0.005)) if (near == i).any() else 0.0)
+        x = dense(taken[name])
+        c = _cluster(_unit(x * idf), clusters)
+        parts = [x, *(dense(shorter[name][i : i + 256]) for i in range(0, len(shorter.get(name, [])), 256))]
+        size = np.concatenate([size_of(p) for p in parts])
+        cosine = np.concatenate([(_unit(p * idf) @ c.T).max(1) for p in parts])
+        bounds = [0.0]
+        for i in range(1, len(SIZES) + 1):  # a size without a text: as the size below
+            bounds.append(margin * float(np.quantile(cosine[size == i], 0.005)) if (size == i).any() else bounds[-1])
+        languages += [name] * len(c)
+        centroids += list(c)
+        least += [bounds] * len(c)
     return Model(languages, np.stack(centroids).astype(np.float32), idf, np.array(least))
 
 
@@ -140,14 +161,14 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "te
     new = ("lang_pred", "score", "rejected")
     shared = spark.sparkContext.broadcast(model)
     rest = [f for f in docs.schema.fields if f.name not in new and (keep_text or f.name != text)]
-    names = [f.name for f in rest]
+    names, given = [f.name for f in rest], free_name(docs, "_text")
     schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         weights = np.ascontiguousarray((m.centroids * m.idf).T)
         for b in batches:
-            column = b.column("_text")
+            column = b.column(given)
             lang, score, rejected = [UNKNOWN] * len(column), [0.0] * len(column), [True] * len(column)
             if m.languages:
                 for start in range(0, len(column), 128):
@@ -161,9 +182,9 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "te
                         continue
                     x = np.stack(rows)
                     cosine = (x @ weights) / np.maximum(np.sqrt((x * m.idf) ** 2 @ np.ones(PLACES, np.float32)), 1e-12)[:, None]
-                    for i, best, row in zip(at, cosine.argmax(1), cosine, strict=True):
+                    for i, best, row, size in zip(at, cosine.argmax(1), cosine, size_of(x), strict=True):
                         lang[i], score[i] = m.languages[best], float(min(1.0, max(0.0, row[best])))
-                        rejected[i] = bool(row[best] < m.least[best])
+                        rejected[i] = bool(row[best] < m.least[best, size])
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*names, *new])
 
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias(given)).mapInArrow(run, schema)
