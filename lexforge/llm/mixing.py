@@ -17,8 +17,8 @@ of one bin. Exponents are tried 31 at once, five steps of the bisection in one p
 the table itself stays in Spark.
 
 Defined cases: null source: a source of its own; null, empty or blank text: no tokens, passed once with each whole pass;
-sources without tokens: weight 0, passed once; repeated rows: each a document; no rows: no rows; texts of any length are
-counted whole; other columns pass through.
+sources without tokens: weight 0, passed once; repeated rows: each a document; equal hashes in a permutation: by the
+rows' keys; no rows: no rows; texts of any length are counted whole; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import Workspace, keyed, words
+from lexforge.llm.common import Workspace, free_name, keyed, words
 
 BINS = 1024
 #: The bisection ends at steps of 1 / STEPS in the exponent.
@@ -97,8 +97,9 @@ def plan(docs: DataFrame, space: Workspace, repetition: float | None = 2.0, entr
 def mixed(docs: DataFrame, text: str = "text", source: str = SOURCE, repetition: float | None = 2.0, entropy: float | None = None, budget: int | None = None, blocks: int = 64, seed: int = 7) -> DataFrame:
     """docs, each row as often as its source's budget says, with n_tokens, copy (from 0), block and block_order."""
     space = Workspace(docs.sparkSession, "mixing")
-    rows = keyed(docs, "_key", space)
-    small = space.write(rows.select("_key", F.coalesce(F.col(source), F.lit("")).alias("_source"), F.col(source).isNull().alias("_none"), token_count(F.col(text)).alias("n_tokens")), "small")
+    key = free_name(docs, "_key")
+    rows = keyed(docs, key, space)
+    small = space.write(rows.select(F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_source"), F.col(source).isNull().alias("_none"), token_count(F.col(text)).alias("n_tokens")), "small")
     by = ["_source", "_none"]
     small = small.withColumn("_s", F.struct(*by))
     sources = plan(small.select(F.to_json("_s").alias("s"), "n_tokens"), space, repetition, entropy, budget, "s")
@@ -124,4 +125,5 @@ def mixed(docs: DataFrame, text: str = "text", source: str = SOURCE, repetition:
     chosen = space.write(chosen.select("_key", "n_tokens", "copy", block.alias("block"), F.xxhash64("h", "copy").alias("block_order")), "chosen")
     space.drop("small", "totals", "plan", "starts")
     space.free()
-    return rows.drop("n_tokens", "copy", "block", "block_order").join(chosen.hint("merge"), "_key").select(*[c for c in docs.columns if c not in ("n_tokens", "copy", "block", "block_order")], "n_tokens", "copy", "block", "block_order")
+    chosen = chosen.withColumnRenamed("_key", key)
+    return rows.drop("n_tokens", "copy", "block", "block_order").join(chosen.hint("merge"), key).select(*[c for c in docs.columns if c not in ("n_tokens", "copy", "block", "block_order")], "n_tokens", "copy", "block", "block_order")

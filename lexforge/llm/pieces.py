@@ -10,10 +10,10 @@ that stand side by side in no piece. The encoding of a text is the concatenation
 (mostly words) are kept in a bounded table.
 
 Characters without a piece become their UTF-8 bytes. Supported are models with the identity normaliser, a dummy prefix,
-kept white space and byte pieces; others raise ValueError.
+kept white space, byte pieces, begin and end ids and no user-defined pieces; others raise ValueError.
 
-Defined cases: null text: as empty; empty text: begin and end only; texts of any length are encoded whole; rows repeat
-as they come; other columns pass through.
+Defined cases: null text: as empty; empty text: begin and end only; texts of any length are encoded whole; repeated rows:
+each; ties of rank: from the left, as in the library; no rows: no rows; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexforge.llm.common import small_batches
+from lexforge.llm.common import free_name, small_batches
 
 SPACE = "▁"
 #: Parts kept at once by a worker, and the longest part that is kept.
@@ -68,6 +68,9 @@ def checked(model: bytes) -> bytes:
     # Field numbers of the public format: normaliser 2 charsmap, 3 dummy prefix, 4 remove extra spaces; trainer 3 model type, 35 byte fallback, 24 treat space as suffix.
     if normalizer.get(2) or not normalizer.get(3, 1) or normalizer.get(4, 1) or trainer.get(3) != 2 or not trainer.get(35) or trainer.get(24):
         raise ValueError("only BPE models with byte pieces, a dummy prefix and no other normalisation are supported")
+    # A piece's field 3 is its type; 4: user-defined, which the library matches before it merges.
+    if any(dict(fields(piece)).get(3) == 4 for number, piece in fields(model) if number == 1):
+        raise ValueError("models with user-defined pieces are not supported")
     return model
 
 
@@ -79,6 +82,8 @@ class Encoder:
         given = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = given.get_piece_size()
         self.bos, self.eos = given.bos_id(), given.eos_id()
+        if self.bos < 0 or self.eos < 0:
+            raise ValueError("only models with begin and end ids are supported")
         special = {i for i in range(size) if given.is_control(i) or given.is_unknown(i) or given.is_byte(i)}
         pieces = [given.id_to_piece(i) for i in range(size)]
         self.ids = {p: i for i, p in enumerate(pieces) if i not in special}
@@ -225,18 +230,20 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, text: str = "t
     """
     small_batches(spark)
     with open(model_path, "rb") as f:
-        shared = spark.sparkContext.broadcast(checked(f.read()))
+        model = checked(f.read())
+    encoder(model)  # raises here, not in a task, if the model is not supported
+    shared = spark.sparkContext.broadcast(model)
     added = ["ids", "decoded"] if keep_ids else []
     rest = [f for f in docs.schema.fields if f.name not in (text, "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")]
     schema = T.StructType([*rest, *([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())] if keep_ids else []), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    names = [f.name for f in rest]
+    names, given = [f.name for f in rest], free_name(docs, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         coder = encoder(shared.value)
         for batch in batches:
-            column, cols = batch.column("_text"), [batch.column(n) for n in names]
+            column, cols = batch.column(given), [batch.column(n) for n in names]
             n_tokens, id_hex, text_hex, all_ids, texts = [], [], [], [], []
             for x in column:
                 ids = coder.encode(x.as_py() or "")
@@ -252,4 +259,4 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, text: str = "t
         coder.parts.clear()  # workers live on after a task
         coder.pairs.clear()
 
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias(given)).mapInArrow(run, schema)

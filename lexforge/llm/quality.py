@@ -3,8 +3,9 @@ r"""Quality rules: a table of thresholds compiled into one Spark projection, wit
 Every measure is computed inside its row: words, symbols, repeated lines, words in repeated three-word windows and stop
 words. No text is cut and nothing is shuffled.
 
-Defined cases: null or blank text: all measures zero and the base fails; text of any length is measured whole; other
-columns stay out of the result unless asked for.
+Defined cases: null or blank text: all measures zero and the base fails; text of any length is measured whole; repeated
+rows: each; ties do not arise; no rows: no rows; other columns, whatever their names, pass through, but those named like a
+measure are replaced by it.
 """
 
 from __future__ import annotations
@@ -65,9 +66,11 @@ def _marks(places: Column, known: Column, same) -> Column:
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the long columns n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words and n_repeat_words."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    # The caller's columns wait in a struct, so that no name can clash.
+    out = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    t = F.col("_t")
     stop = [F.lit(x) for x in STOP_WORDS]
-    out = docs.withColumn("_words", words(F.col(text)))
+    out = out.withColumn("_words", words(t))
     # A window's place is packed below the upper bits of its hash, so that sorting longs brings equal windows together.
     n = F.size("_words")
     out = out.withColumn("_bits", F.ceil(F.log2(n + 1)).cast("int"))
@@ -96,7 +99,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": F.size(F.array_distinct(F.concat("_hits", F.transform("_hits", lambda i: i + 1), F.transform("_hits", lambda i: i + 2)))),
     }
     # Through a generator, below which no filter on a measure is pushed: pushed down, it would be worked out anew for every word.
-    return out.select(*[c for c in docs.columns if c not in found], F.inline(F.array(F.struct(*[long(v).alias(k) for k, v in found.items()]))))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in found], F.inline(F.array(F.struct(*[long(v).alias(k) for k, v in found.items()]))))
 
 
 def judged(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:

@@ -5,15 +5,17 @@ candidate block once, by an equijoin on the number of the shard that it was copi
 query and gives it on once, so what is shuffled is lists, not scores. The lists are merged in two levels.
 
 Products are made in floating point only where the largest possible sum is exact; else in 64-bit integers or, beyond
-those, in Python integers (a score outside a long is clamped to its ends).
+those, in Python integers. Scores are longs, so one that no long can hold, which takes components above 10^8, is the
+nearest long.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; vectors of another
 length than the query's are no candidates; ties go to the smaller id; a repeated row is a candidate for its equals, and
-repeated query rows each give their list; null ids take no part; other columns are ignored.
+repeated query rows each give their list; null ids take no part; no rows: no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS, QUERY_ROWS = 4096, 512
 LONG = (1 << 63) - 1
+#: The largest double: a component beyond it after scaling counts as it.
+MOST = sys.float_info.max
 
 
 def _pack(rows: int):
@@ -114,7 +118,7 @@ def _tiles(k: int):
 
 def integers(vector: Column, scale: int) -> Column:
     """floor(scale * x) of every component as doubles; null unless all components are finite and there is one."""
-    x = F.transform(vector.cast("array<double>"), lambda v: F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e300)), F.when(F.abs(v * scale) < F.lit(float(1 << 52)), F.floor(v * scale).cast("double")).otherwise(v * scale)))
+    x = F.transform(vector.cast("array<double>"), lambda v: F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.when(F.abs(v * scale) < F.lit(float(1 << 52)), F.floor(v * scale).cast("double")).otherwise(F.greatest(F.least(v * scale, F.lit(MOST)), F.lit(-MOST)))))
     return F.when((F.size(vector) > 0) & ~F.exists(x, lambda v: v.isNull()), x)
 
 

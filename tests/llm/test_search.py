@@ -32,6 +32,11 @@ def test_odd_vectors(spark):
     assert run(spark, rows[:1]) == [] and run(spark, rows[:0]) == []
 
 
+def test_huge_components(spark):
+    df = spark.createDataFrame([(0, [1e308, 1.0]), (1, [1e307, 0.0]), (2, [-1e308, 5.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2**63 - 1), (3, 64 * 128), (2, -(2**63))]
+
+
 def test_products_are_exact():
     for scale in (10, 10**6, 10**8, 2**60):
         a = np.array([[scale, -scale + 1], [3, scale - 1]], np.float64)
