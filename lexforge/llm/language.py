@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexforge.llm.common import free_name, small_batches
+from lexforge.llm.common import Workspace, free_name, small_batches
 
 PLACES = 1 << 14
 #: Lengths, in letters and single spaces, from which on a bound of its own holds; shorter texts are not rejected.
@@ -43,7 +43,8 @@ def grams(text: str) -> np.ndarray | None:
         return None
     points = np.where(letter, points, 32).astype(np.uint64)
     # Of a run of spaces one is left, and one stands at both ends.
-    points = np.concatenate([[np.uint64(32)], points[letter | np.concatenate([[False], letter[:-1]])], [np.uint64(32)]])
+    kept = points[letter | np.concatenate([[False], letter[:-1]])]
+    points = np.concatenate([[np.uint64(32)], kept, np.full(int(kept[-1] != 32), 32, np.uint64)])
     mix = np.uint64(0x9E3779B97F4A7C15)
     one = points * mix
     two = (one[:-1] ^ (points[1:] + np.uint64(1 << 24))) * mix
@@ -91,7 +92,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     """Learns from labelled rows with a text and a label.
 
     Of each language the `per_language` different texts with the smallest hashes are taken (all, if there are fewer), of
-    those that have a letter; copies count once. Only vectors come to the driver, one a text and one a shorter size of it.
+    those that have a letter; copies count once. Only their vectors, not the texts, come to the driver, one a text.
     `margin`: part of the low (0.5 %) cosine of the training texts of its size that a text must reach.
     """
     rows = labelled.where(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("h"))
@@ -99,60 +100,68 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     # Spark limits the ranks before the shuffle too, so a language's task gets `per_language` rows of each task before it at most.
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = distinct.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "h")
-    sample = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("text", "lang", "h")
+    space = Workspace(labelled.sparkSession, "language")
+    # One row a text: at most `per_language` a language.
+    sample = space.write(rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")), "sample")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()  # at most `per_language` a language
         for b in batches:
-            out = []
-            for t, name, h in zip(b.column("text"), b.column("lang"), b.column("h"), strict=True):
-                text_of = (name.as_py(), h.as_py())
-                if text_of in seen:
-                    continue
-                seen.add(text_of)
-                whole = t.as_py()
-                windows = [(s, whole[(len(whole) - s) // 2 :][:s]) for s in SIZES if s < len(whole)]
-                for size, window in [(0, whole), *windows]:
-                    v = grams(window)
-                    if v is not None:
-                        at = np.flatnonzero(v)
-                        out.append((*text_of, size, at.astype("<i4").tobytes(), v[at].tobytes()))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "h", "size", "at", "n"])
+            found = [grams(t.as_py()) for t in b.column("text")]
+            at = [None if v is None else np.flatnonzero(v) for v in found]
+            cells = [[None if v is None else x.astype(kind).tobytes() for v, x in zip(found, some, strict=True)] for some, kind in ((at, "<u2"), ([None if v is None else v[a] for v, a in zip(found, at, strict=True)], "<f4"))]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), *(pa.array(c, pa.binary()) for c in cells)], ["lang", "h", "at", "n"])
 
     taken: dict[str, list] = {}
-    shorter: dict[str, list] = {}
-    found = sample.mapInArrow(vectors, "lang string, h long, size int, at binary, n binary").groupBy("lang", "h", "size").agg(F.min(F.struct("at", "n")).alias("v"))
-    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"], r["size"])):
-        (shorter if r["size"] else taken).setdefault(r["lang"], []).append((np.frombuffer(r["v"]["at"], "<i4"), np.frombuffer(r["v"]["n"], np.float32)))
+    found = sample.mapInArrow(vectors, "lang string, h long, at binary, n binary").where("at IS NOT NULL").orderBy("lang", "h")
+    for r in found.toLocalIterator():
+        taken.setdefault(r["lang"], []).append((np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<f4")))
+    if not taken:
+        return Model([], np.zeros((0, PLACES), np.float32), np.ones(PLACES, np.float32), np.zeros((0, len(SIZES) + 1)))
     df = np.zeros(PLACES)
     for group in taken.values():
         for at, _ in group:
             df[at] += 1
-    if not taken:
-        return Model([], np.zeros((0, PLACES), np.float32), np.ones(PLACES, np.float32), np.zeros((0, len(SIZES) + 1)))
     total = sum(map(len, taken.values()))
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    languages, centroids, least = [], [], []
-    def dense(rows: list) -> np.ndarray:
-        x = np.zeros((len(rows), PLACES), np.float32)
-        for row, (at, n) in zip(x, rows, strict=True):
-            row[at] = n
-        return x
-
+    own: dict[str, np.ndarray] = {}
     for name in sorted(taken):
-        x = dense(taken[name])
-        c = _cluster(_unit(x * idf), clusters)
-        parts = [x, *(dense(shorter[name][i : i + 256]) for i in range(0, len(shorter.get(name, [])), 256))]
-        size = np.concatenate([size_of(p) for p in parts])
-        cosine = np.concatenate([(_unit(p * idf) @ c.T).max(1) for p in parts])
-        bounds = [0.0]
-        for i in range(1, len(SIZES) + 1):  # a size without a text: as the size below
-            bounds.append(margin * float(np.quantile(cosine[size == i], 0.005)) if (size == i).any() else bounds[-1])
-        languages += [name] * len(c)
-        centroids += list(c)
-        least += [bounds] * len(c)
-    return Model(languages, np.stack(centroids).astype(np.float32), idf, np.array(least))
+        x = np.zeros((len(taken[name]), PLACES), np.float32)
+        for row, (at, n) in zip(x, taken.pop(name), strict=True):
+            row[at] = n * idf[at]
+        own[name] = _cluster(_unit(x), clusters).astype(np.float32)
+        del x
+    bounds = _bounds(sample, own, idf, margin)
+    space.drop("")
+    languages = [name for name, c in own.items() for _ in c]
+    return Model(languages, np.concatenate(list(own.values())), idf, np.array([bounds[name] for name in languages]))
+
+
+def _bounds(sample: DataFrame, own: dict[str, np.ndarray], idf: np.ndarray, margin: float) -> dict[str, list[float]]:
+    """For each language the bound of each size, from the cosines of its training texts and of windows in their middle; only numbers come to the driver."""
+    shared = sample.sparkSession.sparkContext.broadcast((own, idf))
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, weights = shared.value
+        for b in batches:
+            lang, size, cosine = [], [], []
+            for name, t in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
+                t = t.as_py()
+                for window in [t, *(t[(len(t) - s) // 2 :][:s] for s in SIZES if s < len(t))]:
+                    v = grams(window)
+                    if v is not None and name in centroids:
+                        lang.append(name)
+                        size.append(int(size_of(v)))
+                        cosine.append(float((centroids[name] @ _unit(v * weights)).max()))
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(cosine, pa.float64())], ["lang", "size", "cosine"])
+
+    low = sample.mapInArrow(cosines, "lang string, size int, cosine double").groupBy("lang", "size").agg(F.percentile("cosine", 0.005).alias("low")).collect()
+    known = {(r["lang"], r["size"]): margin * r["low"] for r in low}
+    out = {}
+    for name in own:
+        out[name] = [0.0]
+        for size in range(1, len(SIZES) + 1):  # a size without a text: as the size below
+            out[name].append(known.get((name, size), out[name][-1]))
+    return out
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
