@@ -171,3 +171,83 @@ def ranked(verdicts: DataFrame, key: str) -> DataFrame:
     """Verdicts of a profile in order: what applies first, then by confidence, fewest reasons and rule."""
     order = F.array_position(F.array(*[F.lit(v) for v in ("applies", "discretionary", "unclear", "excluded", "does_not_apply", "other_jurisdiction", "not_in_force", "not_reviewed")]), F.col("verdict"))
     return verdicts.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(order, F.desc("confidence"), F.size("reasons"), "rule_id")))
+
+
+# Deductions of the confidence, and their ceilings.
+DEDUCTIONS = {"partial": 25, "unparsed": 50, "unknown": (15, 45), "near": 10, "estimated": 10, "discretion": (5, 15), "conflict": (20, 20), "historical": 10, "gap": (2, 10)}
+MODES = ("current", "historical", "all")
+
+
+def temporal_gate(rule: Mapping, day: Column, mode: str = "current") -> tuple[Column, Column]:
+    """(passes, is past): null where the rule's state is unknown; a past rule passes in the modes historical and all, a future one only in all."""
+    if mode not in MODES:
+        raise ValueError(f"modes are {', '.join(MODES)}")
+    state, no = rule.get("state_in_force", "in_force"), F.lit(False)
+    if state == "unknown":
+        return _unknown(), no
+    bound = lambda name, late: (day < F.lit(str(rule[name])).cast("date") if late else day > F.lit(str(rule[name])).cast("date")) if rule.get(name) else no
+    future, past = bound("valid_from", True), bound("valid_to", False) | F.lit(state == "repealed")
+    passes = F.lit(True) if mode == "all" else ~future & (F.lit(True) if mode == "historical" else ~past)
+    return passes, past
+
+
+def jurisdiction_gate(rule: Mapping, flag: Column, areas: Column, ports: Column) -> Column:
+    """Flag and waters, each `*`, matched, missed or unknown; where the rule says so, a port state makes up for another flag."""
+    flags, waters = list(rule.get("flag_states", ("*",))), list(rule.get("operating_areas", ("*",)))
+    overlap = lambda have, want: F.coalesce(F.arrays_overlap(have, F.array(*[F.lit(w) for w in want])), F.lit(False))
+    by_flag = F.lit(True) if "*" in flags else F.when(F.coalesce(flag, F.lit("")) != "", flag.isin(flags) | (overlap(ports, flags) if rule.get("port_state_applies") else F.lit(False)))
+    by_area = F.lit(True) if "*" in waters else F.when(F.size(F.coalesce(areas, F.array().cast("array<string>"))) > 0, overlap(areas, waters))
+    return by_flag & by_area
+
+
+def assess(profiles: DataFrame, rule: Mapping, kinds: Mapping[str, str], key: str, on_date: str, mode: str = "current", flag: str = "flag", areas: str = "areas", ports: str = "ports", estimated: str | None = None, conflicts: str | None = None, tolerance: float | None = None) -> DataFrame:
+    """(key, rule_id, gate, verdict, confidence, near, unknown): a rule through its six gates: time, jurisdiction, conditions, exclusions, coverage, discretion.
+
+    An inclusion that fails only by bounds missed narrowly is possible (manual where other facts are open too); a
+    clause that may extend the rule makes a failed one possible; open exclusions, partial coverage, narrow bounds and
+    softening clauses make a met one possible. rule: inclusion, exclusion, coverage (full, partial, unparsed), gaps (a
+    number), discretion (list of may_extend or others), dates, state_in_force, flag_states, operating_areas.
+    """
+    passes, past = temporal_gate(rule, F.lit(on_date).cast("date"), mode)
+    column = lambda name: F.col(name) if name in profiles.columns else F.lit(None)
+    here = jurisdiction_gate(rule, column(flag).cast("string"), column(areas).cast("array<string>"), column(ports).cast("array<string>"))
+    inside = compile_tree(rule["inclusion"], kinds, estimated)
+    outside = compile_tree(rule["exclusion"], kinds, estimated) if rule.get("exclusion") else F.lit(False)
+    leaves = atoms(rule["inclusion"])
+    results = [compile_tree(a, kinds, estimated) for a in leaves]
+    bounded = [(a, kinds.get(a["field"]) == "number" and a["operator"] in ("lt", "lte", "gt", "gte")) for a in leaves]
+    narrow = [F.coalesce(near_threshold(F.col(a["field"]), float(a["value"]), tolerance), F.lit(False)) if number else F.lit(False) for a, number in bounded]
+    count = lambda tests: reduce(lambda a, b: a + b, [F.when(t, 1).otherwise(0) for t in tests], F.lit(0))
+    failed, open_ = count([~F.coalesce(r, F.lit(True)) for r in results]), count([r.isNull() for r in results])
+    failed_narrowly, near = count([~F.coalesce(r, F.lit(True)) & n for r, n in zip(results, narrow, strict=True)]), count(narrow) > 0
+    coverage, clauses = rule.get("coverage", "full"), list(rule.get("discretion", ()))
+    extends, softens = F.lit("may_extend" in clauses), F.lit(any(c != "may_extend" for c in clauses))
+    whole = here & inside
+    verdict = (
+        F.when(passes.isNull(), "NEEDS_MANUAL_REVIEW")
+        .when(~passes | ~here, "DOES_NOT_APPLY")
+        .when(~whole & extends, "POSSIBLY_APPLIES")
+        .when(~whole & (failed > 0) & (failed == failed_narrowly), F.when(open_ > 0, "NEEDS_MANUAL_REVIEW").otherwise("POSSIBLY_APPLIES"))
+        .when(~whole | outside, "DOES_NOT_APPLY")
+        .when(F.lit(coverage == "unparsed") | whole.isNull(), "NEEDS_MANUAL_REVIEW")
+        .when(outside.isNull() | F.lit(coverage == "partial") | near | softens, "POSSIBLY_APPLIES")
+        .otherwise("APPLIES")
+    )
+    gate = F.when(passes.isNull() | ~passes, "temporal").when(~here, "jurisdiction").when(~whole, "conditions").when(outside, "exclusions").when(F.lit(coverage == "unparsed"), "coverage").otherwise("decision")
+    d = DEDUCTIONS
+    guessed = F.lit(False) if estimated is None else F.coalesce(F.arrays_overlap(F.col(estimated), F.array(*[F.lit(a["field"]) for a in leaves]).cast("array<string>")), F.lit(False))
+    clashes = F.lit(0) if conflicts is None else F.size(F.coalesce(F.col(conflicts), F.array().cast("array<string>")))
+    limited = lambda n, name: F.least(n * d[name][0], F.lit(d[name][1]))
+    loss = F.lit(d.get(coverage, 0)) + limited(open_, "unknown") + F.when(near, d["near"]).otherwise(0) + F.when(guessed, d["estimated"]).otherwise(0) + limited(F.lit(len(clauses)), "discretion") + limited(clashes, "conflict") + F.when(past, d["historical"]).otherwise(0) + limited(F.lit(int(rule.get("gaps", 0))), "gap")
+    return profiles.select(key, F.lit(rule["rule_id"]).alias("rule_id"), gate.alias("gate"), verdict.alias("verdict"), F.greatest(F.lit(0), 100 - loss).cast("int").alias("confidence"), near.alias("near"), open_.alias("unknown"))
+
+
+def supporting(fragments: DataFrame, rules: DataFrame, key: str, rule: str, most: int = 3) -> DataFrame:
+    """(rule, key, share, n): the fragments that share most of a rule's words, at most `most` each; they never change a verdict.
+
+    fragments: (key, tokens array); rules: (rule, tokens array), a bounded table.
+    """
+    wanted = rules.select(rule, F.explode(F.array_distinct("tokens")).alias("token"), F.size(F.array_distinct("tokens")).alias("_all"))
+    have = fragments.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
+    shared = have.join(F.broadcast(wanted), "token").groupBy(rule, key).agg((F.count(F.lit(1)) / F.max("_all")).alias("share"))
+    return shared.withColumn("n", F.row_number().over(Window.partitionBy(rule).orderBy(F.desc("share"), key))).where(F.col("n") <= most)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.text import percent
+
 
 def hash_of(*columns: str) -> Column:
     """SHA-256 over columns, null as empty."""
@@ -70,6 +72,34 @@ def zero_filled(counts: DataFrame, column: str, values: Sequence[str]) -> DataFr
     return every.join(counts.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, "left").select("position", column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def with_total(counts: DataFrame, column: str) -> DataFrame:
+    """zero_filled() counts and a last row TOTAL."""
+    total = counts.agg((F.max("position") + 1).alias("position"), F.lit("TOTAL").alias(column), F.sum("n").alias("n"))
+    return counts.unionByName(total)
+
+
+def log_totals(log: DataFrame) -> DataFrame:
+    """Totals of a folded query log: queries, searches, those never answered, those asked again."""
+    return log.agg(F.count(F.lit(1)).alias("queries"), F.sum("occurrences").alias("searches"), F.count_if(F.col("best_result_count") == 0).alias("without_results"), F.count_if(F.col("occurrences") > 1).alias("repeated"))
+
+
+def popular(log: DataFrame, key: str, limit: int = 10) -> DataFrame:
+    """The queries asked most, of those that find something."""
+    return log.where("last_result_count > 0").orderBy(F.desc("occurrences"), key).limit(limit)
+
+
+def unanswered(log: DataFrame, key: str, limit: int = 10) -> DataFrame:
+    """The queries asked most, of those that find nothing now."""
+    return log.where("last_result_count = 0").orderBy(F.desc("occurrences"), key).limit(limit)
+
+
+def index_coverage(docs: DataFrame, indexed: DataFrame, key: str) -> DataFrame:
+    """(documents, indexed, percent): how much of the corpus has chunks."""
+    have = indexed.select(key).distinct().withColumn("_has", F.lit(True))
+    both = docs.select(key).join(have, key, "left").agg(F.count(F.lit(1)).alias("documents"), F.count("_has").alias("indexed"))
+    return both.withColumn("percent", percent(F.col("indexed"), F.col("documents")))
+
+
 def permitted(evidence: DataFrame, action: str, at: Column) -> Column:
     """Whether the latest evidence of a source allows an action now."""
     return (F.col("state") == "approved") & F.col("reviewer").isNotNull() & F.col("evidence_url").startswith("https://") & (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)) & F.array_contains("actions", action) & (F.size(F.coalesce("conditions", F.array().cast("array<string>"))) == 0)

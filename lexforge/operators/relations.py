@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -12,20 +16,67 @@ def resolve(edges: DataFrame, documents: DataFrame, key: str, rank: list) -> Dat
     return edges.join(best, key, "left")
 
 
+def preferred(documents: DataFrame, key: str, in_force: str, date: str) -> DataFrame:
+    """(key, target_id): of the documents of a key the one in force, the newest, the one with the highest id; kept by a partial aggregate."""
+    return documents.groupBy(key).agg(F.max_by("document_id", F.struct(F.coalesce(in_force, F.lit(False)), F.coalesce(F.col(date).cast("date"), F.lit("0001-01-01").cast("date")), "document_id")).alias("target_id"))
+
+
+def relinked(edges: DataFrame, documents: DataFrame, key: str, in_force: str, date: str) -> DataFrame:
+    """edges (key, target_id, ...) with every target resolved anew, so that open or weaker ones follow a document that has come; what no document has keeps its old target."""
+    best = preferred(documents, key, in_force, date).withColumnRenamed("target_id", "_best")
+    return edges.join(best, key, "left").withColumn("target_id", F.coalesce("_best", "target_id")).drop("_best")
+
+
+def synchronised(edges: DataFrame, extracted: DataFrame, renewed: DataFrame, source: str, relation: str, kinds: Sequence[str]) -> DataFrame:
+    """edges after the relations of some documents (`renewed`: source) were extracted anew: their extracted kinds are replaced, others stay."""
+    mine = renewed.select(source).distinct().withColumn("_renewed", F.lit(True))
+    replaced = F.col("_renewed").isNotNull() & F.coalesce(F.col(relation).isin(list(kinds)), F.lit(False))
+    return edges.join(mine, source, "left").where(~replaced).select(*edges.columns).unionByName(extracted, allowMissingColumns=True)
+
+
+def delegated(family: DataFrame, titles: DataFrame, bases: DataFrame) -> DataFrame:
+    """(start, document_id, via): regulations issued under any member of a law's family, or under its title.
+
+    family: (start, node) with every earlier and later version of a law and the law itself; titles: (document_id,
+    title_key); bases: (document_id, target_id, target_key) legal bases, resolved or only named.
+    """
+    by_id = bases.join(family.select("start", F.col("node").alias("target_id")), "target_id").select("start", "document_id", F.lit("document").alias("via"))
+    named = family.join(titles.withColumnRenamed("document_id", "node"), "node").where("title_key IS NOT NULL").select("start", F.col("title_key").alias("target_key")).distinct()
+    by_title = bases.join(named, "target_key").select("start", "document_id", F.lit("title").alias("via"))
+    return by_id.unionByName(by_title).groupBy("start", "document_id").agg(F.min("via").alias("via"))
+
+
+def relation_counts(edges: DataFrame, relation: str = "relation") -> DataFrame:
+    return edges.groupBy(relation).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target_id").isNotNull()).alias("resolved"))
+
+
 def walk(edges: DataFrame, starts: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(start, node, depth): all nodes reachable over edges (source, target), each at its least depth; cycles end, dangling targets count.
+    """(start, node, depth, cut): all nodes reachable over edges (source, target), each at its least depth; cycles end, dangling targets count.
 
-    A breadth-first loop: each round joins only the new frontier, and is checkpointed so that plans stay short.
+    A breadth-first loop: each round joins, and checkpoints, only the new frontier. cut: the walk ended here for its
+    depth, though the node may lead on.
     """
+    checkpoint_folder(edges.sparkSession)
     frontier = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
-    seen = frontier
+    parts = [frontier]
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges.select(F.col("source").alias("node"), "target"), "node").where("target IS NOT NULL").select("start", F.col("target").alias("node"), F.lit(depth).alias("depth")).distinct()
-        frontier = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").checkpoint()
+        seen = reduce(DataFrame.unionByName, parts).select("start", "node")
+        frontier = step.join(seen, ["start", "node"], "left_anti").checkpoint()
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier).checkpoint()
-    return seen.where("depth > 0")
+        parts.append(frontier)
+    return reduce(DataFrame.unionByName, parts).where("depth > 0").withColumn("cut", F.col("depth") == max_depth)
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Checkpoints need a folder that all executors see; a temporary one will do in local mode only."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="lexforge-"))
 
 
 def both_directions(links: DataFrame) -> DataFrame:

@@ -186,7 +186,7 @@ def relation_walk(spark: SparkSession, sf: str) -> DataFrame:
     """Chains of parts: each points to the part of a third of its number."""
     parts = _t(spark, sf, "part")
     edges = parts.select(F.col("p_partkey").alias("source"), F.when(F.col("p_partkey") > 2, F.floor(F.col("p_partkey") / 3)).alias("target"))
-    return G.walk(edges, parts.where("p_size = 1").select(F.col("p_partkey").alias("node")))
+    return G.walk(edges, parts.where("p_size = 1").select(F.col("p_partkey").alias("node"))).drop("cut")
 
 
 WALK_SQL = """

@@ -26,7 +26,7 @@ def text_fold(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.sha2(X.fold(F.col("text")), 256).alias("folded_sha256"), F.size(X.tokenize(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-_FOLDED = "lower(" + "replace(" * 12 + "translate(coalesce({0},''), 'éÉèÈô’‘“”–— ­', 'eEeEo''''\"\"-- ')" + "".join(f", '{a}', '{b}')" for a, b in X.FOLDED_TO_TWO.items()) + ")"
+_FOLDED = "lower(" + "replace(" * 12 + "translate(nfc_normalize(coalesce({0},'')), 'éÉèÈô’‘“”–— ­', 'eEeEo''''\"\"-- ')" + "".join(f", '{a}', '{b}')" for a, b in X.FOLDED_TO_TWO.items()) + ")"
 TEXT_FOLD_SQL = f"SELECT doc_id, sha256({_FOLDED.format('text')}) AS folded_sha256, len(regexp_extract_all({_FOLDED.format('text')}, '{X.TOKEN}'))::BIGINT AS n_tokens FROM documents"
 
 
@@ -34,7 +34,7 @@ def text_content_hash(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
 
 
-CONTENT_HASH_SQL = r"SELECT doc_id, sha256(trim(regexp_replace(coalesce(text,''), '\s+', ' ', 'g'))) AS content_hash FROM documents"
+CONTENT_HASH_SQL = r"SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(coalesce(text,'')), '\s+', ' ', 'g'))) AS content_hash FROM documents"
 
 
 def text_strip_html(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,40 +108,68 @@ def categories(spark: SparkSession, sf: str) -> DataFrame:
 def vector_normalize(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     v = V.normalize(F.transform("embedding", lambda x: x * 3))
-    return e.select("vec_id", F.bround(V.norm(v), 6).alias("size"), F.bround(v[0], 6).alias("first"))
+    return e.select("vec_id", F.posexplode(v).alias("i", "x")).withColumn("x", F.bround("x", 6))
 
 
 NORMALIZE_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v FROM embeddings),
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM v)
-SELECT vec_id, round_even(sqrt(list_sum(list_transform(v, lambda x: (x / s) * (x / s)))), 6) AS size, round_even(v[1] / s, 6) AS first FROM n
+SELECT vec_id, (i - 1)::INT AS i, round_even(v[i] / s, 6) AS x FROM n, generate_series(1, 64) g(i)
 """
 
 
 def vector_centroids(spark: SparkSession, sf: str) -> DataFrame:
     c = V.centroids(spark.read.parquet(f"{sf}/embeddings.parquet"), "label", "embedding")
-    return c.select("label", F.bround(F.get("centroid", F.lit(0)), 6).alias("first"), F.bround(F.get("centroid", F.lit(63)), 6).alias("last"))
+    return c.select("label", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.bround("x", 6))
 
 
 CENTROID_SQL = """
 WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, generate_series(1, 64) g(i) GROUP BY label, i),
 n AS (SELECT label, sqrt(sum(x * x)) AS s FROM m GROUP BY label)
-SELECT label, round_even(max(x / s) FILTER (WHERE i = 1), 6) AS first, round_even(max(x / s) FILTER (WHERE i = 64), 6) AS last FROM m JOIN n USING (label) GROUP BY label
+SELECT label, (i - 1)::INT AS i, round_even(x / s, 6) AS x FROM m JOIN n USING (label)
 """
 
 
 def vector_hashing_embedding(spark: SparkSession, sf: str) -> DataFrame:
     e = V.hashing_embedding(F.col("text"), 64)
-    return _docs(spark, sf).select("doc_id", e.alias("v")).select("doc_id", F.bround(V.norm(F.col("v")), 4).alias("size"))
+    return _docs(spark, sf).select("doc_id", F.posexplode(e).alias("i", "x")).withColumn("x", F.bround("x", 4))
 
 
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", X.snippet(F.col("text"), ["nicht", "avec"], 120).alias("snippet"))
 
 
+# The first hit by every spelling that folds to a term; the window and its word ends as in the function.
+SNIPPETS_SQL = r"""
+WITH p AS (SELECT doc_id, trim(regexp_replace(nfc_normalize(coalesce(text, '')), '\s+', ' ', 'g')) AS t FROM documents),
+h AS (SELECT *, length(t) AS n, CASE WHEN regexp_matches(lower(t), 'nicht|av[eéè]c') THEN length(regexp_extract(lower(t), '(?s)^(.*?)(nicht|av[eéè]c)', 1)) ELSE -1 END AS hit FROM p),
+s AS (SELECT *, greatest(0, hit - 60) AS a, least(n, greatest(0, hit - 60) + 120) AS z FROM h),
+g AS (SELECT *, CASE WHEN strpos(substr(t, a + 1), ' ') > 0 THEN a + strpos(substr(t, a + 1), ' ') ELSE 0 END AS sp FROM s),
+b AS (SELECT *, CASE WHEN a > 0 AND sp > 0 AND sp - 1 < hit THEN sp ELSE a END AS b FROM g),
+c AS (SELECT *, substr(t, b + 1, z - b) AS cut, length(regexp_extract(substr(t, b + 1, z - b), '(\s\S*)$', 1)) AS back FROM b)
+SELECT doc_id, CASE WHEN hit < 0 THEN substr(t, 1, 120) || CASE WHEN n > 120 THEN '…' ELSE '' END
+  ELSE CASE WHEN b > 0 THEN '…' ELSE '' END || trim(CASE WHEN z < n AND back > 0 AND z - back > hit THEN substr(cut, 1, length(cut) - back) ELSE cut END) || CASE WHEN z < n THEN '…' ELSE '' END END AS snippet FROM c
+"""
+
+# Raw points of each category over title and text, from the same terms.
+_CATEGORY_PARTS = (
+    ("english", 0, "2.0 * (least(len(list_filter({w}, lambda x: x = 'the')), 3)) + 1.0 * least(len(list_filter({w}, lambda x: starts_with(x, 'th'))), 3) + 6.0 * least(len(regexp_extract_all({c}, 'of\\s+the')), 3)"),
+    ("german", 1, "5.0 * least(len(list_filter({w}, lambda x: x = 'der')), 3) + 5.0 * least(len(list_filter({w}, lambda x: x = 'die')), 3) + 4.0 * least(len(list_filter({w}, lambda x: x = 'und')), 3)"),
+    ("romance", 2, "5.0 * least(len(list_filter({w}, lambda x: x = 'de')), 3) + 4.0 * least(len(list_filter({w}, lambda x: x = 'la')), 3) + 3.0 * least(len(list_filter({w}, lambda x: x = 'en')), 3)"),
+)
+CATEGORIES_SQL = f"""
+WITH d AS (SELECT doc_id, {_FOLDED.format("text")} AS c, {_FOLDED.format("string_split(text, chr(10))[1]")} AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(c, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS cw, regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS tw FROM d),
+r AS ({" UNION ALL ".join(f"SELECT doc_id, '{slug}' AS slug, {n} AS n, (({parts.format(w='cw', c='c')}) + 3 * ({parts.format(w='tw', c='t')}))::DOUBLE AS raw FROM w" for slug, n, parts in _CATEGORY_PARTS)}),
+k AS (SELECT doc_id, slug, row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC, n) AS p, round_even(raw / (raw + 12), 4) AS confidence, round_even(raw, 2) AS raw FROM r WHERE raw > 0 AND raw / (raw + 12) >= 0.55),
+f AS (SELECT doc_id FROM w WHERE doc_id NOT IN (SELECT doc_id FROM k))
+SELECT doc_id, (p - 1)::INT AS position, slug, confidence, raw FROM k UNION ALL SELECT doc_id, 0, 'other', 0.55::DOUBLE, 0.0::DOUBLE FROM f
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (text_fold, text_content_hash, text_strip_html, text_language_score, text_contains_any, relevance, categories, vector_normalize, vector_centroids, vector_hashing_embedding, snippets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"text_fold": TEXT_FOLD_SQL, "text_content_hash": CONTENT_HASH_SQL, "text_strip_html": STRIP_SQL, "text_language_score": LANGUAGE_SQL, "text_contains_any": CONTAINS_SQL, "relevance": RELEVANCE_SQL, "vector_normalize": NORMALIZE_SQL, "vector_centroids": CENTROID_SQL}
+    return {"text_fold": TEXT_FOLD_SQL, "text_content_hash": CONTENT_HASH_SQL, "text_strip_html": STRIP_SQL, "text_language_score": LANGUAGE_SQL, "text_contains_any": CONTAINS_SQL, "relevance": RELEVANCE_SQL, "vector_normalize": NORMALIZE_SQL, "vector_centroids": CENTROID_SQL, "snippets": SNIPPETS_SQL, "categories": CATEGORIES_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,30 +47,41 @@ def limited(events: DataFrame, key: str, ts: str, event: str, most: int, seconds
 
 
 def limited_batch(events: DataFrame, key: str, ts: str, event: str, most: int, seconds: float) -> DataFrame:
-    """limited() over a table: accepting feeds back, so a key's hits go through one fold in time order."""
+    """limited() over a table: accepting feeds back, so a key's hits go in time order through one task, which holds `most` times a key."""
     s = F.unix_micros(F.col(ts).cast("timestamp")).cast("double") / 1e6
-    hits = F.sort_array(F.collect_list(F.struct(s.alias("s"), F.col(event).alias("e"))))
-    step = F.aggregate(
-        hits,
-        F.struct(F.array().cast("array<double>").alias("kept"), F.array().cast(f"array<struct<e:{dict(events.dtypes)[event]},ok:boolean>>").alias("out")),
-        lambda a, h: _step(a, h, most, seconds),
-    )
-    return events.groupBy(key).agg(step.alias("r")).select(key, F.explode("r.out").alias("x")).select(key, F.col("x.e").alias(event), F.col("x.ok").alias("allowed"))
+    kinds = dict(events.dtypes)
+    rows = events.select(key, event, s.alias("_s")).repartition(key).sortWithinPartitions(key, "_s", event)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, deque()
+        for part in parts:
+            allowed = []
+            for k, t in zip(part[key].tolist(), part["_s"].tolist(), strict=True):
+                if k != now:
+                    now, kept = k, deque()
+                while kept and kept[0] <= t - seconds:
+                    kept.popleft()
+                allowed.append(len(kept) < most)
+                if allowed[-1]:
+                    kept.append(t)
+            yield pd.DataFrame({key: part[key], event: part[event], "allowed": allowed})
 
+    return rows.mapInPandas(run, f"{key} {kinds[key]}, {event} {kinds[event]}, allowed boolean")
 
-def _step(a, h, most, seconds):
-    kept = F.filter(a["kept"], lambda k: k > h["s"] - seconds)
-    ok = F.size(kept) < most
-    return F.struct(F.when(ok, F.concat(kept, F.array(h["s"]))).otherwise(kept).alias("kept"), F.concat(a["out"], F.array(F.struct(h["e"].alias("e"), ok.alias("ok")))).alias("out"))
 
+def upsert_query_log(stream: DataFrame, fold, path: str, checkpoint: str):
+    """Folds each batch and adds it to the log at `path`, a folder a batch, of available data only.
 
-def upsert_query_log(stream: DataFrame, fold, merge, path: str, checkpoint: str):
-    """Folds each batch and merges it into the log at `path`, a folder per batch; available data only."""
+    A batch writes only its own rows, and the same batch written again replaces itself; `query_log` folds them together.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        folded = fold(batch)
-        old = f"{path}/{number - 1}"
-        out = merge(batch.sparkSession.read.parquet(old), folded) if number else folded
-        out.write.mode("overwrite").parquet(f"{path}/{number}")
+        fold(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def query_log(spark: SparkSession, path: str) -> DataFrame:
+    """One row a query over all batches: occurrences added up, the last and the best number of results."""
+    parts = spark.read.parquet(path)
+    return parts.groupBy("query_hash").agg(F.sum("occurrences").alias("occurrences"), F.max_by("last_result_count", "batch").alias("last_result_count"), F.max("best_result_count").alias("best_result_count"))

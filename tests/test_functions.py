@@ -1,5 +1,6 @@
 import datetime
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -13,10 +14,47 @@ def values(spark, items, of, kind="string"):
 
 
 def test_fold(spark):
-    assert values(spark, ["Søfart ÆØÅ", None, "a­b", "“É”—ü", "café"], lambda c: X.fold(c, normalised=False)) == ["soefart aeoeaa", "", "ab", '"e"-ue', "cafe"]
+    assert values(spark, ["Søfart ÆØÅ", None, "a­b", "“É”—ü", "café"], X.fold) == ["soefart aeoeaa", "", "ab", '"e"-ue', "cafe"]
     assert X.fold_text("Søfart ÆØÅ") == "soefart aeoeaa"
 
 
+def test_decomposed_text_is_composed_first(spark):
+    """A letter with a combining accent folds and hashes like the composed one, by default."""
+    composed, loose = "Åse på café", "A\u030ase pa\u030a cafe\u0301"
+    assert values(spark, [composed, loose], X.fold) == ["aase paa cafe"] * 2
+    assert len(set(values(spark, [composed, loose], X.content_hash))) == 1
+    assert values(spark, [loose], lambda c: X.contains_any(c, ["åse"]), "string") == [True]
+    row = X.composed(spark.createDataFrame([(loose,)], "t string"), "t").select(X.fold(F.col("t"), normalised=True).alias("f")).first()
+    assert row.f == "aase paa cafe"
+
+
+def test_spellings(spark):
+    for term, texts in (("Ærø", ["aeroe", "ærø", "ÆRØ", "Aerö"]), ("Aabenraa", ["Åbenrå", "aabenrå"]), ("café", ["cafe", "café"])):
+        assert all(re.fullmatch(X.spelling_pattern(term), t, re.I) for t in texts)
+    assert not re.fullmatch(X.spelling_pattern("ærø"), "aro", re.I)
+
+
+def test_hits_have_places_in_the_source(spark):
+    text = "Æbler og øl på Ærø, og så mere om færgen"
+    assert values(spark, [text, None], lambda c: X.first_hit(X.collapse_space(c), ["FÆRGEN", "paa"]), "string") == [text.index("på"), -1]
+    long = "ææ øø " * 60 + "målet her " + "ååå " * 80
+    got = values(spark, [long], lambda c: X.snippet(c, ["maalet"], 60))[0]
+    assert "målet" in got and len(got) <= 62 and got.strip("…") in long
+
+
+def test_canonical_text_and_quotations(spark):
+    assert values(spark, [" a\u00a0b \r\n\r\n\r\n\r\nc\u200bd\t", None, "m² ½"], X.canonical) == ["a b\n\ncd", "", "m² ½"]
+    whole = "§ 1. Reglerne gælder for skibe med en bruttotonnage på 500 eller derover."
+    rows = spark.createDataFrame([(whole.replace(" ", "\n", 3), whole + " Mere."), ("kort", whole), (whole + "x", whole)], "q string, c string")
+    assert [r.p for r in rows.select(X.quoted_in(F.col("q"), F.col("c")).alias("p")).collect()] == [None, "too_short", "not_found"]
+
+
+def test_metadata_and_durations(spark):
+    row = spark.sql("SELECT map('b', 'x', 'a', '') AS m, 'T' AS t, CAST(NULL AS string) AS n, timestamp'2024-01-01 00:00:00' AS s, timestamp'2024-01-01 00:01:30.5' AS f, CAST(NULL AS timestamp) AS z")
+    got = row.select(X.metadata_text(F.col("m"), F.col("t"), F.col("n")).alias("m"), X.seconds_between(F.col("s"), F.col("f")).alias("d"), X.seconds_between(F.col("s"), F.col("z")).alias("r")).first()
+    assert tuple(got) == ("T x b a", 90.5, None)
+
+
 def test_space_and_html(spark):
     assert values(spark, ["  a \n b ", None], X.collapse_space) == ["a b", ""]
     assert values(spark, ["<p>a&amp;b</p><br/>  <b>c</b>\n\n<div>d</div>", ""], X.strip_html) == ["a&b\nc\nd", ""]

@@ -7,41 +7,8 @@ from lexforge import streaming as X
 from lexforge.operators import applicability as A
 from lexforge.operators import history as H
 from lexforge.operators import relations as G
-from lexforge.operators import structure as D
 from lexforge.operators import terms as T
 
-LAW = """Loven gælder.
-Kapitel 1 Skibe
-§ 1. Skibe skal være sikre, jf. § 9. Stk. 2. Det gælder også både.
-§ 1 a. Undtaget er robåde.
-Kapitel 2
-§ 2. Slut."""
-
-
-def test_structure():
-    units = D.parse(LAW)
-    assert [(u[0], u[1], u[2], u[3], u[4]) for u in units] == [
-        ("preamble", None, None, None, None),
-        ("chapter", "Kapitel 1", None, None, None),
-        ("paragraph", "Kapitel 1", "1", "", None),
-        ("subsection", "Kapitel 1", "1", "", 1),
-        ("subsection", "Kapitel 1", "1", "", 2),
-        ("paragraph", "Kapitel 1", "1", "a", None),
-        ("chapter", "Kapitel 2", None, None, None),
-        ("paragraph", "Kapitel 2", "2", "", None),
-    ]
-    assert D.parse(None) == [] and D.parse("fri tekst")[0][0] == "text"
-
-
-def test_chunks_cover_the_text():
-    assert [c[1] for c in D.chunks(LAW)] == ["preamble", "paragraph", "paragraph", "paragraph"]
-    long = "§ 1. " + "En lang sætning her. " * 300 + "\n§ 2. Kort."
-    spans = [(c[5], c[6]) for c in D.chunks(long)]
-    assert all(b - a <= 2000 for a, b in spans) and "".join(long[a:b] for a, b in spans) == long
-    free = [(c[5], c[6]) for c in D.chunks("ord " * 2000)]
-    assert free[0][0] == 0 and free[-1][1] == 8000 and all(b > c for (_, b), (c, _) in itertools.pairwise(free))
-
-
 def test_kleene(spark):
     rows = spark.createDataFrame([(a, b) for a in (1, 0, None) for b in (1, 0, None)], "a int, b int")
     kinds = {"a": "number", "b": "number"}
@@ -77,9 +44,9 @@ def test_categories_fall_back(spark):
 
 def test_walk_ends_in_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", None), ("c", "lost")], "source string, target string")
-    spark.sparkContext.setCheckpointDir("/tmp/lexforge-test-checkpoints")
-    got = G.walk(edges, spark.createDataFrame([("a",)], "node string")).collect()
-    assert {(r.node, r.depth) for r in got} == {("b", 1), ("c", 2), ("lost", 3)}
+    start = spark.createDataFrame([("a",)], "node string")
+    assert {(r.node, r.depth, r.cut) for r in G.walk(edges, start).collect()} == {("b", 1, False), ("c", 2, False), ("lost", 3, False)}
+    assert {(r.node, r.depth, r.cut) for r in G.walk(edges, start, 2).collect()} == {("b", 1, False), ("c", 2, True)}
 
 
 def test_versions_and_backoff(spark):
