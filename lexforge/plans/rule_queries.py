@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.operators import applicability as A
+from lexforge.operators import drafting as R
 from lexforge.operators import flat_rules as K
 from lexforge.operators import geography as P
 from lexforge.operators import profiles as D
 from lexforge.operators import structure as S
+from lexforge.sources import acts as T
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -323,7 +325,62 @@ def contents_tables(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("c_custkey", F.array_join(chapters, ";").alias("contents"))
 
 
+def _scoped_acts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as acts with a paragraph of scope: an application with a bound, an exemption, discretion and a definition."""
+    n = F.col("p_size").cast("string")
+    text = F.concat(
+        F.lit("§ 1. Bekendtgørelsen gælder for passagerskibe i international fart med en bruttotonnage på "), n, F.lit(" eller derover.\nStk. 2. Den gælder ikke for fiskeskibe under 15,5 meter.\nStk. 3. Søfartsstyrelsen kan fravige kravene.\n"),
+        F.lit("§ 2. Ved et skib forstås ved denne lov alt.\n§ 3. Den omfatter anlæg.\n§ 4. Noget andet."),
+    )
+    return _t(spark, sf, "part").select("p_partkey", text.alias("text"))
+
+
+def rule_provisions(spark: SparkSession, sf: str) -> DataFrame:
+    found = R.provisions(_scoped_acts(spark, sf), "p_partkey", "text")
+    shown = F.transform("atoms", lambda a: F.concat_ws(" ", a["field"], a["operator"], F.coalesce(F.array_join(a["types"], "+"), a["number"].cast("string")), a["confidence"]))
+    return found.select("p_partkey", "ref", "citation_key", "kind", "text_hash", F.array_join(shown, "; ").alias("atoms"), F.coalesce("gap", F.lit("")).alias("gap"))
+
+
+PROVISIONS_SQL = """
+WITH p AS (SELECT p_partkey, p_size::VARCHAR AS n FROM part),
+u AS (SELECT p_partkey, unnest([
+  {'ref': '§ 1, stk. 1', 'k': 'p1s1', 'kind': 'inclusion', 't': '§ 1. Bekendtgørelsen gælder for passagerskibe i international fart med en bruttotonnage på ' || n || ' eller derover.', 'a': 'vessel.all_types intersects high_speed_passenger_craft+passenger_ship+ro_ro_passenger_ship high; operation.types intersects international_voyage high; dim.gross_tonnage gte ' || n || '.0 high', 'g': ''},
+  {'ref': '§ 1, stk. 2', 'k': 'p1s2', 'kind': 'exclusion', 't': 'Stk. 2. Den gælder ikke for fiskeskibe under 15,5 meter.', 'a': 'vessel.all_types intersects fishing_vessel high; dim.length_rule_m lt 15.5 high', 'g': ''},
+  {'ref': '§ 1, stk. 3', 'k': 'p1s3', 'kind': 'discretion', 't': 'Stk. 3. Søfartsstyrelsen kan fravige kravene.', 'a': '', 'g': 'discretion_to_model'},
+  {'ref': '§ 2, stk. 1', 'k': 'p2s1', 'kind': 'definition', 't': '§ 2. Ved et skib forstås ved denne lov alt.', 'a': '', 'g': ''},
+  {'ref': '§ 3, stk. 1', 'k': 'p3s1', 'kind': 'inclusion', 't': '§ 3. Den omfatter anlæg.', 'a': '', 'g': 'inclusion_unread'}]) AS u FROM p)
+SELECT p_partkey, u.ref AS ref, u.k AS citation_key, u.kind AS kind, sha256(u.t) AS text_hash, u.a AS atoms, u.g AS gap FROM u
+"""
+
+
+def rule_drafts(spark: SparkSession, sf: str) -> DataFrame:
+    return R.drafts(R.provisions(_scoped_acts(spark, sf), "p_partkey", "text"), "p_partkey")
+
+
+DRAFTED_SQL = "SELECT p_partkey, u.r AS rule_ref, u.i::BIGINT AS inclusions, u.e::BIGINT AS exclusions, u.g::BIGINT AS gaps, u.c AS coverage FROM (SELECT p_partkey, unnest([{'r': '§ 1', 'i': 3, 'e': 2, 'g': 1, 'c': 'partial'}, {'r': '§ 3', 'i': 0, 'e': 0, 'g': 1, 'c': 'unparsed'}]) AS u FROM part)"
+
+
+def xhtml_acts(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as XHTML acts with an article, a table and an annex; every seventh page is no act."""
+    k = F.col("s_suppkey")
+    page = F.concat(
+        F.lit('<html lang="eng"><body><div id="art_1"><p>Article 1</p><p>Supplier '), k.cast("string"), F.lit(" "), F.repeat(F.lit("is covered "), F.lit(20)),
+        F.lit('</p><table><tr><td>A</td><td>B</td></tr></table></div><div id="anx_I"><p>ANNEX I</p></div>'), F.when(k % 7 == 0, "<img/>").otherwise(""), F.lit("</body></html>"),
+    )
+    found = T.read_acts(_t(spark, sf, "supplier").select("s_suppkey", page.alias("page")), "page")
+    piece = lambda u: F.substr("content", u["start"] + 1, u["end"] - u["start"])
+    return found.select("s_suppkey", F.coalesce("problem", F.lit("")).alias("problem"), F.coalesce("language", F.lit("")).alias("language"), F.coalesce(F.array_join(F.transform("units", lambda u: F.concat_ws(":", u["kind"], u["heading"], F.length(piece(u)).cast("string"))), ";"), F.lit("")).alias("units"), F.coalesce(F.array_join(F.transform("cells", piece), "|"), F.lit("")).alias("cells"))
+
+
+XHTML_SQL = """
+SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'pictures' ELSE '' END AS problem, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'en' END AS language,
+  CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'article:Article 1:' || (length('Article 1' || chr(10) || 'Supplier ' || s_suppkey || ' ' || trim(repeat('is covered ', 20)) || chr(10) || 'A | B' || chr(10)))::VARCHAR || ';annex:ANNEX I:8' END AS units,
+  CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'A|B' END AS cells FROM supplier
+"""
+
+
 QUERIES = (
+    *(rule_provisions, rule_drafts, xhtml_acts),
     *(vessel_verdicts, vessel_report, rule_integrity, ruleset_fingerprint, rule_moves, draft_actions, derived_facts, six_gates, place_claims, area_counts),
     *(publication_states, unchanged_analyses, review_chain, act_units, act_chunks, paragraph_anchors, contents_tables),
 )
@@ -335,6 +392,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "rule_provisions": PROVISIONS_SQL,
+        "rule_drafts": DRAFTED_SQL,
+        "xhtml_acts": XHTML_SQL,
         "vessel_verdicts": f"WITH {VESSELS} SELECT * FROM verdicts",
         "vessel_report": REPORT_SQL,
         "rule_integrity": INTEGRITY_SQL,
