@@ -101,10 +101,10 @@ def term_pattern(term: str, kind: str = "word", pattern: str | None = None) -> s
     if kind == "regex":
         return "(?iU)" + (pattern or quote(folded))
     if kind == "prefix":
-        return rf"(?iU)\b{quote(folded)}\w*"
+        return rf"(?U)\b{quote(folded)}\w*"
     if kind == "substring":
-        return "(?iU)" + r"\s+".join(quote(p) for p in folded.split())
-    return rf"(?iU)\b{quote(folded)}\b"
+        return "(?U)" + r"\s+".join(quote(p) for p in folded.split())
+    return rf"(?U)\b{quote(folded)}\b"
 
 
 def quote(text: str) -> str:

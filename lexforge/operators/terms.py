@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -9,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.functions.text import fold, saturate, term_pattern
+from lexforge.functions.text import fold, fold_text, saturate, term_pattern
 
 
 @dataclass(frozen=True)
@@ -25,16 +26,17 @@ class Term:
         return term_pattern(self.term, self.match, self.pattern)
 
 
+# Weights, caps, saturation and thresholds of the relevance score.
 @dataclass(frozen=True)
 class Relevance:
     terms: Sequence[Term]
     negative: Sequence[Term] = ()
-    field_weights: Mapping[str, float] = field(default_factory=lambda: {"title": 3.0, "authority": 1.2, "metadata": 1.5, "content": 1.0})
+    field_weights: Mapping[str, float] = field(default_factory=lambda: {"title": 3.0, "authority": 2.5, "metadata": 1.5, "content": 1.0})
     max_occurrences: int = 3
-    bonus_per_concept: float = 5.0
-    max_bonus: float = 25.0
+    bonus_per_concept: float = 4.0
+    max_bonus: float = 20.0
     saturation: float = 45.0
-    decisive_weight: float = 10.0
+    decisive_weight: float = 8.0
     floor: int = 70
     relevant_at: int = 60
     possible_at: int = 30
@@ -44,9 +46,19 @@ def _sum(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0.0))
 
 
+def _occurrences(column: str, term: Term) -> Column:
+    """How often a term stands in a folded column. Single words and their beginnings are compared with the field's words, cut once; only phrases and patterns are searched for."""
+    words, folded = F.col(f"{column}_words"), fold_text(term.term)
+    if re.fullmatch(r"\w+", folded) and term.match == "word":
+        return F.size(F.filter(words, lambda w: w == folded))
+    if re.fullmatch(r"\w+", folded) and term.match == "prefix":
+        return F.size(F.filter(words, lambda w: w.startswith(folded)))
+    return F.regexp_count(F.col(column), F.lit(term.java))
+
+
 def _points(fields: Mapping[str, str], terms: Sequence[Term], weights: Mapping[str, float], most: int) -> dict[tuple[str, Term], Column]:
     """min(occurrences, most) * term weight * field weight, by field and term. fields: name to folded column."""
-    return {(f, t): F.least(F.regexp_count(F.col(c), F.lit(t.java)), F.lit(most)) * (t.weight * weights.get(f, 1.0)) for f, c in fields.items() for t in terms}
+    return {(f, t): F.least(_occurrences(c, t), F.lit(most)) * (t.weight * weights.get(f, 1.0)) for f, c in fields.items() for t in terms}
 
 
 def _once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
@@ -55,8 +67,10 @@ def _once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
 
 
 def _folded(df: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with the folded fields and their words, and the names of the folded columns by field."""
     names = {f: f"_fold_{f}" for f in fields}
-    return _once(df, {c: fold(F.col(f)) for f, c in names.items()}), names
+    out = _once(df, {c: fold(F.col(f)) for f, c in names.items()})
+    return _once(out, {f"{c}_words": F.regexp_extract_all(F.col(c), F.lit(r"(?U)\w+"), F.lit(0)) for c in names.values()}), names
 
 
 def _struct_of(points: Mapping[tuple[str, Term], Column]) -> Column:
@@ -87,7 +101,7 @@ def score_relevance(df: DataFrame, config: Relevance) -> DataFrame:
     out = out.withColumns({"raw": raw, "title_floor": lifted, "concepts": found, "matched_terms": matched})
     out = out.withColumn("score", F.when(F.col("title_floor"), config.floor).otherwise(score))
     label = F.when(F.col("score") >= config.relevant_at, "relevant").when(F.col("score") >= config.possible_at, "possible").otherwise("not_relevant")
-    return out.withColumn("classification", label).drop("_good", "_bad", *names.values())
+    return out.withColumn("classification", label).drop("_good", "_bad", *names.values(), *[f"{c}_words" for c in names.values()])
 
 
 @dataclass(frozen=True)
@@ -112,4 +126,4 @@ def categorize(df: DataFrame, categories: Sequence[Category], fallback: str, fie
     shown = F.transform(good, lambda r: F.struct(r["slug"].alias("slug"), F.bround(r["confidence"], 4).alias("confidence"), F.bround(r["raw"], 2).alias("raw"), r["matched"].alias("matched")))
     none = F.array(F.struct(F.lit(fallback).alias("slug"), F.lit(least).alias("confidence"), F.lit(0.0).alias("raw"), F.array().cast("array<string>").alias("matched")))
     out = _once(out.drop("categories"), {"categories": shown})
-    return out.withColumn("categories", F.when(F.size("categories") > 0, F.col("categories")).otherwise(none)).drop(*names.values(), *[f"_cat_{n}" for n in range(len(categories))])
+    return out.withColumn("categories", F.when(F.size("categories") > 0, F.col("categories")).otherwise(none)).drop(*names.values(), *[f"{c}_words" for c in names.values()], *[f"_cat_{n}" for n in range(len(categories))])

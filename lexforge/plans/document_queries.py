@@ -102,6 +102,25 @@ def reference_targets(spark: SparkSession, sf: str) -> DataFrame:
     return N.repealed(_t(spark, sf, "orders").select("o_orderkey", act.alias("text")), "o_orderkey", "text")
 
 
+# The limiter's state is the list of accepted times; each event of a user follows the one before.
+LIMITER_SQL = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (
+  SELECT user_id, event_id, n, [t] AS kept, true AS allowed FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, CASE WHEN len(k) < 3 THEN list_append(k, t) ELSE k END, len(k) < 3
+  FROM (SELECT e.user_id, e.event_id, e.n, e.t, list_filter(w.kept, lambda x: x > e.t - 21600000000) AS k FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT user_id, event_id, allowed FROM w
+"""
+
+FACTORS_SQL = """
+WITH p AS (SELECT p_partkey, p_partkey % 3 AS i, p_size % 3 AS c, p_size > 40 AS repeal, p_size < 5 AS old, contains(lower(p_type), 'steel') OR regexp_matches(lower(p_type), '(^|[^0-9a-z_])tin') AS shared FROM part),
+r AS (SELECT p_partkey, list_filter([
+  CASE WHEN c = 0 AND i < 2 THEN {'n': 'core_boost', 'f': CASE i WHEN 0 THEN 1.35 ELSE 1.15 END} END, CASE WHEN c = 1 AND i = 2 AND shared THEN {'n': 'matching_boost', 'f': 1.5} END,
+  CASE WHEN c = 1 AND i = 2 AND NOT shared THEN {'n': 'unmatched_penalty', 'f': 0.8} END, CASE WHEN c = 1 AND i < 2 THEN {'n': 'special_penalty', 'f': CASE i WHEN 0 THEN 0.7 ELSE 0.88 END} END,
+  CASE WHEN c = 2 THEN {'n': 'support_penalty', 'f': CASE i WHEN 0 THEN 0.75 WHEN 1 THEN 0.8 ELSE 0.9 END} END, CASE WHEN repeal THEN {'n': 'repeal_penalty', 'f': 0.5} END, CASE WHEN old THEN {'n': 'historic_penalty', 'f': 0.65} END], lambda x: x IS NOT NULL) AS l FROM p)
+SELECT p_partkey, array_to_string(list_transform(l, lambda x: x.n), ',') AS rules, round_even(coalesce(list_product(list_transform(l, lambda x: x.f::DOUBLE)), 1.0)::DOUBLE, 6) AS factor FROM r
+"""
+
 QUERIES = (places, reference_targets, structure_units, structure_chunks, law_classes, rank_factors, revisions, json_pick, limiter, hourly_counts)
 
 
@@ -113,6 +132,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "reference_targets": "SELECT o_orderkey, 'BEK ' || o_custkey || '/1999' AS target FROM orders UNION SELECT o_orderkey, 'LOV ' || o_orderkey || '/2001' FROM orders",
         "structure_units": UNITS_SQL,
+        "limiter": LIMITER_SQL,
+        "rank_factors": FACTORS_SQL,
         "law_classes": LAW_SQL,
         "revisions": "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 5.0 WHEN s_suppkey % 3 = 0 THEN 3.0 ELSE s_acctbal END::DOUBLE AS s_acctbal, CASE WHEN s_suppkey % 5 = 0 THEN 2 WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS revision FROM supplier",
         "json_pick": "SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events",

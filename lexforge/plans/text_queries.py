@@ -93,7 +93,7 @@ WITH d AS (SELECT doc_id, {_FOLDED.format("text")} AS c, {_FOLDED.format("string
 w AS (SELECT *, regexp_extract_all(c, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS cw, regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS tw FROM d),
 p AS (SELECT doc_id, ({_RAW})::DOUBLE AS good, (4.0 * ({_hits("cw", "x = 'que'")} + 3 * {_hits("tw", "x = 'que'")}))::DOUBLE AS bad, {_hits("tw", "x = 'und'")} > 0 AS title_hit, {_hits("tw", "x = 'que'")} > 0 AS title_bad,
       list_filter([{", ".join(f"CASE WHEN {_FOUND[c]} THEN '{c}' END" for c in sorted(_FOUND))}], lambda x: x IS NOT NULL) AS concepts FROM w),
-r AS (SELECT *, greatest(0.0::DOUBLE, good + least(greatest(len(concepts) - 1, 0) * 5.0, 25.0) - bad) AS raw FROM p),
+r AS (SELECT *, greatest(0.0::DOUBLE, good + least(greatest(len(concepts) - 1, 0) * 4.0, 20.0) - bad) AS raw FROM p),
 s AS (SELECT *, CASE WHEN raw > 0 THEN round_even(100.0::DOUBLE * (raw / (raw + 45.0)), 0)::INT ELSE 0 END AS s FROM r),
 f AS (SELECT *, title_hit AND NOT title_bad AND s < 70 AS title_floor FROM s)
 SELECT doc_id, raw, CASE WHEN title_floor THEN 70 ELSE s END AS score, CASE WHEN title_floor OR s >= 60 THEN 'relevant' WHEN s >= 30 THEN 'possible' ELSE 'not_relevant' END AS classification, title_floor, array_to_string(concepts, ',') AS concepts FROM f
