@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexforge.operators import applicability as A
 from lexforge.operators import evaluation as E
 from lexforge.operators import history as H
+from lexforge.operators import hybrid as Y
 from lexforge.operators import relations as G
 from lexforge.operators import search as S
 
@@ -78,6 +79,42 @@ SELECT doc_id, row_number() OVER (ORDER BY base * m DESC, doc_id)::INT AS rank,
 """
 
 
+PINNING = Y.Config(groups={"none": ["zzzz"]}, broad_words=["the"], key="doc_id", body="text")
+
+
+def _acts_of(docs: DataFrame) -> DataFrame:
+    """Documents as acts: numbers repeat, every fourth is historic, every tenth repeals."""
+    k, lang = F.col("doc_id"), F.col("lang")
+    return docs.withColumns(
+        {
+            "document_number": (k % 50).cast("string"), "document_type": F.lit("BEK"), "published_date": F.date_add(F.lit("2000-01-01").cast("date"), (k % 900).cast("int")),
+            "status": F.when(k % 4 == 0, "Historisk").otherwise("Gældende"), "source_id": F.lit(None).cast("string"), "law_class": F.when(lang == "de", "special").when(lang == "fr", "support").otherwise("core"),
+            "niches": F.array().cast("array<string>"), "repeal": k % 10 == 0, "authority": F.when(lang == "en", 0.9).otherwise(0.6), "scope": F.lit(0.55), "relevance": F.lit(40.0),
+        }
+    )
+
+
+def search_with_references(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole search: the acts with number 7 first, then both legs for the other words under the rules of a broad query (first 30: a page)."""
+    chunks = _t(spark, sf, "embeddings").select((F.col("vec_id") - F.col("vec_id") % 5).alias("doc_id"), F.col("vec_id").alias("chunk"), "embedding")
+    answer = Y.hybrid(_acts_of(_titled(spark, sf)), chunks, "nr. 7 the and", _query_vector(spark, sf), PINNING)
+    rows = answer.rows.select("doc_id", "rank", "exact", F.bround("final", 6).alias("final"), F.array_join("rules", ",").alias("rules"), F.lit(answer.intent).alias("intent"))
+    return S.page(rows, [F.asc("rank")], 1, 30)
+
+
+REFERENCED_SQL = f"""
+WITH {LEXICAL}, {SEMANTIC}, b AS (SELECT coalesce(lex.doc_id, sem.doc_id) AS doc_id, lexical_position AS lp, semantic_position AS sp FROM lex FULL OUTER JOIN sem ON lex.doc_id = sem.doc_id),
+x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id % 4 = 0, doc_id % 900 DESC, doc_id DESC) AS p FROM documents WHERE doc_id % 50 = 7 QUALIFY p <= 10),
+c AS (SELECT coalesce(b.doc_id, x.doc_id) AS doc_id, lp, sp, p FROM b FULL OUTER JOIN x ON b.doc_id = x.doc_id),
+s AS (SELECT doc_id, p, 0.40 * CASE WHEN lp >= 1 THEN 12 / (12 + lp - 1.0::DOUBLE) ELSE 0.0 END + 0.25 * CASE WHEN sp >= 1 THEN 12 / (12 + sp - 1.0::DOUBLE) ELSE 0.0 END
+    + 0.15 * CASE WHEN lang = 'en' THEN 0.9 ELSE 0.6 END + 0.10 * 0.55 + 0.05 * CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 0.4 END + 0.05 * CASE WHEN doc_id % 4 = 0 THEN 0.25 ELSE 1.0 END AS base,
+  greatest(0.2::DOUBLE, CASE lang WHEN 'de' THEN 0.7 WHEN 'fr' THEN 0.75 ELSE 1.35 END * CASE WHEN doc_id % 10 = 0 THEN 0.5 ELSE 1.0 END * CASE WHEN doc_id % 4 = 0 THEN 0.65 ELSE 1.0 END) AS m,
+  concat_ws(',', CASE lang WHEN 'de' THEN 'special_penalty' WHEN 'fr' THEN 'support_penalty' ELSE 'core_boost' END, CASE WHEN doc_id % 10 = 0 THEN 'repeal_penalty' END, CASE WHEN doc_id % 4 = 0 THEN 'historic_penalty' END) AS rules
+  FROM c JOIN documents USING (doc_id))
+SELECT doc_id, row_number() OVER (ORDER BY p NULLS LAST, base * m DESC, doc_id)::INT AS rank, p IS NOT NULL AS exact, round_even((base * m)::DOUBLE, 6) AS final, rules, 'broad' AS intent FROM s QUALIFY rank <= 30
+"""
+
+
 def facet_filtering(spark: SparkSession, sf: str) -> DataFrame:
     return S.facet_filter(_t(spark, sf, "orders"), {"o_orderstatus": ["F", "P"], "o_orderpriority": []}, {"o_custkey": None}, {"o_totalprice": (1000, 200000)}).select("o_orderkey", "o_orderstatus")
 
@@ -223,7 +260,7 @@ SELECT query_id, n_relevant, hits, round_even(hits::DOUBLE / n_relevant, 6) AS r
        round_even(dcg / list_sum(list_transform(generate_series(1, least(n_relevant, 10)), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM p
 """
 
-QUERIES = (search_lexical, search_semantic, search_hybrid, facet_filtering, facets, browse_sorts, corpus_totals, applicability, applicability_report, change_detection, latest_event, previous_state, query_log, queue_claimable, status_counts, overrides, relation_resolution, relation_walk, span_cover, retrieval_metrics)
+QUERIES = (search_lexical, search_semantic, search_hybrid, search_with_references, facet_filtering, facets, browse_sorts, corpus_totals, applicability, applicability_report, change_detection, latest_event, previous_state, query_log, queue_claimable, status_counts, overrides, relation_resolution, relation_walk, span_cover, retrieval_metrics)
 
 
 def queries() -> dict:
@@ -235,6 +272,7 @@ def oracle_sql() -> dict[str, str]:
         "search_lexical": f"WITH {LEXICAL} SELECT * FROM lex",
         "search_semantic": f"WITH {SEMANTIC} SELECT doc_id, round_even(similarity, 5) AS similarity, best_chunk, semantic_position FROM sem",
         "search_hybrid": HYBRID_SQL,
+        "search_with_references": REFERENCED_SQL,
         "facet_filtering": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice BETWEEN 1000 AND 200000",
         "facets": "SELECT source AS value, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source",
         "browse_sorts": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 25 OFFSET 50",
