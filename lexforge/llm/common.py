@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lexforge-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local_dir()
     return found.rstrip("/")
 
 
+@cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lexforge-")
+
+
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Lowers the bytes of an Arrow batch to `most`, so that long texts don't fill executors and their Python workers."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -124,9 +128,12 @@ def words(text: Column) -> Column:
 def keyed(docs: DataFrame, key: str, space: Workspace, name: str = "keyed") -> DataFrame:
     """docs with a long column `key` that is unique by row.
 
-    Where doc_id is unique and never null it is the key itself. Otherwise (repeated rows, null ids) the rows are
-    written once with a number each, since numbers given on the fly may change when a lost task is run again.
+    Where doc_id is a whole number, unique and never null it is the key itself. Otherwise (repeated rows, null ids, ids
+    of another type, no such column) the rows are written once with a number each, since numbers given on the fly may
+    change when a lost task is run again.
     """
+    if dict(docs.dtypes).get("doc_id") not in ("bigint", "int", "smallint", "tinyint"):
+        return space.write(docs.withColumn(key, F.monotonically_increasing_id()), name)
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if not ids.where((F.col("n") > 1) | F.col("doc_id").isNull()).take(1):
         return docs.withColumn(key, F.col("doc_id").cast("long"))

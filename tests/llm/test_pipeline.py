@@ -1,10 +1,11 @@
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 import sentencepiece
 
-from tests.llm.fixtures import SF
+from tests.llm.fixtures import SF, no_docs, odd_docs, odd_texts
 from tests.llm.test_simhash import brute_near
 from tests.llm.test_substring import brute as brute_substrings
 
@@ -36,3 +37,31 @@ def test_stages_against_brute_force(spark, tmp_path):
     want = Counter((r.doc_id, hashlib.sha256(np.array(library.encode(r.text, add_bos=True, add_eos=True), "<u4").tobytes()).hexdigest()) for r in rows[4])
     assert Counter((r.doc_id, r.ids_sha256) for r in rows[5]) == want
     assert cp.run(spark, SF).count() == len(rows[5])
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows and ids, further columns with any names, and no rows at all: each stage keeps its columns."""
+    odd, none = odd_docs(spark), no_docs(spark)
+    kept = {}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        kept[name] = out.count()
+        assert stage(spark, none, SF).count() == 0, name
+    letters = sum(bool(re.search(r"[^\W\d_]", r[1] or "")) for r in odd_texts())
+    assert kept["language ID"] <= letters
+    assert kept["SimHash near-dedup"] == len(set(brute_near([r[1] for r in odd_texts()])))
+    assert kept["substring dedup"] == len(odd_texts()) <= kept["mixing sources to target weights"]
+    assert cp.STAGES[-1][1](spark, odd, SF).count() == len(odd_texts()) and cp.STAGES[-1][1](spark, none, SF).count() == 0
+
+
+def test_work_tables_go_with_their_stage(spark):
+    """After a run only what its result reads is left, and nothing after release_all."""
+    from lexforge.llm.common import Workspace, exists, release_all
+
+    release_all()
+    cp.run(spark, SF).count()
+    assert len(Workspace.opened) == 1 and exists(spark, Workspace.opened[0].root)
+    root = Workspace.opened[0].root
+    release_all()
+    assert not Workspace.opened and not exists(spark, root)
