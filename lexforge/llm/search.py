@@ -126,7 +126,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ve
     """(query_id, rank, vec_id, score) of each query row against all other rows."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), integers(F.col(embedding), scale).alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # As many shards as candidates fill blocks, so that few candidates don't have the queries copied everywhere.
+    shards = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // BLOCK_ROWS)))
     block = "dim int, ids binary, times binary, m binary"
     # Blocks are built where the rows are read; a shard is a set of candidate blocks.
     cands = rows.select("id", "v", F.lit(1).cast("long").alias("times")).mapInArrow(_pack(BLOCK_ROWS), block).select("dim", "ids", "m").withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)))
