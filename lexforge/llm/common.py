@@ -86,10 +86,12 @@ class Workspace:
 def released() -> Iterator[None]:
     """Deletes, at its end, the work tables of operators called inside: for results that are written inside."""
     mark = len(Workspace.opened)
-    yield
-    while len(Workspace.opened) > mark:
-        space = Workspace.opened.pop()
-        delete(space.spark, space.root)
+    try:
+        yield
+    finally:
+        while len(Workspace.opened) > mark:
+            space = Workspace.opened.pop()
+            delete(space.spark, space.root)
 
 
 def release_all() -> None:
