@@ -7,6 +7,7 @@ bounded configuration; their review, hashes and integrity are Columns over a tab
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
 from collections.abc import Mapping, Sequence
@@ -70,7 +71,7 @@ def problem(condition: Mapping, kind: str = "inclusion") -> str | None:
         return f"{name!r} is compared with texts"
     if type_ == "date":
         try:
-            __import__("datetime").date.fromisoformat(str(values[0]))
+            datetime.date.fromisoformat(str(values[0]))
         except ValueError:
             return f"{name!r} is compared with dates"
     if type_ == "enum" and not {v.strip().lower() for v in values} <= set(ENUMS[name]):
