@@ -23,8 +23,9 @@ copies. Where links are checked by the texts (`verify`), nodes are different tex
 only a first pass: a refuted link in it may stand for a true one. So components with a refuted link are walked once more,
 and every link between two parts of them that the confirmed links leave apart is checked; within a part no link can
 change anything. Of these a pair can reach the similarity only if it could with all shingles that its texts share with
-any text of those components, which is known from counts; so heavily edited copies, which have many shingles of their
-own, aren't compared with each copy of a large group. Components come from the forests by repeated hooking to the smallest label, in Spark, with a written
+any text of those components, which is known from counts. The others are compared where they meet, in the task that has their
+regions, which then hold the sets of shingles too; once a link joins two parts, the task skips their other pairs. So only
+confirmed links leave it, never all pairs of a large group of edited copies. Components come from the forests by repeated hooking to the smallest label, in Spark, with a written
 table each round.
 
 Defined cases: null, empty or blank text: fingerprint zero, linked like any other; fewer words than a shingle: the
@@ -51,6 +52,8 @@ from lexforge.llm.common import Workspace, free_name, keyed
 
 REGION_ROWS = 4096
 FAN = 32
+#: Bytes of shingle sets at which a region with such sets ends.
+REGION_BYTES = 4 << 20
 #: Pairs of nodes that are looked at together.
 CHUNK = 1 << 7
 #: Probabilities, for texts of just the wanted similarity, that they meet in an order and that they are within the distance.
@@ -274,24 +277,30 @@ def _permuted(orders: list[list[int]], prefix: int, words: int):
     return run
 
 
-def _pack(words: int, region: int):
-    """Rows sorted by (o, bucket, rank) into regions: (o, bucket, region, fps, rest, every, some)."""
-    names = ["o", "bucket", "region", "fps", "rest", "every", "some"]
+def _pack(words: int, region: int, with_sets: bool):
+    """Rows sorted by (o, bucket, rank) into regions: (o, bucket, region, fps, rest, every, some), and their sets of shingles."""
+    names = ["o", "bucket", "region", "fps", "rest", "every", "some"] + ["sets"] * with_sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         held: list[np.ndarray] = []  # rows of one bucket, as longs (fps, node, root, size, shared)
-        size, now = 0, None
+        sets: list[pa.Array] = []
+        size, weight, now = 0, 0, None
 
         def give() -> pa.RecordBatch:
-            nonlocal number, size
+            nonlocal number, size, weight
             rows = np.concatenate(held)
             held.clear()
-            size = 0
+            size = weight = 0
             number += 1
+            more = []
+            if with_sets:
+                every = pa.concat_arrays(sets)
+                more = [pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every)]
+                sets.clear()
             fps = np.ascontiguousarray(rows[:, :words])
             parts = [pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (fps, rows[:, words:].T)]
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]]), pa.array([number - 1]), *parts, *(pa.array([f.reduce(fps, axis=0)], pa.list_(pa.int64())) for f in (np.bitwise_and, np.bitwise_or))], names)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]]), pa.array([number - 1]), *parts, *(pa.array([f.reduce(fps, axis=0)], pa.list_(pa.int64())) for f in (np.bitwise_and, np.bitwise_or)), *more], names)
 
         for b in batches:
             o, bucket = b.column("o").to_numpy(), b.column("bucket").to_numpy()
@@ -305,10 +314,15 @@ def _pack(words: int, region: int):
                 now = (o[start], bucket[start])
                 while start < end:
                     take = min(end - start, region - size)
+                    if with_sets:  # row by row, as far as the bytes allow
+                        take = int(np.searchsorted(np.cumsum(8 * rows[start : start + take, words + 2]) + weight, REGION_BYTES)) + 1
+                        take = min(take, end - start, region - size)
+                        sets.append(b.column("shingles").slice(start, take))
+                        weight += int(8 * rows[start : start + take, words + 2].sum())
                     held.append(rows[start : start + take])
                     size += take
                     start += take
-                    if size == region:
+                    if size == region or weight >= REGION_BYTES:
                         yield give()
         if size:
             yield give()
@@ -324,28 +338,43 @@ def _compare(distance: int, words: int, rooted: bool, closest_first: bool, least
         for s in range(0, len(us), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[s : s + (1 << 16)]) for x in (low, high)], ["u", "v"])
 
+    def joining(a: np.ndarray, b: np.ndarray, rest: list[np.ndarray], sets: list, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of links that the shingles confirm and that join two parts when they come."""
+        (nodes_a, roots_a, size_a, shared_a), (nodes_b, roots_b, size_b, shared_b) = rest
+        of = [lambda i, c=c: np.frombuffer(c[i].as_buffer(), "<u8") for c in sets]
+        up: dict[int, int] = {}
+
+        def part(root: int) -> int:
+            while (next_ := up.get(root, root)) != root:
+                root = next_
+            return root
+
+        us, vs = [], []
+        for i, j in links(a, b, distance, same):
+            common = np.minimum(shared_a[i], shared_b[j])
+            may = (roots_a[i] != roots_b[j]) & (common >= least * np.maximum(1, size_a[i] + size_b[j] - common))
+            for x, y in zip(i[may].tolist(), j[may].tolist(), strict=True):
+                p, q = part(int(roots_a[x])), part(int(roots_b[y]))
+                if p != q and _similar(of[0](x), of[1](y), least):
+                    up[max(p, q)] = min(p, q)
+                    us.append(nodes_a[x])
+                    vs.append(nodes_b[y])
+        return np.array(us, np.int64), np.array(vs, np.int64)
+
+    columns = ["fps", "rest"] + ["sets"] * rooted
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cells in zip(*(batch.column(f"{n}_{s}") for s in "ab" for n in ("fps", "rest")), strict=True):
-                same = not cells[2].is_valid
-                a, rest_a, b, rest_b = (np.frombuffer(x.as_buffer(), "<i8") for x in (cells[:2] * 2 if same else cells))
-                a, b = (x.view(np.uint64).reshape(-1, words) for x in (a, b))
-                (nodes_a, roots_a, size_a, shared_a), (nodes_b, roots_b, size_b, shared_b) = (x.reshape(4, -1) for x in (rest_a, rest_b))
+            for cells in zip(*(batch.column(f"{n}_{s}") for s in "ab" for n in columns), strict=True):
+                of_a, of_b = cells[: len(columns)], cells[len(columns) :]
+                same = not of_b[0].is_valid
+                of_b = of_a if same else of_b
+                a, b = (np.frombuffer(c[0].as_buffer(), np.uint64).reshape(-1, words) for c in (of_a, of_b))
+                rest = [np.frombuffer(c[1].as_buffer(), "<i8").reshape(4, -1) for c in (of_a, of_b)]
                 if rooted:
-                    us, vs, size = [], [], 0
-                    for i, j in links(a, b, distance, same):
-                        common = np.minimum(shared_a[i], shared_b[j])
-                        apart = (roots_a[i] != roots_b[j]) & (common >= least * np.maximum(1, size_a[i] + size_b[j] - common))
-                        us.append(nodes_a[i[apart]])
-                        vs.append(nodes_b[j[apart]])
-                        size += len(us[-1])
-                        if size >= 1 << 16:
-                            yield from spread(np.concatenate(us), np.concatenate(vs))
-                            us, vs, size = [], [], 0
-                    if size:
-                        yield from spread(np.concatenate(us), np.concatenate(vs))
+                    yield from spread(*joining(a, b, rest, [c[2].values for c in (of_a, of_b)], same))
                     continue
-                nodes = nodes_a if same else np.concatenate([nodes_a, nodes_b])
+                nodes = rest[0][0] if same else np.concatenate([rest[0][0], rest[1][0]])
                 shift = 0 if same else len(a)
                 rounds = sorted({distance // 2, distance}) if closest_first else [distance]
                 u, v = forest(len(nodes), ((i, j + shift) for d in rounds for i, j in links(a, b, d, same)))
@@ -354,27 +383,35 @@ def _compare(distance: int, words: int, rooted: bool, closest_first: bool, least
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets of shingles, sorted, share the part `least`; two empty ones do."""
+    if not len(x) or not len(y):
+        return len(x) == len(y)
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return common >= least * max(1, len(x) + len(y) - common)
+
+
 def linked(nodes: DataFrame, space: Workspace, words: int = 1, distance: int = 4, similarity: float | None = None, closest_first: bool = False, region: int = REGION_ROWS, least: float = 0.0) -> DataFrame:
     """(u, v) between nodes, u < v: spanning forests of all links at up to `distance`. nodes: (node long, f0, ...), a written table.
 
-    Where nodes have root, size and shared also (shingles, and those of them that any other node has), they are all links
-    between different roots that may reach `least` instead. closest_first: the forests prefer close links, which a
-    check is less likely to refute.
+    Where nodes have root, size, shared and shingles also (the set of shingles, its size, and how many of them any other
+    node has), they are links with the similarity `least` between different roots instead, as many as join what can be
+    joined. closest_first: the forests prefer close links, which a check is less likely to refute.
     """
     rooted, count = "root" in nodes.columns, nodes.count()
     prefix, orders = orders_of(count, 64 * words, distance, similarity, region)
     fps = [f"f{w}" for w in range(words)]
     more = ["root", "size", "shared"]
-    given = nodes.select("node", *[F.col(c) if rooted else F.lit(0).cast("long").alias(c) for c in more], *fps)
+    given = nodes.select("node", *[F.col(c) if rooted else F.lit(0).cast("long").alias(c) for c in more], *fps, *["shingles"] * rooted)
     longs = ", ".join(f"{n} long" for n in ("bucket", "rank", "node", *more, *fps))
-    ranked = given.mapInArrow(_permuted(orders, prefix, words), f"o int, {longs}")
+    ranked = given.mapInArrow(_permuted(orders, prefix, words), f"o int, {longs}" + ", shingles binary" * rooted)
     parts = max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * len(orders) // (64 * region)))
     by = ["o", "bucket", "rank", "node"]
-    packed = ranked.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(_pack(words, region), "o int, bucket long, region long, fps binary, rest binary, every array<long>, some array<long>")
+    packed = ranked.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(_pack(words, region, rooted), "o int, bucket long, region long, fps binary, rest binary, every array<long>, some array<long>" + ", sets array<binary>" * rooted)
     packed = space.write(packed, "regions")
-    cells = ["fps", "rest"]
+    cells = {"fps": "binary", "rest": "binary"} | ({"sets": "array<binary>"} if rooted else {})
     side = lambda s: packed.select(F.col("region").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cells])
-    alone = packed.select(*[F.col(c).alias(f"{c}_a") for c in cells], *[F.lit(None).cast("binary").alias(f"{c}_b") for c in cells])
+    alone = packed.select(*[F.col(c).alias(f"{c}_a") for c in cells], *[F.lit(None).cast(t).alias(f"{c}_b") for c, t in cells.items()])
     # Pairs of regions of one bucket go by their summaries: rows without fingerprints.
     tops = lambda s: packed.select("o", "bucket", F.col("region").alias(s), F.col("every").alias(f"e_{s}"), F.col("some").alias(f"s_{s}"))
     apart = sum((F.bit_count(_fixed_apart(w)) for w in range(words)), F.lit(0))
@@ -435,17 +472,12 @@ def _shingle_sets(shingle: int):
     return run
 
 
-def _shingles(shingle: int):
-    """A row for every different shingle of a text; a text without any has one all the same, with size 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for node, t in zip(b.column("node").to_pylist(), b.column("t"), strict=True):
-                h = np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64)
-                n = max(1, len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node, np.int64)), pa.array(np.full(n, len(h), np.int64)), pa.array(h if len(h) else np.zeros(1, np.int64))], ["node", "size", "h"])
-
-    return run
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, shingles) into (node, size, h), a row for every shingle."""
+    for b in batches:
+        for node, x in zip(b.column("node").to_pylist(), b.column("shingles"), strict=True):
+            h = np.frombuffer(x.as_buffer(), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(np.full(len(h), len(h), np.int64)), pa.array(h)], ["node", "size", "h"])
 
 
 def _alike(least: float):
@@ -454,8 +486,7 @@ def _alike(least: float):
             keep = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= least * max(1, len(x) + len(y) - common) or not len(x) and not len(y))
+                keep.append(_similar(x, y, least))
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -483,14 +514,16 @@ def _verified(edges: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     among = every.join(doubtful, "root", "left_semi").select("node")
     again = Workspace(space.spark, "again")
     among = again.write(among, "among")
-    have = again.write(texts.join(among.hint("merge"), "node", "left_semi").mapInArrow(_shingles(shingle), "node long, size long, h long"), "shingles")
+    sets = again.write(texts.join(among.hint("merge"), "node", "left_semi").mapInArrow(_shingle_sets(shingle), "node long, shingles binary"), "sets")
+    have = sets.mapInArrow(_shingles, "node long, size long, h long")
     alone = have.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    sizes = have.groupBy("node").agg(F.max("size").alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    rooted = nodes.join(sizes, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    size = (F.octet_length("shingles") / 8).cast("long")
+    sizes = sets.join(alone.hint("merge"), "node", "left").select("node", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("shared"), "shingles")
+    rooted = nodes.join(sizes.hint("merge"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = again.write(rooted, "rooted")
-    again.drop("shingles", "among")
-    more = _checked(again.write(linked(rooted, again, least=least, **index), "links"), texts, shingle, least, again)
-    again.drop("regions", "links", "sets", "rooted")
+    again.drop("sets", "among")
+    more = again.write(linked(rooted, again, least=least, **index), "links")
+    again.drop("regions", "pairs", "rooted")
     return roots if more.isEmpty() else components(checked.union(more), again)
 
 
