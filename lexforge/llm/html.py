@@ -8,14 +8,15 @@ per tag is computed:
     density = C / T * log_B(C / L * T / K),  B = ln(C / (C - L) * L + L_body / C_body * C + e)
 
 with C characters, T tags, L characters in links and K links (C, T, L, K at least 1 where they divide). A node's sum is the
-sum of the densities of its children without a name as below. Of the nodes that hold blocks, the one with the largest sum is the core; the least
-density on the path from the core to the body (or to the article or main element with most of the text) is the threshold. The core stays whole. On the way up from it a sibling is
-taken too if its density reaches the threshold; so is a heading before a part that is taken, and a short part between two.
+sum of the densities of its children, but those with a name as below. Of the nodes that hold blocks, the one with the
+largest sum is the core; the least density on the path from the core to the body (or to the article or main element with
+most of the text) is the threshold. The core stays whole. On the way up from it a sibling is taken too if its density
+reaches the threshold; so is a heading before a part that is taken, and a short part between two.
 
 Names (words of class and id) are a second sign only, since a name alone is no proof: a part that is named an advert, a
 notice, reader comments and the like can't be the core and is not taken on the way up; inside the core it goes if it
-holds blocks of its own or is less dense than the core's parts are in the mean. A named part that holds the
-page's article or main element, or, on a page without any, blocks with more than half of its text, doesn't count as named.
+holds blocks of its own or is less dense than the core's parts are in the mean. A named part that holds the page's
+article or main element, or, on a page without any, blocks with more than half of its text, doesn't count as named.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line.
 

@@ -23,10 +23,10 @@ copies. Where links are checked by the texts (`verify`), nodes are different tex
 only a first pass: a refuted link in it may stand for a true one. So components with a refuted link are walked once more,
 and every link between two parts of them that the confirmed links leave apart is checked; within a part no link can
 change anything. Of these a pair can reach the similarity only if it could with all shingles that its texts share with
-any text of those components, which is known from counts. The others are compared where they meet, in the task that has their
-regions, which then hold the sets of shingles too; once a link joins two parts, the task skips their other pairs. So only
-confirmed links leave it, never all pairs of a large group of edited copies. Components come from the forests by repeated hooking to the smallest label, in Spark, with a written
-table each round.
+any text of those components, which is known from counts. The others are compared where they meet, in the task that has
+their regions, which then hold the sets of shingles too; once a link joins two parts, the task skips their other pairs. So
+only confirmed links leave it, never all pairs of a large group of edited copies. Components come from the forests by
+repeated hooking to the smallest label, in Spark, with a written table each round.
 
 Defined cases: null, empty or blank text: fingerprint zero, linked like any other; fewer words than a shingle: the
 whole sequence is one; texts are read whole; repeated rows share a fingerprint and a component; a null doc_id is left
