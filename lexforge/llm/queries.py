@@ -1,4 +1,4 @@
-"""The thin queries op1_ to op10_ and their SQL; the operators keep their own general interfaces."""
+"""The thin queries op1_ to op13_ and their SQL; the operators keep their own general interfaces."""
 
 from __future__ import annotations
 
@@ -144,9 +144,80 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model, keep_text=False)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexforge.llm.minhash import classes
+
+    found = classes(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexforge.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"), longest=5, least=100, top=2000)
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM w, unnest([1, 2, 3, 4, 5]) AS s(size) WHERE len(w) >= size),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(c.w[i:i + m - 1], ' ') AS phrase, a FROM c, unnest([2, 3, 4]) AS s(m), unnest([1, 2, 3, 4]) AS t(i) WHERE m < size AND i + m - 1 <= size
+), kept AS (SELECT c.* FROM c ANTI JOIN inside i ON c.lang = i.lang AND c.phrase = i.phrase AND i.a >= c.a),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, n.n, ((1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM kept c, unnest([1, 2, 3, 4]) AS s(k), f l, f r, n
+  WHERE k < c.size AND l.lang = c.lang AND r.lang = c.lang AND n.lang = c.lang
+    AND l.phrase = array_to_string(c.w[1:k], ' ') AND r.phrase = array_to_string(c.w[k + 1:c.size], ' ') AND l.size = k AND r.size = c.size - k
+), best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS b FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE b = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexforge.llm.codes import compress, with_group_error
+
+    coded, books = compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    return with_group_error(coded).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _op13_sql() -> str:
+    """Plain Lloyd: every round's assignment and entries as relations of their own."""
+    steps = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        "x AS MATERIALIZED (SELECT vec_id, p, w[p * len(w) // 4 + 1:(p + 1) * len(w) // 4] AS w FROM v, range(4) AS t(p))",
+        "b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, w FROM x QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 256)",
+    ]
+    for i in range(5):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, p, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT x.vec_id, x.p, b.e, list_sum(list_transform(list_zip(x.w, b.w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN b{i} b ON b.p = x.p) GROUP BY vec_id, p
+)""")
+        if i < 4:
+            steps.append(f"""m{i} AS (
+  SELECT p, e, j, sum(c) AS s, count(*) AS n FROM (SELECT a.p, a.e, unnest(x.w) AS c, generate_subscripts(x.w, 1) AS j FROM a{i} a JOIN x ON x.vec_id = a.vec_id AND x.p = a.p) GROUP BY p, e, j
+)""")
+            steps.append(f"""b{i + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.w, b.w) AS w FROM b{i} b LEFT JOIN (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j)::BIGINT[] AS w FROM m{i} GROUP BY p, e) m ON m.p = b.p AND m.e = b.e
+)""")
+    steps.append("h AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4)")
+    steps.append("r AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY vec_id)")
+    return "WITH " + ",\n".join(steps) + "\nSELECT v.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM r JOIN v ON v.vec_id = r.vec_id, h"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op8_exact_top_k": OP8_SQL, "op9_quality_rules": _op9_sql()}
+    return {"op1_chat_formatting": OP1_SQL, "op8_exact_top_k": OP8_SQL, "op9_quality_rules": _op9_sql(), "op12_phrases": OP12_SQL, "op13_vector_codes": _op13_sql()}
