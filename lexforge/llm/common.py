@@ -121,6 +121,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
+
+
 def words(text: Column) -> Column:
     """The words of a text between ASCII white space, unchanged; null or blank: no words."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))

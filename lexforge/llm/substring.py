@@ -2,21 +2,28 @@
 
 A passage is a window of `window` consecutive words of one document; a window is repeated if its word sequence starts
 anywhere else too. Every window is represented by the smallest hash among the `gram`-word sequences inside it (its
-anchor), so equal windows have equal anchors and about one place in ten has to be kept. `FingerprintIndex` holds, in
-immutable tables sorted by hash, the counts of anchors and of windows seen so far. A batch of documents goes through it so:
-
-1. The batch's anchors are spooled as read: (fp, key, at). Their counts form a run: a table sorted by fingerprint in hash
-   buckets. It is merge-joined with the run of all earlier batches, without a shuffle of either. An anchor of the batch
-   that was found twice or more, in history or in the batch, is a candidate.
-2. Verification: around candidates every window's own 96-bit hash is made from the whole texts, and their counts are
-   joined with those of history. An anchor of history that meets its first equal has its windows made now, from its
-   text. Windows found twice or more are repeated; nothing is decided by an anchor alone. (Hashes stand for word
-   sequences: among 10^12 windows the odds that two different ones share a hash are about 10^-5.)
-3. Both runs are compacted with those of history into one run each, with summed counts.
+anchor), so equal windows have equal anchors and about one place in ten has to be kept. `FingerprintIndex` holds immutable
+runs, tables sorted by hash in hash buckets: of anchors, with their number and the place of those found once, and of the
+windows around repeated anchors, with their number. A batch of documents goes through it so:
+
+1. The batch's anchors are counted into a run of their own, which is merge-joined with every run of history, without a
+   shuffle of either. An anchor of the batch that was found twice or more, in history or in the batch, is a candidate;
+   history's runs give the place of one that now meets its first equal.
+2. Verification: around candidates every window's own 96-bit hash is made from the whole texts, of the batch and of the
+   places met in history. Their counts become a run of windows, and those found twice or more over all runs are repeated;
+   nothing is decided by an anchor alone. (Hashes stand for word sequences: among 10^12 windows the odds that two different
+   ones share a hash are about 10^-5.)
+3. Compaction by size: the new run is merged with its predecessor as long as that has less than twice its rows, so there
+   are about log2(batches) runs and a row is rewritten as often at most.
 4. All words under a repeated window go; windows are judged on the input, not on what is left.
 
-An index with a path is kept there, in the shared folder of the cluster, and can be opened again: later calls compare
-their documents with all earlier ones. `cut` judges documents again when later batches have come.
+New files are written first, then the batch's state, which names all that belongs to the index; what no state names is
+deleted after that, or when the index is opened again. So a driver that is lost at any point leaves the index as it was
+before the batch or after it. If a file that the state names is missing, opening raises an error.
+
+`remove` takes documents through an index in batches and judges each when all are in. An index with a path is kept there,
+in the shared folder of the cluster, and can be opened again: later calls compare their documents with all earlier ones.
+`cut` judges documents again when later batches have come.
 
 Hot fingerprints: counts are combined before they are shuffled. Where places are looked up, one side of the join has one
 row per fingerprint and both sides are shuffled for it alone, so adaptive execution splits the partitions of hot ones.
@@ -42,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexforge.llm.common import Workspace, delete, exists, free_name, keyed
+from lexforge.llm.common import Workspace, children, delete, exists, free_name, keyed
 
 #: Distinct words whose hashes a worker keeps at once.
 WORDS = 150_000
@@ -144,7 +151,7 @@ def _candidates(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in batches:
-                for t, key, ats in zip(b.column("t"), b.column("key").to_pylist(), b.column("ats"), strict=True):
+                for t, batch, key, ats in zip(b.column("t"), b.column("batch").to_pylist(), b.column("key").to_pylist(), b.column("ats"), strict=True):
                     h = word_hashes(_split(t.as_py()))
                     g, anchor = anchors(h[0], window, gram)
                     wanted = np.zeros(len(g), bool)
@@ -152,7 +159,7 @@ def _candidates(window: int, gram: int):
                     start = np.flatnonzero(wanted[anchor])
                     a, c = rolling(h[0], window, _ODD[1])[start], rolling(h[1], window, _ODD[0])[start]
                     part = (a >> np.uint64(32)) % np.uint64(SLICES)
-                    yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c.astype(np.uint32).view(np.int32)), pa.array(np.full(len(start), key, np.int64)), pa.array(start.astype(np.int32))], ["part", "h", "c", "key", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c.astype(np.uint32).view(np.int32)), pa.array(np.full(len(start), key, np.int64)), pa.array(start.astype(np.int32)), pa.array(np.full(len(start), batch, np.int32))], ["part", "h", "c", "key", "at", "batch"])
         _hashes.clear()
 
     return run
@@ -188,170 +195,205 @@ WINDOWS = "part int, h long, c int, key long, at int"
 
 
 class FingerprintIndex:
-    """Counts of anchors and of windows around candidates, with the places and texts of history, in immutable tables.
+    """Runs of anchors and of windows around repeated ones, in immutable tables that a state names.
 
-    path: a folder that all executors see, where the index is kept and opened again; None: for one call only, in a work
-    folder, without the texts. `window` and `gram` are those of the first call.
+    path: a folder that all executors see, where the index is kept, with the texts, and opened again; None: for one call
+    only, in a work folder, without the texts. `window` and `gram` are those of the first call.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = 35, gram: int = 16):
         self.spark, self.space, self.kept = spark, Workspace(spark, "substring"), path is not None
         self.path = (path or self.space.path("index")).rstrip("/")
-        self.buckets, self.tables = int(spark.conf.get("spark.sql.shuffle.partitions")), []
-        self.state = {"batches": 0, "window": window, "gram": min(gram, window), "counts": None, "windows": None}
-        while self.kept and exists(spark, f"{self.path}/state-{self.state['batches'] + 1}"):
+        self.buckets, self.names, self.given = int(spark.conf.get("spark.sql.shuffle.partitions")), set(), []
+        self.tables, self.asked = [], []  # what the batch at hand has written
+        self.state = {"batches": 0, "window": window, "gram": min(gram, window), "anchors": [], "windows": [], "tables": []}
+        while self.kept and exists(spark, f"{self.path}/state-{self.state['batches'] + 1}/_SUCCESS"):
             (row,) = spark.read.text(f"{self.path}/state-{self.state['batches'] + 1}").collect()
             self.state = json.loads(row[0])
         self.window, self.gram = self.state["window"], self.state["gram"]
-
-    def _write(self, df: DataFrame, keys: list[str]) -> dict:
+        if missing := [x for x in self._held() if not exists(spark, f"{self.path}/{x}/_SUCCESS")]:
+            raise FileNotFoundError(f"the index at {self.path} lacks {', '.join(missing)}; it can't be used")
+        if self.kept:
+            self._sweep()
+
+    def _held(self) -> list[str]:
+        """Folders of the index that the state names."""
+        return [r["name"] for kind in ("anchors", "windows") for r in self.state[kind]] + self.state["tables"]
+
+    def _sweep(self) -> None:
+        """Deletes what no state names: runs that were merged, and what an interrupted batch left."""
+        held = {*self._held(), *(f"state-{i + 1}" for i in range(self.state["batches"]))}
+        for name in children(self.spark, self.path):
+            if name not in held:
+                if name in self.names:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                    self.names.remove(name)
+                delete(self.spark, f"{self.path}/{name}")
+
+    def _run(self, df: DataFrame, keys: list[str]) -> dict:
+        """Writes a run."""
         name = f"lexforge_run_{uuid.uuid4().hex}"
-        run = {"path": f"{self.path}/{name}", "buckets": self.buckets, "keys": keys, "schema": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)}
-        df.write.format("parquet").option("path", run["path"]).option("compression", "zstd").bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
-        self.tables.append(name)
-        return run | {"name": name}
+        df.write.format("parquet").option("path", f"{self.path}/{name}").option("compression", "zstd").bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
+        self.names.add(name)
+        run = {"name": name, "buckets": self.buckets, "keys": keys, "schema": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)}
+        return run | {"rows": self._table(run).count()}
 
     def _table(self, run: dict) -> DataFrame:
         """A run as a bucketed table; one of an earlier session is made known to this one."""
-        if run["name"] not in self.tables:
+        name = run["name"]
+        if name not in self.names:
             keys = ", ".join(run["keys"])
-            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {run['name']} ({run['schema']}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {run['buckets']} BUCKETS LOCATION '{run['path']}'")
-            self.tables.append(run["name"])
-        return self.spark.table(run["name"])
-
-    def _drop(self, run: dict | None) -> None:
-        if run:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run['name']}")
-            delete(self.spark, run["path"])
-
-    def _merged(self, kind: str, new: DataFrame, keys: list[str]) -> DataFrame:
-        """(keys, n_old, n): the new counts, written as a run, merge-joined with the run of history."""
-        run = self._write(new, keys)
-        self.fresh = run
-        fresh = self._table(run).hint("merge")
-        if self.state[kind] is None:
-            return fresh.withColumn("n_old", F.lit(0).cast("long"))
-        old = self._table(self.state[kind]).withColumnRenamed("n", "n_old").hint("merge")
-        return old.join(fresh, keys, "full_outer").select(*keys, *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("n_old", "n")])
-
-    def _compact(self, kind: str, merged: DataFrame, keys: list[str]) -> None:
-        """One run of the summed counts takes the place of history's and the batch's."""
-        old = self.state[kind]
-        if old is None:
-            self.state[kind] = self.fresh
-            return
-        self.state[kind] = self._write(merged.select(*keys, (F.col("n_old") + F.col("n")).alias("n")), keys)
-        self._drop(old)
-        self._drop(self.fresh)
-
-    def take(self, texts: DataFrame) -> DataFrame:
-        """Adds a batch (key long, t), keys unique in it; returns its windows around candidates."""
-        space, number = self.space, self.state["batches"] + 1
-        if self.kept:
-            place = f"{self.path}/texts/batch={number}"
-            texts.write.mode("overwrite").option("compression", "zstd").parquet(place)
-            texts = self.spark.read.schema(texts.schema).parquet(place)
-        spool = texts.mapInArrow(_spool(self.window, self.gram), "fp long, key long, at int")
-        if self.kept:
-            place = f"{self.path}/places/batch={number}"
-            spool.write.mode("overwrite").option("compression", "zstd").parquet(place)
-            spool = self.spark.read.schema("fp long, key long, at int").parquet(place)
-        else:
-            spool = space.write(spool, "spool")
-        merged = self._merged("counts", spool.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), ["fp"])
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({run['schema']}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {run['buckets']} BUCKETS LOCATION '{self.path}/{name}'")
+            self.names.add(name)
+        return self.spark.table(name).hint("merge")
+
+    def _plain(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        """Writes a table that isn't sorted."""
+        name = f"{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(f"{self.path}/{name}")
+        self.tables.append(name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def _compacted(self, kind: str, new: dict) -> list[dict]:
+        """The runs of a kind with the new one, merged with those before it that have less than twice its rows."""
+        runs = [*self.state[kind]]
+        while runs and runs[-1]["rows"] < 2 * new["rows"]:
+            old = runs.pop()
+            both = self._table(old).alias("a").join(self._table(new).alias("b"), new["keys"], "full_outer")
+            sum_ = lambda c: F.coalesce(F.col(f"a.{c}"), F.lit(0)) + F.coalesce(F.col(f"b.{c}"), F.lit(0))
+            rest = [c for c in self._table(new).columns if c not in (*new["keys"], "n")]
+            new = self._run(both.select(*new["keys"], sum_("n").alias("n"), *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in rest]), new["keys"])
+        return [*runs, new]
+
+    def _repeated(self, kind: str) -> DataFrame:
+        """Keys of a kind that all runs together have twice or more."""
+        (first, *others) = self.state[kind]
+        keys, total = first["keys"], self._table(first).select(*first["keys"], "n")
+        for run in others:
+            more = self._table(run).select(*keys, F.col("n").alias("more"))
+            total = total.join(more, keys, "full_outer").select(*keys, (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+        return total.where("n > 1").select(*keys)
+
+    def take(self, texts: DataFrame) -> None:
+        """Adds a batch (key long, t), keys unique in it."""
+        space, number, self.tables, self.asked = self.space, self.state["batches"] + 1, [], []
+        texts = self._plain(texts, f"texts-{number}") if self.kept else texts
+        before, held = self._texts(), self.state["tables"]
+        spool = space.write(texts.mapInArrow(_spool(self.window, self.gram), "fp long, key long, at int"), "spool")
+        # Of an anchor that is found once, the least key and place are its own.
+        counted = spool.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.lit(number).alias("batch"), F.min("key").alias("key"), F.min("at").alias("at"))
+        fresh = self._run(counted, ["fp"])
+        met, n_old = self._table(fresh).select("fp", "n"), F.lit(0)
+        places = []
+        for i, run in enumerate(self.state["anchors"]):
+            old = self._table(run).select("fp", F.col("n").alias(f"n{i}"), F.when(F.col("n") == 1, F.struct("batch", "key", "at")).alias(f"place{i}"))
+            met = met.join(old, "fp", "left")
+            n_old = n_old + F.coalesce(f"n{i}", F.lit(0))
+            places.append(f"place{i}")
         # Written plainly: a bucketed table would not be shuffled, and then hot partitions of the other side could not be split.
-        candidates = space.write(merged.where("n > 0 AND n_old + n > 1").select("fp", (F.col("n_old") == 1).alias("met")), "candidates")
-        windows = self._windows(spool, candidates.select("fp"), texts, ["key"], "windows")
-        parts = [windows]
-        if self.state["counts"] is not None:
-            met = candidates.where("met").select("fp")
-            kind = lambda name, schema: self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.path}/{name}").where(F.col("batch") < number)
-            parts.append(self._windows(kind("places", "fp long, key long, at int"), met, kind("texts", "key long, t string"), ["batch", "key"], "met"))
-        self._compact("counts", merged, ["fp"])
-        space.drop("candidates", *["spool"] * (not self.kept))
+        place = F.when(n_old == 1, F.coalesce(*places)) if places else F.lit(None).cast("struct<batch:int,key:bigint,at:int>")
+        candidates = space.write(met.where(F.col("n") + n_old > 1).select("fp", place.alias("place")), "candidates")
+        asked = spool.join(candidates.select("fp").hint("merge"), "fp").groupBy("key").agg(F.collect_list("at").alias("ats"))
+        windows = [self._windows(texts.withColumn("batch", F.lit(number)), asked.withColumn("batch", F.lit(number)))]
+        if before is not None:
+            once = candidates.where("place IS NOT NULL").select("place.*").groupBy("batch", "key").agg(F.collect_list("at").alias("ats"))
+            windows.append(self._windows(before, once))
+        made = self._plain(reduce(DataFrame.unionByName, windows), f"windows-{number}", "part")
+        space.drop("spool", "candidates", *self.asked)
         space.free()
-        # One slice of the windows is counted at a time, which bounds what is shuffled at once.
-        slices = []
-        for part in range(SLICES):
-            some = reduce(DataFrame.unionByName, parts).where(F.col("part") == part)
-            counts = some.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
-            slices.append(space.write(counts if self.kept else counts.where("n > 1"), f"counts{part}"))
-            space.free()
-        if self.kept:
-            merged = self._merged("windows", reduce(DataFrame.unionByName, slices), ["h", "c"])
-            self._compact("windows", merged, ["h", "c"])
-            self.state["batches"] = number
-            self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/state-{number}")
-        else:
-            self.slices = slices
-        space.drop("met")
-        return windows
-
-    def _windows(self, places: DataFrame, fps: DataFrame, texts: DataFrame, by: list[str], name: str) -> DataFrame:
-        """Windows of the texts around those of the places that have one of the fingerprints."""
-        space = self.space
-        asked = space.write(places.join(fps.hint("merge"), "fp").groupBy(*by).agg(F.collect_list("at").alias("ats")), f"asked_{name}")
+        counts = self._run(made.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")), ["h", "c"])
         space.free()
-        found = space.write(texts.join(asked.hint("merge"), by).select("key", "t", "ats").mapInArrow(_candidates(self.window, self.gram), WINDOWS), name, ["part"])
-        space.drop(f"asked_{name}")
+        runs = {"anchors": self._compacted("anchors", fresh), "windows": self._compacted("windows", counts)}
+        self.state |= runs | {"batches": number, "tables": [*held, *self.tables]}
+        self.given.append(texts.withColumn("batch", F.lit(number)))
+        self._commit(number)
+        self._sweep()
         space.free()
-        return found
 
-    def places_of(self, windows: DataFrame) -> DataFrame:
-        """(key, starts) of the repeated ones among windows."""
+    def _commit(self, number: int) -> None:
+        """From here on the index has the batch: its state counts once the writer has marked it as whole."""
+        if self.kept:
+            self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/state-{number}")
+
+    def _texts(self) -> DataFrame | None:
+        """(batch, key, t) of all earlier batches."""
+        if self.kept:
+            stored = [n for n in self.state["tables"] if n.startswith("texts-")]
+            frames = [self.spark.read.schema("key long, t string").parquet(f"{self.path}/{n}").withColumn("batch", F.lit(int(n.split("-")[1]))) for n in stored]
+        else:
+            frames = self.given
+        return reduce(DataFrame.unionByName, frames) if frames else None
+
+    def _windows(self, texts: DataFrame, asked: DataFrame) -> DataFrame:
+        """Windows of the texts around the places asked for: (batch, key, ats)."""
+        name = f"asked-{uuid.uuid4().hex}"
+        self.asked.append(name)
+        asked = self.space.write(asked, name)
+        return texts.join(asked.hint("merge"), ["batch", "key"]).select("batch", "key", "t", "ats").mapInArrow(_candidates(self.window, self.gram), f"{WINDOWS}, batch int")
+
+    def _starts(self, windows: DataFrame) -> DataFrame:
+        """(batch, key, starts) of the repeated ones among windows."""
         space, parts = self.space, []
-        for part in range(SLICES):
-            some = windows.where(F.col("part") == part)
-            repeated = self._table(self.state["windows"]).where("n > 1") if self.kept else self.slices[part]
-            if self.kept:
-                repeated = space.write(repeated.select("h", "c"), f"repeated{part}")
-            found = some.join(repeated.select("h", "c").hint("merge"), ["h", "c"]).select("key", "at")
-            parts.append(space.write(found.groupBy("key").agg(F.collect_list("at").alias("starts")), f"starts{part}"))
-            space.drop(f"counts{part}", f"repeated{part}")
+        for part in range(SLICES):  # one slice of the windows at a time, which bounds what is shuffled at once
+            mine = F.shiftrightunsigned("h", 32) % SLICES == part
+            repeated = space.write(self._repeated("windows").where(mine), f"repeated{part}")
+            found = windows.where(F.col("part") == part).join(repeated.hint("merge"), ["h", "c"])
+            parts.append(space.write(found.groupBy("batch", "key").agg(F.collect_list("at").alias("starts")), f"starts{part}"))
+            space.drop(f"repeated{part}")
             space.free()
-        starts = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        starts = reduce(DataFrame.unionByName, parts).groupBy("batch", "key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
         starts = space.write(starts, f"starts-{uuid.uuid4().hex}")
         space.drop(*[f"starts{part}" for part in range(SLICES)])
         return starts
 
+    def starts(self, least: int = 1) -> DataFrame:
+        """(batch, key, starts): where repeated windows start in the batches from `least` on, by all that the index has."""
+        tables = [n for n in self.state["tables"] if n.startswith("windows-") and int(n.split("-")[1]) >= least]
+        read = lambda n: self.spark.read.schema(f"{WINDOWS}, batch int").parquet(f"{self.path}/{n}")
+        return self._starts(reduce(DataFrame.unionByName, map(read, tables)).where(F.col("batch") >= least))
+
     def cut(self, docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
         """remove() against the index as it is, without adding docs to it: for documents that earlier batches brought."""
-        if self.state["counts"] is None:
+        if not self.state["batches"]:
             raise ValueError("the index is empty")
         key = free_name(docs, "_key")
         rows = keyed(docs, key, self.space, f"keyed-{uuid.uuid4().hex}")
-        texts = rows.select(F.col(key).alias("key"), F.col(text).alias("t"))
-        fps = self.space.write(self._table(self.state["counts"]).where("n > 1").select("fp"), "known")
-        spool = self.space.write(texts.mapInArrow(_spool(self.window, self.gram), "fp long, key long, at int"), "asked")
-        starts = self.places_of(self._windows(spool, fps, texts, ["key"], "again"))
-        self.space.drop("known", "asked", "again")
+        texts = rows.select(F.lit(0).alias("batch"), F.col(key).alias("key"), F.col(text).alias("t"))
+        fps = self.space.write(self._repeated("anchors"), "known")
+        spool = self.space.write(texts.select("key", "t").mapInArrow(_spool(self.window, self.gram), "fp long, key long, at int"), "spool-again")
+        asked = spool.join(fps.hint("merge"), "fp").groupBy("key").agg(F.collect_list("at").alias("ats")).withColumn("batch", F.lit(0))
+        windows = self.space.write(self._windows(texts, asked), "windows-again")
+        starts = self._starts(windows).select("key", "starts")
+        self.space.drop("known", "spool-again", "windows-again", *self.asked)
         return _without(rows, docs.columns, key, starts, text, self.window, with_text)
 
     def close(self) -> None:
         """Takes the runs' names out of the session's catalog; with a path the index itself stays."""
-        for name in self.tables:
+        for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.tables.clear()
+        self.names.clear()
         if not self.kept:
             delete(self.spark, self.path)
 
 
-def remove(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 16, with_text: bool = True, index: FingerprintIndex | None = None) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 16, with_text: bool = True, index: FingerprintIndex | None = None, batches: int = 3) -> DataFrame:
     """docs with n_words, n_removed, kept_sha256 and, if wanted, `text` without the words under repeated windows.
 
     A text that loses words becomes its kept words joined by one space; others stay as they are. docs are a new batch of
-    `index`, compared with all that it has; without one they are compared among themselves.
+    `index`, compared with all that it has. Without one they go through an index of their own in so many batches, by hash
+    of their keys, and are judged when all are in.
     """
-    batch = index or FingerprintIndex(docs.sparkSession, None, window, gram)
+    held = index or FingerprintIndex(docs.sparkSession, None, window, gram)
     key = free_name(docs, "_key")
-    rows = keyed(docs, key, batch.space, f"keyed-{uuid.uuid4().hex}")
-    windows = batch.take(rows.select(F.col(key).alias("key"), F.col(text).alias("t")))
-    starts = batch.places_of(windows)
-    batch.space.drop("windows")
+    rows = keyed(docs, key, held.space, f"keyed-{uuid.uuid4().hex}")
+    first, texts = held.state["batches"] + 1, rows.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    for i in range(1 if index else batches):
+        held.take(texts if index else texts.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == i))
+    starts = held.starts(first).select("key", "starts")
     if index is None:
-        batch.close()
-    batch.space.free()
-    return _without(rows, docs.columns, key, starts, text, batch.window, with_text)
+        held.close()
+    held.space.free()
+    return _without(rows, docs.columns, key, starts, text, held.window, with_text)
 
 
 def _without(rows: DataFrame, columns: list[str], key: str, starts: DataFrame, text: str, window: int, with_text: bool) -> DataFrame:

@@ -1,12 +1,16 @@
 import hashlib
+import json
 import re
+import shutil
 from collections import Counter
+from functools import partialmethod
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexforge.llm import queries
 from lexforge.llm.substring import FingerprintIndex, remove
-from tests.llm.fixtures import SF, no_docs, odd_docs, odd_texts
+from tests.llm.fixtures import SF, no_docs, odd_docs, odd_texts, prose
 
 
 def brute(texts, size=35):
@@ -45,7 +49,7 @@ def test_three_batches_are_one(spark, tmp_path):
     seen = []
     for i in range(3):
         index = FingerprintIndex(spark, f"file://{tmp_path}/index", window=20, gram=7)
-        assert index.state["batches"] == i
+        assert index.state["batches"] == i and len(index.state["anchors"]) <= 2
         batch = docs.where(F.col("doc_id") % 3 == i)
         got = remove(batch, index=index).orderBy("doc_id").collect()
         seen += [r.doc_id for r in got]
@@ -58,6 +62,80 @@ def test_three_batches_are_one(spark, tmp_path):
     index.close()
 
 
+class Lost(Exception):
+    pass
+
+
+def test_a_lost_driver_leaves_the_index_whole(spark, tmp_path, monkeypatch):
+    """The driver is lost after each single write or deletion of the third batch; the index is then that of two batches or of three."""
+    shared = [prose(i, 30) for i in range(4)]
+    texts = [f"{prose(10 + i, 25)} {shared[i % 4]} {prose(50 + i, 20 + i)}" for i in range(18)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = lambda i: docs.where(F.col("doc_id") % 3 == i)
+    base, want = tmp_path / "base", {i: b[:3] for i, b in enumerate(brute(texts, 20))}
+    for i in range(2):
+        index = FingerprintIndex(spark, f"file://{base}", window=20, gram=7)
+        remove(of(i), index=index).count()
+        index.close()
+    steps = ("_run", "_plain", "_commit", "_sweep")
+    originals = {s: getattr(FingerprintIndex, s) for s in steps}
+    k, whole = 0, False
+    while not whole:
+        path, seen, inside = tmp_path / f"copy{k}", [0], [False]
+        shutil.copytree(base, path)
+        index = FingerprintIndex(spark, f"file://{path}")
+
+        def step(self, *args, _of, **kwargs):
+            out = originals[_of](self, *args, **kwargs)
+            if inside[0]:
+                seen[0] += 1
+                if seen[0] > k:
+                    raise Lost
+            return out
+
+        for s in steps:
+            monkeypatch.setattr(FingerprintIndex, s, partialmethod(step, _of=s))
+        inside[0] = True
+        try:
+            index.take(of(2).select(F.col("doc_id").alias("key"), F.col("text").alias("t")))
+            whole = True
+        except Lost:
+            pass
+        monkeypatch.undo()
+        index.close()
+        again = FingerprintIndex(spark, f"file://{path}")
+        left = {*again._held(), *(f"state-{i + 1}" for i in range(again.state["batches"]))}
+        assert {x.name for x in path.iterdir()} == left
+        if again.state["batches"] == 2:
+            got = remove(of(2), index=again).collect()
+            assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == {i: w for i, w in want.items() if i % 3 == 2}
+        else:
+            assert again.state["batches"] == 3 and {r.key for r in again.starts(3).collect()} == {i for i, w in want.items() if i % 3 == 2 and w[1]}
+        again.close()
+        k += 1
+    assert k > 5
+    for name in [n for n in json.loads((path / "state-3").glob("part-*").__next__().read_text())["tables"] if n.startswith("windows")][:1]:
+        shutil.rmtree(path / name)
+    with pytest.raises(FileNotFoundError, match="lacks windows"):
+        FingerprintIndex(spark, f"file://{path}")
+
+
+def test_runs_are_merged_by_size(spark):
+    index = FingerprintIndex(spark, None, window=4, gram=2)
+    for i, n in enumerate((400, 90, 30, 12, 300)):
+        index.take(spark.createDataFrame([(i, prose(i, n))], "key long, t string"))
+        sizes = [r["rows"] for r in index.state["anchors"]]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False)), sizes
+    assert index.state["batches"] == 5 and len(sizes) < 5
+    index.close()
+
+
+def test_batches_change_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0")
+    rows = lambda **a: sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in remove(docs, window=12, gram=5, with_text=False, **a).collect())
+    assert rows(batches=1) == rows(batches=4)
+
+
 def test_query(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     got = queries.op3_substring_dedup(spark, SF).orderBy("doc_id").collect()
