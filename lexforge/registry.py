@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.plans import catalogue_queries, document_queries, listing_queries, rule_queries, search_queries, text_queries
+from lexforge.plans import catalogue_queries, document_queries, index_queries, listing_queries, rule_queries, search_queries, text_queries
 
-MODULES = (text_queries, search_queries, document_queries, listing_queries, catalogue_queries, rule_queries)
+MODULES = (text_queries, search_queries, document_queries, listing_queries, catalogue_queries, rule_queries, index_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
