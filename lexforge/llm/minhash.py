@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from lexforge.llm.common import Workspace, free_name, keyed
 from lexforge.llm.simhash import components, forest
-from lexforge.llm.substring import _ODD, _hashes, rolling, word_hashes
+from lexforge.llm.substring import _ODD, forget, rolling, word_hashes
 
 #: Probability, for two texts of just the wanted similarity, that fewer retained values are common than the lists rely on.
 MISS = 1e-6
@@ -86,7 +86,7 @@ def _sketches(shingle: int, k: int):
             at = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32)
             values = np.concatenate([np.empty(0, np.int64), *some])
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(sizes, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (high, low)), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], ["key", "id", "n", "t0", "t1", "sketch"])
-        _hashes.clear()  # workers live on after a task
+        forget()
 
     return run
 
@@ -95,7 +95,7 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column("t")], pa.binary())], ["node", "hashes"])
-        _hashes.clear()
+        forget()
 
     return run
 

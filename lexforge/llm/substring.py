@@ -69,6 +69,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    """For the end of a task: workers live on. (What a task's function names itself is a copy; only this reaches the module's own.)"""
+    _hashes.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """Two independent 64-bit hashes of each word: shape (2, n)."""
     if len(_hashes) > WORDS:
@@ -140,7 +145,7 @@ def _spool(window: int, gram: int):
                         keys.append(np.full(len(at), key, np.int64))
                 if fps:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (fps, keys, ats)], ["fp", "key", "at"])
-        _hashes.clear()  # workers live on after a task
+        forget()
 
     return run
 
@@ -160,7 +165,7 @@ def _candidates(window: int, gram: int):
                     a, c = rolling(h[0], window, _ODD[1])[start], rolling(h[1], window, _ODD[0])[start]
                     part = (a >> np.uint64(32)) % np.uint64(SLICES)
                     yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c.astype(np.uint32).view(np.int32)), pa.array(np.full(len(start), key, np.int64)), pa.array(start.astype(np.int32)), pa.array(np.full(len(start), batch, np.int32))], ["part", "h", "c", "key", "at", "batch"])
-        _hashes.clear()
+        forget()
 
     return run
 
