@@ -6,6 +6,7 @@ Nothing here trusts that it is alone: what is decided on a snapshot is committed
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +33,13 @@ def queue_store(spark: SparkSession, path: str, buckets: int = 16) -> Store:
     return Store(spark, path, QUEUE, buckets)
 
 
-def store_documents(store: Store, incoming: DataFrame, run: str, failures: DataFrame | None = None) -> int:
+def store_documents(store: Store, incoming: DataFrame, run: str, failures: DataFrame | None = None, info: Mapping | None = None) -> int:
     """Stores incoming documents (source, source_id, title, status, content, content_hash, metadata_hash), unique by key, as one commit.
 
     New and changed ones get a row in documents; where the content is new a version is appended, and the document points
     to it: no reader sees one without the other. Unchanged ones are not written. A run that is in the log already is not
     stored again, so a batch that is repeated after a lost driver does nothing. failures: rows of the table of failures.
+    info: what else the log is to say of the run.
     """
     key = ["source", "source_id"]
 
@@ -53,7 +55,7 @@ def store_documents(store: Store, incoming: DataFrame, run: str, failures: DataF
     if any(i.get("run") == run for i in store.infos()):
         return store.snapshot().version
     # Versions of documents that nobody else has changed can't clash, so only documents are read.
-    return store.change(decide, {"documents": None}, append=("versions", "failures"), info={"run": run})
+    return store.change(decide, {"documents": None}, append=("versions", "failures"), info={"run": run} | dict(info or {}))
 
 
 def enqueue(store: Store, wanted: DataFrame) -> int:

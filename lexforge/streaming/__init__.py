@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def event_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -46,6 +47,63 @@ def limited(events: DataFrame, key: str, ts: str, event: str, most: int, seconds
     return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {event} {kinds[event]}, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+class _Limiter(StatefulProcessor):
+    """Times of a key's accepted hits, which a timer takes out when the window has passed them."""
+
+    def __init__(self, key: str, event: str, most: int, seconds: float):
+        self.key, self.event, self.most, self.seconds = key, event, most, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", "at double")
+
+    def _times(self) -> list[float]:
+        return [r[0] for r in self.kept.get()] if self.kept.exists() else []
+
+    def _hold(self, kept: list[float]) -> None:
+        """What is kept, and one timer for when the last of it has passed; nothing kept: no state."""
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        if kept:
+            self.kept.put([(t,) for t in kept])
+            self.handle.registerTimer(int((kept[-1] + self.seconds) * 1000) + 1)
+        else:
+            self.kept.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [p for p in rows if len(p)]
+        if not parts:  # called for a timer only
+            return
+        batch = pd.concat(parts).sort_values(["hit_seconds", self.event])  # a key's rows of one micro-batch
+        allowed, kept = accepted(batch["hit_seconds"].tolist(), self._times(), self.most, self.seconds)
+        self._hold(kept)
+        yield pd.DataFrame({self.key: key[0], self.event: batch[self.event].to_numpy(), "allowed": allowed})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() / 1000
+        self._hold([t for t in self._times() if t > now - self.seconds])
+        return iter(())
+
+    def close(self) -> None:
+        """Nothing is open."""
+
+
+#: The store of states that timers need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def limited_with_end(events: DataFrame, key: str, ts: str, event: str, most: int, seconds: float, late: str = "1 minute") -> DataFrame:
+    """limited(), with a state that ends: when the watermark has passed a key's last accepted hit by `seconds`, nothing of the key is left.
+
+    Hits later than the watermark are judged by what is still kept. It sets the session's state store to RocksDB.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    kinds = dict(events.dtypes)
+    timed = events.withColumn("hit_time", F.col(ts).cast("timestamp")).withWatermark("hit_time", late).select(key, event, "hit_time", (F.unix_micros("hit_time") / 1e6).alias("hit_seconds"))
+    schema = f"{key} {kinds[key]}, {event} {kinds[event]}, allowed boolean"
+    return timed.groupBy(key).transformWithStateInPandas(_Limiter(key, event, most, seconds), schema, "append", "EventTime")
+
+
 def limited_batch(events: DataFrame, key: str, ts: str, event: str, most: int, seconds: float) -> DataFrame:
     """limited() over a table: accepting feeds back, so a key's hits go in time order through one task, which holds `most` times a key."""
     s = F.unix_micros(F.col(ts).cast("timestamp")).cast("double") / 1e6
