@@ -13,8 +13,8 @@ windows around repeated anchors, with their number. A batch of documents goes th
    places met in history. Their counts become a run of windows, and those found twice or more over all runs are repeated;
    nothing is decided by an anchor alone. (Hashes stand for word sequences: among 10^12 windows the odds that two different
    ones share a hash are about 10^-5.)
-3. Compaction by size: the new run is merged with its predecessor as long as that has less than twice its rows, so there
-   are about log2(batches) runs and a row is rewritten as often at most.
+3. Compaction by size: the new run is merged with its predecessor as long as that has less than GROWTH times its rows, so
+   the number of runs grows with the logarithm of the batches, and so does how often a row is rewritten.
 4. All words under a repeated window go; windows are judged on the input, not on what is left.
 
 New files are written first, then the batch's state, which names all that belongs to the index; what no state names is
@@ -55,6 +55,8 @@ from lexforge.llm.common import Workspace, children, delete, exists, free_name,
 WORDS = 150_000
 #: Parts, by hash, in which the windows around candidates are counted one after the other.
 SLICES = 2
+#: How much larger than the next one a run is at least.
+GROWTH = 1.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
@@ -260,9 +262,9 @@ class FingerprintIndex:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def _compacted(self, kind: str, new: dict) -> list[dict]:
-        """The runs of a kind with the new one, merged with those before it that have less than twice its rows."""
+        """The runs of a kind with the new one, merged with those before it that have less than GROWTH times its rows."""
         runs = [*self.state[kind]]
-        while runs and runs[-1]["rows"] < 2 * new["rows"]:
+        while runs and runs[-1]["rows"] < GROWTH * new["rows"]:
             old = runs.pop()
             both = self._table(old).alias("a").join(self._table(new).alias("b"), new["keys"], "full_outer")
             sum_ = lambda c: F.coalesce(F.col(f"a.{c}"), F.lit(0)) + F.coalesce(F.col(f"b.{c}"), F.lit(0))
