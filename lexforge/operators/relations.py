@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,20 +52,26 @@ def relation_counts(edges: DataFrame, relation: str = "relation") -> DataFrame:
 def walk(edges: DataFrame, starts: DataFrame, max_depth: int = 50) -> DataFrame:
     """(start, node, depth, cut): all nodes reachable over edges (source, target), each at its least depth; cycles end, dangling targets count.
 
-    A breadth-first loop: each round joins, and checkpoints, only the new frontier. cut: the walk ended here for its
-    depth, though the node may lead on.
+    Paths are doubled: round i knows, of the nodes that the starts can reach, all pairs up to 2**i steps apart, so there are
+    as many rounds as the logarithm of the depth, each a join and a checkpoint. cut: the walk ended here for its depth,
+    though the node may lead on.
     """
     checkpoint_folder(edges.sparkSession)
-    frontier = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
-    parts = [frontier]
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(edges.select(F.col("source").alias("node"), "target"), "node").where("target IS NOT NULL").select("start", F.col("target").alias("node"), F.lit(depth).alias("depth")).distinct()
-        seen = reduce(DataFrame.unionByName, parts).select("start", "node")
-        frontier = step.join(seen, ["start", "node"], "left_anti").checkpoint()
-        if frontier.isEmpty():
+    least = lambda df, *by: df.groupBy(*by).agg(F.min("depth").alias("depth"))
+    steps = edges.where("target IS NOT NULL AND source <> target").select("source", "target", F.lit(1).alias("depth")).distinct().checkpoint()
+    found = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct().checkpoint()
+    known, reach = found.count(), 1
+    while True:
+        on = found.alias("f").join(steps.alias("s"), F.col("f.node") == F.col("s.source")).select("f.start", F.col("s.target").alias("node"), (F.col("f.depth") + F.col("s.depth")).alias("depth"))
+        found = least(found.unionByName(on.where(F.col("depth") <= max_depth)), "start", "node").checkpoint()
+        now, reach = found.count(), 2 * reach
+        # Walks of less than `reach` steps are all known: none longer than the last round's, or all within the depth.
+        if now == known or reach > max_depth:
             break
-        parts.append(frontier)
-    return reduce(DataFrame.unionByName, parts).where("depth > 0").withColumn("cut", F.col("depth") == max_depth)
+        known = now
+        twice = steps.alias("a").join(steps.alias("b"), F.col("a.target") == F.col("b.source")).where("a.source <> b.target").select("a.source", F.col("b.target").alias("target"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        steps = least(steps.unionByName(twice), "source", "target").checkpoint()
+    return found.where("depth > 0").withColumn("cut", F.col("depth") == max_depth)
 
 
 def checkpoint_folder(spark: SparkSession) -> None:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import or_empty, paragraph_key, strip_html
+from lexforge.operators.spans import containing
 
 # What openers look like, and what may not stand before one inside a line.
 LEVEL = r"(?:\d+(?:\s*[a-zA-Z](?![a-zA-ZæøåÆØÅ]))?|[IVXLCDM]+)"
@@ -263,18 +264,15 @@ def anchor_slug(value: Column) -> Column:
 def anchors(places: DataFrame, found: DataFrame, key: str, position: str) -> DataFrame:
     """places with `anchor`, the page anchor of the paragraph (and subsection from the second on) that holds a character position.
 
-    found: units(). The join is by document; of a document's units only those around the position stay.
+    found: units(). Places and units are swept in the order of positions, in cells, so a long document is not one task's work.
     """
-    inside = lambda u: (F.col(position) >= F.col(f"{u}.start")) & (F.col(position) < F.col(f"{u}.end"))
-    numbered = places.withColumn("_row", F.monotonically_increasing_id())
-    p = found.where("kind = 'paragraph'").alias("p")
-    s = found.where("kind = 'subsection' AND subsection > 1").alias("s")
-    base = numbered.join(p, (numbered[key] == F.col(f"p.{key}")) & inside("p"), "left").join(s, (numbered[key] == F.col(f"s.{key}")) & inside("s"), "left")
-    chapter = anchor_slug(F.col("p.chapter"))
-    number = anchor_slug(F.concat_ws("", "p.number", "p.letter"))
-    sub = F.when(F.col("s.subsection").isNotNull(), F.concat(F.lit("-stk"), F.col("s.subsection").cast("string")))
+    in_paragraph = containing(places, found.where("kind = 'paragraph'"), key, position, "start", "end", ["chapter", "number", "letter"], "_p")
+    base = containing(in_paragraph, found.where("kind = 'subsection' AND subsection > 1"), key, position, "start", "end", ["subsection"], "_s")
+    chapter = anchor_slug(F.col("_p.chapter"))
+    number = anchor_slug(F.concat_ws("", "_p.number", "_p.letter"))
+    sub = F.when(F.col("_s.subsection").isNotNull(), F.concat(F.lit("-stk"), F.col("_s.subsection").cast("string")))
     anchor = F.when(number != "", F.substring(F.concat_ws("", F.lit("p-"), F.when(chapter != "", F.concat(chapter, F.lit("-"))), number, sub), 1, 64))
-    return base.select(*[numbered[c] for c in places.columns], anchor.alias("anchor"))
+    return base.select(*places.columns, anchor.alias("anchor"))
 
 
 def stale(docs: DataFrame, indexed: DataFrame, key: str, version: str, model: str) -> DataFrame:

@@ -300,13 +300,13 @@ def metadata_links(spark: SparkSession, sf: str) -> DataFrame:
     meta = F.create_map(F.lit("Erstattet-af"), F.concat(F.lit("see /eli/lta/2001/000"), "o_custkey", F.lit(" and /ELI/ft/2002/7, not /eli/other/2003/8")), F.lit("note"), F.lit("/eli/lta/1999/1"), F.lit("OPHÆVER"), F.concat(F.lit("B"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")))
     links = N.metadata_links(_t(spark, sf, "orders").select("o_orderkey", meta.alias("m")), "o_orderkey", "m", {"erstattetaf": "replaced_by", "ophaever": "repeals"})
     acts = _t(spark, sf, "customer").select(F.col("c_custkey").alias("document_id"), N.number_key(F.lit(None).cast("string"), F.col("c_custkey").cast("string"), F.lit("2001")).alias("target"))
-    return links.join(acts, "target", "left").select("o_orderkey", "relation", "target", "document_id")
+    return links.join(acts, "target", "left").select("o_orderkey", "relation", "target", F.coalesce("document_id", F.lit(-1)).alias("document_id"))
 
 
 LINKS_SQL = """
-SELECT o_orderkey, 'replaced_by' AS relation, o_custkey || '/2001' AS target, c_custkey AS document_id FROM orders LEFT JOIN customer ON c_custkey = o_custkey
-UNION ALL SELECT o_orderkey, 'replaced_by', '7/2002', NULL FROM orders
-UNION ALL SELECT o_orderkey, 'repeals', 'accn:B' || lpad(o_orderkey::VARCHAR, 9, '0'), NULL FROM orders
+SELECT o_orderkey, 'replaced_by' AS relation, o_custkey || '/2001' AS target, coalesce(c_custkey, -1) AS document_id FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+UNION ALL SELECT o_orderkey, 'replaced_by', '7/2002', -1 FROM orders
+UNION ALL SELECT o_orderkey, 'repeals', 'accn:B' || lpad(o_orderkey::VARCHAR, 9, '0'), -1 FROM orders
 """
 
 

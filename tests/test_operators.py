@@ -79,3 +79,40 @@ def test_limiter_batch_and_stream_agree(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r.event_id: r.allowed for r in spark.table("limited").collect()} == want
+
+
+def test_walks_are_doubled(spark):
+    """Least depths over a graph with a long chain, short cuts, cycles and dangling ends, like a breadth-first search's."""
+    edges = [(i, i + 1) for i in range(40)] + [(3, 20), (41, 5), (40, 2), (7, 7), (60, 61), (61, 60), (9, None)]
+    frame = spark.createDataFrame(edges, "source int, target int")
+    starts = spark.createDataFrame([(0,), (19,), (60,), (99,)], "node int")
+    out = {}
+    for s, depth in ((0, 50), (19, 50), (60, 50), (99, 50)):
+        seen, now = {s: 0}, [s]
+        for d in range(1, depth + 1):
+            now = [t for x in now for a, t in edges if a == x and t is not None and t not in seen and not seen.setdefault(t, d) == 0]
+        out |= {(s, n): d for n, d in seen.items() if d}
+    assert {(r.start, r.node): r.depth for r in G.walk(frame, starts).collect()} == out
+    cut = G.walk(frame, starts, 7)
+    assert {(r.start, r.node): r.depth for r in cut.collect()} == {k: d for k, d in out.items() if d <= 7}
+    assert {r.depth for r in cut.where("cut").collect()} == {7}
+
+
+def test_points_in_spans(spark, monkeypatch):
+    import random
+
+    from lexforge.operators import spans as P
+
+    monkeypatch.setattr(P, "CELL", 50)
+    r, spans, points = random.Random(6), [], []
+    for key in ("a", "b", None):
+        at = 0
+        for i in range(30):
+            at += r.choice((0, 0, 3, 20))
+            end = at + r.choice((0, 1, 5, 40, 180))
+            spans.append((key, at, end, f"{key}{i}"))
+            at = end
+        points += [(key, r.randrange(at + 60), "x") for _ in range(200)] + [(key, None, "x"), (key, 0, "x")]
+    got = P.containing(spark.createDataFrame(points, "k string, at int, span string"), spark.createDataFrame(spans, "k string, a int, b int, name string"), "k", "at", "a", "b", ["name"], "held")
+    want = sorted(((k, p, next((n for kk, a, b, n in spans if kk == k and p is not None and a <= p < b), None)) for k, p, _ in points), key=repr)
+    assert sorted(((x.k, x.at, x.held and x.held.name) for x in got.collect()), key=repr) == want
