@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.text import TOKEN, fold, fold_text
+from lexforge.functions.vectors import cosine
+
 #: Comparators by the kind of the field.
 COMPARATORS = {
     "number": ("eq", "ne", "lt", "lte", "gt", "gte", "between", "in", "not_in"),
@@ -249,5 +253,26 @@ def supporting(fragments: DataFrame, rules: DataFrame, key: str, rule: str, most
     """
     wanted = rules.select(rule, F.explode(F.array_distinct("tokens")).alias("token"), F.size(F.array_distinct("tokens")).alias("_all"))
     have = fragments.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
-    shared = have.join(F.broadcast(wanted), "token").groupBy(rule, key).agg((F.count(F.lit(1)) / F.max("_all")).alias("share"))
+    shared = have.join(wanted, "token").groupBy(rule, key).agg((F.count(F.lit(1)) / F.max("_all")).alias("share"))
     return shared.withColumn("n", F.row_number().over(Window.partitionBy(rule).orderBy(F.desc("share"), key))).where(F.col("n") <= most)
+
+
+def supporting_fragments(chunks: DataFrame, query_vector: Sequence[float] | None = None, query_text: str | None = None, document: str = "document_id", chunk: str = "chunk_id", heading: str = "heading", content: str = "content", vector: str = "embedding", most: int = 5) -> DataFrame:
+    """(document, chunk, score, method, n): the chunks of each document that support a decision best, at most `most`; they never change a verdict.
+
+    By cosine where a vector is asked and any chunk has one of its length; else by the share of the question's words of
+    more than two letters that a chunk has anywhere, if any. Ties go to the smaller chunk.
+    """
+    scored = None
+    if query_vector is not None:
+        asked = F.array(*[F.lit(float(x)) for x in query_vector])
+        scored = chunks.where(F.size(vector) == len(query_vector)).select(document, chunk, cosine(F.col(vector), asked).alias("score"), F.lit("vector").alias("method"))
+    if scored is None or scored.isEmpty():
+        terms = sorted({t for t in re.findall(TOKEN, fold_text(query_text)) if len(t) > 2})
+        if not terms:
+            return chunks.select(document, chunk, F.lit(0.0).alias("score"), F.lit("lexical").alias("method"), F.lit(0).alias("n")).limit(0)
+        said = chunks.select(document, chunk, F.inline(F.array(F.struct(fold(F.concat_ws(" ", F.coalesce(heading, F.lit("")), content)).alias("_t")))))
+        hits = reduce(lambda a, b: a + b, [F.col("_t").contains(t).cast("int") for t in terms])
+        scored = said.select(document, chunk, F.bround(hits / len(terms), 4).alias("score"), F.lit("lexical").alias("method")).where("score > 0")
+    order = Window.partitionBy(document).orderBy(F.desc("score"), chunk)
+    return scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)

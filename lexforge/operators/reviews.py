@@ -45,10 +45,10 @@ def override_events(events: DataFrame, key: Sequence[str], at: Sequence[str], de
 
 
 def claim(queue: DataFrame, now: Column, size: int, token: str, minutes: int, key: str = "id") -> DataFrame:
-    """The next `size` claimable items by priority, due time and key, with token and lease; taking them exclusively is up to the store."""
+    """The next `size` claimable items by priority (the lowest number first), due time and key, with token and lease; taking them exclusively is up to the store."""
     from lexforge.operators.history import claimable
 
-    due = claimable(queue, now).orderBy(F.desc("priority"), F.asc_nulls_first("next_attempt_at"), key).limit(size)
+    due = claimable(queue, now).orderBy("priority", F.asc_nulls_first("next_attempt_at"), key).limit(size)
     return due.withColumns({"status": F.lit("PROCESSING"), "claim_token": F.lit(token), "lease_expires_at": now + F.make_interval(mins=F.lit(minutes))})
 
 

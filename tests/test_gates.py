@@ -52,3 +52,13 @@ def test_queue(spark):
     got = {r.id: r for r in I.finished(claimed, results, "id", F.lit("2024-01-01 00:00:00").cast("timestamp")).collect()}
     assert {k: r.status for k, r in got.items()} == {"a": "DONE", "b": "RETRY", "c": "FAILED", "d": "PROCESSING"}
     assert str(got["b"].next_attempt_at) == "2024-01-01 00:15:00" and got["d"].claim_token == "u"
+
+
+def test_supporting_fragments(spark):
+    rows = [(1, 1, "Skibe", "om havne", [1.0, 0.0]), (1, 2, None, "SKIBE i søen", [0.0, 1.0]), (1, 3, "x", "y", None), (2, 4, "Havne", "skib", [1.0, 1.0]), (2, 5, "z", "lov", [1.0])]
+    chunks = spark.createDataFrame(rows, "document_id int, chunk_id int, heading string, content string, embedding array<double>")
+    told = lambda **a: [(r.document_id, r.chunk_id, round(r.score, 4), r.method, r.n) for r in A.supporting_fragments(chunks, **a).orderBy("document_id", "n").collect()]
+    assert told(query_vector=[1.0, 0.0], most=1) == [(1, 1, 1.0, "vector", 1), (2, 4, 0.7071, "vector", 1)]
+    lexical = [(1, 1, 0.6667, "lexical", 1), (1, 2, 0.6667, "lexical", 2), (2, 4, 0.6667, "lexical", 1)]
+    assert told(query_text="Skib havn soe i") == lexical == told(query_vector=[1.0] * 9, query_text="skib havn soe")
+    assert told(query_text="af i") == told() == []

@@ -36,6 +36,6 @@ def test_override_events(spark):
 def test_claim_and_explanation(spark):
     now = F.lit("2024-01-01 10:00:00").cast("timestamp")
     queue = spark.sql("SELECT * FROM VALUES ('a','PENDING',1,null,null),('b','RETRY',5,timestamp'2024-01-01 09:00:00',null),('c','RETRY',9,timestamp'2024-01-02 09:00:00',null),('d','PROCESSING',0,null,timestamp'2024-01-01 09:00:00') AS t(id,status,priority,next_attempt_at,lease_expires_at)")
-    assert [r.id for r in V.claim(queue, now, 2, "t", 30).orderBy("id").collect()] == ["a", "b"]
+    assert [r.id for r in V.claim(queue, now, 2, "t", 30).orderBy("id").collect()] == ["a", "d"]
     verdicts = spark.createDataFrame([("unclear", 85, ["unknown: gt"])], "verdict string, confidence int, reasons array<string>")
     assert V.explained(verdicts).first().explanation == "The rule can't be decided on the facts given. Confidence 85.\n- unknown: gt"
