@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexforge import streaming as X
 from lexforge.operators import committed as C
+from lexforge.operators import discovery as D
+from lexforge.operators import terms as T
 from lexforge.sources import feeds
 from lexforge.streaming import importing as I
 
@@ -135,3 +137,24 @@ def test_a_limiters_state_ends(spark, tmp_path):
         assert {r.key.user for r in held} <= {9}
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+
+
+def test_a_manifest_only_of_what_was_expected(spark, tmp_path):
+    pages = {"inforce": [hits("a", "b", total=3), hits("c", total=3)], "historic": [hits("c", "d", total=4), hits("e")], "cut": [hits("f", "g"), hits("h", "i"), hits("j")]}
+    for search, some in pages.items():
+        for i, page in enumerate(some, 1):
+            record(tmp_path / "in" / search, f"{i}.json", page)
+    go = lambda **a: D.discover(spark, str(tmp_path / "in"), {"inforce": 3, "historic": 5, "absent": None, "cut": None}, str(tmp_path / "m"), most_pages=2, page_size=2, **a)
+    with pytest.raises(D.CountsDiffer) as e:
+        go(expected_total=9)
+    assert str(e.value).split("; ") == ["all: overlap (1 found, 0 expected)", "cut: truncated (4 found, None expected)", "historic: count_mismatch (3 found, 5 expected)", "historic: reported_mismatch (3 found, 4 expected)"]
+    assert not (tmp_path / "m").exists()
+    with pytest.raises(D.CountsDiffer, match="all: total_mismatch"):
+        go(expected_total=8)
+    acts = go(allow=True)
+    assert {r.id: r.search for r in acts.collect()} == {"a": "inforce", "b": "inforce", "c": "historic", "d": "historic", "e": "historic", "f": "cut", "g": "cut", "h": "cut", "i": "cut"}
+    assert spark.read.csv(str(tmp_path / "m"), header=True).count() == 9
+    found = spark.createDataFrame([("a", "Bekendtgørelse om skibe", "x"), ("b", "Lov om fly", "x"), ("c", "Ændring af skibe", "x"), ("d", "Om skibe", "x")], "id string, title string, authority string")
+    config = T.Relevance([T.Term("skib", 30.0, "prefix")])
+    got = {r.id: r.decision for r in D.decided(found, spark.createDataFrame([("d",)], "id string"), config, denied="^Ændring").collect()}
+    assert got == {"a": "queue", "b": "skip", "c": "denied", "d": "known"}
