@@ -116,3 +116,46 @@ def test_ids_of_other_types(spark):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in classes(docs).collect()}
     assert got == {("b", 2, "a"), ("a", 2, "a"), (None, 2, "a"), ("c", 0, "c")}
     assert classes(docs.where(F.col("doc_id").isNull())).first().component_id is None
+
+
+def test_regions_are_full_and_meet_in_waves(spark, monkeypatch):
+    """A large group of texts that are not alike: as few regions as hold it, however many partitions are set, and no more pairs at once than the bound allows."""
+    monkeypatch.setattr(minhash, "REGION_ROWS", 40)
+    monkeypatch.setattr(minhash, "WAVE_BYTES", 1 << 16)
+    monkeypatch.setattr(minhash, "WAVE_TIMES", 0)
+    seen, write = {}, minhash.Workspace.write
+    monkeypatch.setattr(minhash.Workspace, "write", lambda self, df, name, *a: seen.setdefault(name, write(self, df, name, *a).cache()))
+    texts = edited(1, 300, 120, 14, 10**6) + edited(6, 100, 120, 40, 10**6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    run = minhash._Run(docs, "doc_id", "text", 2, 64, 80)
+    try:
+        prints = run.prints.where("n > 0")
+        open_ = prints.select(F.lit(7).cast("long").alias("value"), F.col("key").alias("node"), "n", F.col("key").alias("root"), F.lit(400).cast("long").alias("members"))
+        found = {(r.u, r.v) for r in run.long(open_).collect()}
+        regions = seen["regions"].count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert regions <= 400 / 40 + 2
+    assert sum(n.startswith("long-links") for n in seen) > 3
+    sets = sets_of(texts)
+    alike = {(a, b) for b in range(400) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert found <= alike and components_of(found, 400) == components_of(alike, 400)
+
+
+def components_of(links, n):
+    label = list(range(n))
+    for _ in range(n):
+        before = list(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return label
+
+
+def test_waves_bound_what_is_copied():
+    for pairs, regions in ((0, 1), (170, 24), (24_000, 220), (500_000, 1000)):
+        weight = regions * (1 << 20)
+        waves = minhash._Run.waves(pairs, regions, weight)
+        assert 2 * pairs * (1 << 20) <= waves * max(2 * weight, 128 << 20)
