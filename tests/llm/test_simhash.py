@@ -5,7 +5,8 @@ import pytest
 import xxhash
 
 from lexforge.llm import queries
-from lexforge.llm.simhash import classes, deduplicated, links, orders_of
+from lexforge.llm.common import Workspace
+from lexforge.llm.simhash import classes, deduplicated, linked, links, orders_of
 from tests.llm.fixtures import SF, no_docs, odd_docs, odd_texts
 
 
@@ -195,3 +196,20 @@ def test_heavy_edits_of_one_text(spark):
     for region in (4096, 16):
         found = [r.component_id for r in classes(docs, shingle=5, distance=None, verify=0.8, words=2, region=region).orderBy("doc_id").collect()]
         assert found == brute_near(texts)
+
+
+def test_a_small_group_is_one_region(spark, tmp_path):
+    """However many partitions are set: regions of a few rows would be compared in pairs with a forest each."""
+    rng = np.random.default_rng(4)
+    prints = np.unique([np.bitwise_or.reduce(1 << rng.choice(63, 2)) for _ in range(300)]).tolist()
+    nodes = spark.createDataFrame([(i, int(f)) for i, f in enumerate(prints)], "node long, f0 long")
+    nodes.write.parquet(f"{tmp_path}/nodes")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        space = Workspace(spark, "few")
+        found = [(r.u, r.v) for r in linked(spark.read.parquet(f"{tmp_path}/nodes"), space).collect()]
+        regions = spark.read.parquet(space.path("regions")).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert regions == 1 and len(found) == len(prints) - 1
