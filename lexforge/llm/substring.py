@@ -62,10 +62,23 @@ _ODD = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
 class _Hashes(dict):
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    """The place of each word in two arrays of hashes: a text's are then gathered at once, not as a tuple of numbers a word."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.of = np.empty((2, 1 << 12), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        if at == self.of.shape[1]:
+            self.of = np.concatenate([self.of, self.of], 1)
         h = xxhash.xxh3_128_intdigest(word)
-        found = self[word] = (h & ((1 << 64) - 1), h >> 64)
-        return found
+        self.of[0, at], self.of[1, at] = h & ((1 << 64) - 1), h >> 64
+        return at
+
+    def clear(self) -> None:
+        super().clear()
+        self.of = np.empty((2, 1 << 12), np.uint64)
 
 
 _hashes = _Hashes()
@@ -80,8 +93,8 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     """Two independent 64-bit hashes of each word: shape (2, n)."""
     if len(_hashes) > WORDS:
         _hashes.clear()
-    get = _hashes.__getitem__
-    return np.array([get(w) for w in words], np.uint64).reshape(-1, 2).T
+    places = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
+    return _hashes.of[:, places]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:

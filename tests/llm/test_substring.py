@@ -6,9 +6,10 @@ from collections import Counter
 from functools import partialmethod
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from lexforge.llm import queries
+from lexforge.llm import queries, substring
 from lexforge.llm.substring import FingerprintIndex, remove
 from tests.llm.fixtures import SF, no_docs, odd_docs, odd_texts, prose
 
@@ -140,3 +141,14 @@ def test_query(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     got = queries.op3_substring_dedup(spark, SF).orderBy("doc_id").collect()
     assert [(r.n_words, r.n_removed, r.kept_sha256) for r in got] == [b[:3] for b in brute([r.text for r in rows])]
+
+
+def test_word_hashes():
+    """Each word's two hashes, also when the table grows within a text; a task that ends leaves no table behind."""
+    words = [f"w{i % 9000}".encode() for i in range(20_000)]
+    both = [divmod(xxhash.xxh3_128_intdigest(w), 1 << 64) for w in words]
+    for _ in range(2):
+        assert substring.word_hashes(words).T.tolist() == [[low, high] for high, low in both]
+        assert substring.word_hashes([]).shape == (2, 0) and substring._hashes.of.shape[1] >= 9000
+        substring.forget()
+        assert not substring._hashes and substring._hashes.of.nbytes <= 1 << 16
