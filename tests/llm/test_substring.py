@@ -178,3 +178,19 @@ def test_word_hashes_of_text_after_text():
         words = [f"{n}:{i}".encode() for i in range(n)]
         want = [[x & ((1 << 64) - 1), x >> 64] for x in map(xxhash.xxh3_128_intdigest, words)]
         assert substring.word_hashes(words).T.tolist() == want and len(substring._hashes) == n
+
+
+def test_starts_come_as_bitmaps(spark):
+    """Places in blocks of 64, at most two bitmaps a block, the last bit of a block included; before, a list of every place."""
+    shared = prose(1, 400)
+    texts = [f"{prose(2, 70)} {shared}", f"{shared} {prose(3, 90)}", prose(4, 100)]
+    index = FingerprintIndex(spark, None, window=20, gram=7)
+    index.take(spark.createDataFrame(list(enumerate(texts)), "key long, t string"))
+    got = {r.key: r.starts for r in index.starts().collect()}
+    index.close()
+    want = {0: set(range(70, 451)), 1: set(range(381))}
+    assert {k: {x.block * 64 + i for x in s for i in range(64) if x.bits >> i & 1} for k, s in got.items()} == want
+    assert all(len(s) <= 2 * 7 for s in got.values())
+    for k, s in got.items():
+        rows = substring.pa.array([(x.block, x.bits) for x in s], substring.pa.struct([("block", "int32"), ("bits", "int64")]))
+        assert set(substring._places(rows).tolist()) == want[k] and set(substring._places(rows[1:]).tolist()) < want[k]
