@@ -59,3 +59,33 @@ def test_odd_vectors(spark, tmp_path):
     assert got == [(1, 1, 1), (1, 2, 8), (2, 1, 2), (2, 2, 1), (8, 1, 1), (8, 2, 8)]
     with pytest.raises(ValueError, match="no vectors"):
         N.Neighbours.build(table.where("id = 3"), f"file://{tmp_path}/j", "id", "v")
+
+
+def test_the_scan_gives_equal_vectors_by_key(spark, monkeypatch):
+    """Tiles of a scan: the k best by the cosine summed in order, ties to the smaller key, whatever the tiles."""
+    monkeypatch.setattr(N, "TILE", 64)
+    rows = vectors(300, dim=7) + [(1000 + i, v) for i, v in vectors(40, dim=7)] * 1 + [(2000 + i, v) for i, v in vectors(40, dim=7)] + [(5000, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "id long, v array<double>").repartition(3).cache()
+    queries = table.where("id < 40 OR id = 5000")
+    unit = {r.key: np.array(r.vector, np.float32).astype(float) for r in N._valid(table, "id", "v").collect()}
+    cosine = lambda a, b: sum((x * y for x, y in zip(a, b, strict=True)), 0.0)
+    for k in (1, 5):
+        got = {}
+        for r in N.exact_neighbours(table, queries, "id", "id", "v", k).orderBy("id", "rank").collect():
+            got.setdefault(r.id, []).append((r["rank"], r.key))
+        want = {q: [(i + 1, x) for i, x in enumerate(sorted((x for x in unit if len(unit[x]) == len(unit[q])), key=lambda x: (-cosine(unit[x], unit[q]), x))[:k])] for q in [*range(40), 5000]}
+        assert got == want
+
+
+def test_a_search_gives_on_only_rows_that_can_be_among_the_best(spark, tmp_path):
+    rows = vectors(2000, dim=8, groups=10)
+    table = spark.createDataFrame(rows, "id long, v array<double>").cache()
+    index = N.Neighbours.build(table, f"file://{tmp_path}/i", "id", "v", lists=20)
+    code = np.ones((100, 8), np.int8)
+    import pyarrow as pa
+
+    asked = [{"query": 1, "v": np.ones(8, np.float32).tobytes(), "base": 0.0, "least": least} for least in (float("-inf"), 1e9)]
+    block = pa.RecordBatch.from_arrays([pa.array([asked]), pa.array([list(range(100))]), pa.array([np.linspace(0, 1, 100, dtype="<f4").tobytes()]), pa.array([code.tobytes()])], ["asked", "keys", "scales", "codes"])
+    out = pa.Table.from_batches(list(N._scored(8, 10, pa.int64(), pa.int64())(iter([block]))))
+    assert out["key"].to_pylist() == list(range(90, 100))
+    assert recall(index, table, table.where("id % 20 = 0"), probes=20) > 0.99
