@@ -215,9 +215,14 @@ def _column(of, kind: str):
     return F.pandas_udf(run, kind)
 
 
+def parsed(text: Column) -> Column:
+    """All units of a text, in its order."""
+    return _column(parse, UNITS)(legal_text(text))
+
+
 def units(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per unit, with its text and a sort key."""
-    rows = docs.select(key, F.posexplode(_column(parse, UNITS)(legal_text(F.col(text)))).alias("position", "u")).select(key, "position", "u.*")
+    rows = docs.select(key, F.posexplode(parsed(F.col(text))).alias("position", "u")).select(key, "position", "u.*")
     return rows.withColumn("sort_key", F.when(F.col("number").isNotNull(), paragraph_key(F.col("number"), F.col("letter"))))
 
 
